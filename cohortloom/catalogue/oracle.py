@@ -145,19 +145,23 @@ newton AS (
       FROM (
         SELECT *, age - 70 AS x, 1 / (1 + exp(-(b0 + b1 * (age - 70) + b2 * sex))) AS p
         FROM newton, cell WHERE turn < 15)
-      GROUP BY turn, b0, b1, b2)))
-SELECT patid, round(1 / (1 + exp(-(b0 + b1 * (age - 70) + b2 * CASE WHEN sex = 1 THEN 0 ELSE 1 END))), 6)
-  AS distance
-FROM arms, newton WHERE turn = 15
+      GROUP BY turn, b0, b1, b2))),
+fitted AS (
+  SELECT patid, index_date, end_date, age, CASE WHEN sex = 1 THEN 0 ELSE 1 END AS sex, case_control,
+    1 / (1 + exp(-(b0 + b1 * (age - 70) + b2 * CASE WHEN sex = 1 THEN 0 ELSE 1 END))) AS distance
+  FROM arms, newton WHERE turn = 15)
 """
 
 
-def _walk(ratio: int, caliper: str = "") -> str:
+DAY_SCORE = "SELECT *, round(age * 365.25) + sex * 100000 AS score FROM arms"
+FITTED_SCORE = "SELECT *, round(distance, 12) AS score FROM fitted"
+
+
+def _walk(ratio: int, caliper: str = "", scored: str = DAY_SCORE) -> str:
     """Sequential matching, one case per step: ``pairs`` of case, control and round."""
     gap = f"AND abs(c.score - s.score) <= {caliper}" if caliper else ""
     return f""",
-scored AS (
-  SELECT *, round(age * 365.25) + sex * 100000 AS score FROM arms),
+scored AS ({scored}),
 ordered AS (
   SELECT patid, score, row_number() OVER (ORDER BY score DESC, patid) AS n
   FROM scored WHERE case_control),
@@ -246,6 +250,15 @@ def _matching(ratio: int, select: str, caliper: str = "") -> str:
     return BASE + _walk(ratio, caliper) + select
 
 
+# The study's own matching, on the fitted score, with index dates and follow-up.
+MATCHED = BASE + GLM + _walk(10, scored=FITTED_SCORE) + """,
+matched AS (
+  SELECT f.*, subclass, weights, new_index_date
+  FROM members JOIN fitted f USING (patid)
+  JOIN (SELECT patid AS subclass, index_date AS new_index_date FROM arms) USING (subclass)
+  WHERE end_date > new_index_date)
+"""
+
 ORACLE: dict[str, str] = {
     "dictionary_scan": _study("SELECT * FROM med_dict"),
     "product_dictionary_scan": _study("SELECT * FROM prod_dict"),
@@ -270,6 +283,9 @@ ORACLE: dict[str, str] = {
     "cohort_union": _study(
         "SELECT patid, index_date, end_date, round(age, 6) AS age, sex, case_control FROM arms"
     ),
+    "study_arms": _study(
+        "SELECT patid, index_date, end_date, round(age, 6) AS age, sex, case_control FROM arms"
+    ),
     "acceptable_patients": _study("SELECT * FROM patient WHERE acceptable <> 0"),
     "plausible_events": _study("""
         SELECT p.patid, yob, obsdate FROM patient p JOIN condition o ON p.patid = o.patid
@@ -341,7 +357,16 @@ ORACLE: dict[str, str] = {
         SELECT case_control, round(stddev_samp(age), 6) AS sd, round(avg(age), 6) AS mean,
           printf('%.2f - %.2f', min(age), max(age)) AS range, count(age) AS n
         FROM arms GROUP BY 1"""),
-    "propensity_score": BASE + GLM,
+    "propensity_score": BASE + GLM + "SELECT patid, round(distance, 6) AS distance FROM fitted",
+    "matched_cohort": MATCHED + """
+        SELECT patid, subclass, round(weights, 6) AS weights, index_date, end_date, round(age, 6) AS age,
+          sex, case_control, round(distance, 6) AS distance, new_index_date FROM matched""",
+    "matched_outcomes": MATCHED + f"""
+        SELECT patid, subclass, round(weights, 6) AS weights, index_date, end_date, round(age, 6) AS age,
+          sex, case_control, round(distance, 6) AS distance, new_index_date, first_outcome,
+          outcome_beforeindexdate, outcome_afterindexdate, outcome_beforeindex,
+          outcome_in12monthsafterindex, outcome_anyafterindex
+        FROM ({_with_outcome('matched', 'outcome', 'first_out')})""",
     "match_nearest": _matching(2, "SELECT * FROM pairs"),
     "match_nearest_shortfall": _matching(10, "SELECT * FROM pairs"),
     "match_nearest_caliper": _matching(2, "SELECT * FROM pairs", caliper="30"),
@@ -396,8 +421,9 @@ ORACLE: dict[str, str] = {
           WHERE subtype = 'all' AND starts_with(replace(l.icd10, '.', ''), replace(h.icd10, '.', '')))""",
     "event_subtypes": f"""
         WITH {_LINES}, heading(icd10, subtype) AS (VALUES {_HEADINGS})
-        SELECT DISTINCT l.*, subtype FROM lines l JOIN heading h
-          ON starts_with(replace(l.icd10, '.', ''), replace(h.icd10, '.', ''))""",
+        SELECT l.*, subtype FROM lines l JOIN (
+          SELECT DISTINCT code.icd10, subtype FROM (SELECT DISTINCT icd10 FROM lines) code JOIN heading h
+            ON starts_with(replace(code.icd10, '.', ''), replace(h.icd10, '.', ''))) USING (icd10)""",
     "classify_products": f"""
         WITH {_NAMES}, lookup AS (
           SELECT brand_name, min((generic_name, class)) AS meaning FROM (

@@ -70,14 +70,9 @@ def _controls(s: Star) -> DataFrame:
 
 
 def _arms(s: Star) -> DataFrame:
-    """Both arms; diagnoses and prescriptions are stored, as both arms use them."""
-    diagnosed = stage(_diagnosed(s), "diagnosed")
-    exposures = stage(s.exposure_events().select("patid", "issuedate").distinct(), "exposures")
-    cases = study.case_cohort(
-        diagnosed, study.first_exposure(s.patients(), exposures), s.practices(), RULES
+    return study.study_arms(
+        s.patients(), s.practices(), s.condition_events(), s.exposure_events(), RULES
     )
-    controls = study.control_cohort(diagnosed, exposures, s.practices(), RULES)
-    return study.combined_arms(cases, controls)
 
 
 def _paired(s: Star) -> DataFrame:
@@ -212,6 +207,11 @@ def cohort_report_cols(s: Star) -> DataFrame:
 
 @query
 def cohort_union(s: Star) -> DataFrame:
+    return _rounded(study.combined_arms(_cases(s), _controls(s)), "age")
+
+
+@query
+def study_arms(s: Star) -> DataFrame:
     return _rounded(_arms(s), "age")
 
 
@@ -562,7 +562,8 @@ def _coded_lines(s: Star) -> DataFrame:
 
 
 def _headings(s: Star) -> DataFrame:
-    return s.spark.createDataFrame(HEADINGS, "icd10 string, subtype string")
+    values = ", ".join(f"('{code}', '{label}')" for code, label in HEADINGS)
+    return s.spark.sql(f"SELECT icd10, subtype FROM VALUES {values} AS headings(icd10, subtype)")
 
 
 @query

@@ -42,6 +42,17 @@ def patient_events(patients: DataFrame, events: DataFrame) -> DataFrame:
     return patients.join(events.drop(*clash), "patid")
 
 
+def yearly_first(events: DataFrame, date: str) -> DataFrame:
+    """Earliest event per patient and calendar year; undated events form a year of their own.
+
+    Combined on the map side: however many events one patient has, later joins
+    see at most one row per year.
+    """
+    return events.groupBy("patid", F.year(date).alias("event_year")).agg(
+        F.min(date).alias("event_date"), F.lit(True).alias("any_event")
+    )
+
+
 def first_event(
     patients: DataFrame,
     events: DataFrame,
@@ -52,25 +63,17 @@ def first_event(
 ) -> DataFrame:
     """Earliest event date of each acceptable patient.
 
-    Events shrink to one row per patient and calendar year before they meet the
-    patients, with map-side combining: however many events one patient has, the
-    join sees at most one per year. The earliest date whose year passes the
-    birth-year test is the earliest of those years' minima, so this is exact.
-    ``check_dates=False`` leaves out the date tests, as the first draft did.
+    Events shrink to one row per patient and year before they meet the patients.
+    The earliest date whose year passes the birth-year test is the earliest of
+    those years' minima, so this is exact. ``check_dates=False`` leaves out the
+    date tests, as the first draft did.
     """
-    yearly = (
-        (has_date(events, date) if check_dates else events)
-        .groupBy("patid", F.year(date).alias("_year"))
-        .agg(F.min(date).alias("_date"))
-    )
-    joined = acceptable(patients).select("acceptable", "yob", *_without(keys, "yob")).join(yearly, "patid")
+    yearly = yearly_first(has_date(events, date) if check_dates else events, date)
+    wanted = ["acceptable", "yob", *(c for c in keys if c != "yob")]
+    joined = acceptable(patients).select(*wanted).join(yearly, "patid")
     if check_dates:
-        joined = joined.where(F.col("_year") > F.col("yob"))
-    return joined.groupBy(*keys).agg(F.min("_date").alias(name))
-
-
-def _without(columns: list[str], name: str) -> list[str]:
-    return [c for c in columns if c != name]
+        joined = joined.where(F.col("event_year") > F.col("yob"))
+    return joined.groupBy(*keys).agg(F.min("event_date").alias(name))
 
 
 def distinct_patients(df: DataFrame) -> DataFrame:

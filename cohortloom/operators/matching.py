@@ -66,18 +66,16 @@ def match_nearest(
     ``fill='rounds'`` gives every case its r-th control before any gets its next;
     ``'per_case'`` gives one case all its controls before the next case chooses.
     ``caliper`` is the largest score gap allowed. Members without a score cannot
-    be matched. The row bounds size tasks; they never change the result.
+    be matched. The row bounds size tasks; they never change the result. ``df`` is
+    read three times: store it first if it is costly to compute.
     """
     if fill not in ("rounds", "per_case"):
         raise ValueError(f"fill must be 'rounds' or 'per_case', not {fill!r}")
-    people = stage(
-        df.select(
-            F.col(unit).alias("id"),
-            F.col(treatment).alias("treated"),
-            F.round(F.col(score).cast("double"), SCORE_DIGITS).alias("score"),
-        ).where(F.col("score").isNotNull()),
-        "people",
-    )
+    people = df.select(
+        F.col(unit).alias("id"),
+        F.col(treatment).alias("treated"),
+        F.round(F.col(score).cast("double"), SCORE_DIGITS).alias("score"),
+    ).where(F.col("score").isNotNull())
     groups, size = stage_measured(
         people.groupBy("score", "treated").agg(F.count(F.lit(1)).alias("n")),
         "groups",
@@ -405,18 +403,22 @@ def matched_members(
     A set is named by its case. The case weighs 1 and its controls share 1
     between them. All other columns of ``df`` are carried along.
     """
-    sized = matches.select(
-        "case_id",
-        "control_id",
-        # A set has at most ``ratio`` rows.
-        (1.0 / F.count(F.lit(1)).over(Window.partitionBy("case_id"))).alias("weights"),
-    )
-    members = sized.select(
-        F.col("control_id").alias(unit), F.col("case_id").alias("subclass"), "weights"
-    ).unionByName(
-        matches.select(F.col("case_id").alias(unit), F.col("case_id").alias("subclass"))
-        .distinct()
-        .withColumn("weights", F.lit(1.0))
+    # A set has at most ``ratio`` rows. Its first row also brings in the case.
+    in_set = Window.partitionBy("case_id")
+    first = F.row_number().over(in_set.orderBy("match_round", "control_id")) == 1
+    share = 1.0 / F.count(F.lit(1)).over(in_set)
+
+    def member(who: str, weight):
+        return F.struct(F.col(who).alias(unit), weight.alias("weights"))
+
+    control, case = member("control_id", F.col("_share")), member("case_id", F.lit(1.0))
+    members = (
+        matches.select("case_id", "control_id", share.alias("_share"), first.alias("_first"))
+        .select(
+            F.col("case_id").alias("subclass"),
+            F.explode(F.when(F.col("_first"), F.array(control, case)).otherwise(F.array(control))).alias("m"),
+        )
+        .select("m.*", "subclass")
     )
     carried = df if score is None else df.withColumnRenamed(score, "distance")
     return members.join(carried, unit)

@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, functions as F
 
-from cohortloom.session import stage
+from cohortloom.session import stage_measured
 
 MAX_ITERATIONS = 25
 TOLERANCE = 1e-8
@@ -22,16 +22,22 @@ def propensity_score(
     """Add ``name``: the fitted probability of being in the treated arm.
 
     Unregularised maximum likelihood by iteratively reweighted least squares.
-    People with equal covariates are counted first, and the fit runs on the
-    weighted combinations: the same estimate without a pass over all people per
-    iteration. The score itself is a plain column expression. A person with a
+    People with equal covariates become one observation, the share treated
+    weighted by their number: the same estimate without a pass over all people
+    per iteration. The score itself is a plain column expression. A person with a
     missing covariate gets a NULL score.
     """
     columns = [F.col(c).cast("double").alias(c) for c in covariates]
     complete = df.select(F.col(treatment).cast("double").alias("label"), *columns).dropna()
-    cells = stage(complete.groupBy("label", *covariates).agg(F.count(F.lit(1)).cast("double").alias("n")), "cells")
-    arms = cells.agg(F.countDistinct("label")).first()[0]
-    if arms < 2:
+    cells, seen = stage_measured(
+        complete.groupBy(*covariates).agg(
+            F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("n")
+        ),
+        "cells",
+        treated=F.sum(F.col("label") * F.col("n")),
+        people=F.sum("n"),
+    )
+    if not seen["people"] or not 0 < round(seen["treated"]) < seen["people"]:
         raise ValueError("a propensity score needs members in both arms")
 
     vectors = VectorAssembler(inputCols=covariates, outputCol="features").transform(cells)

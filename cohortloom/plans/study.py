@@ -10,8 +10,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
+from cohortloom.functions import dates as D
 from cohortloom.operators import cohort as C, demographics as G, events as E
 from cohortloom.operators.matching import assign_index, match_nearest, matched_members
 from cohortloom.operators.outcomes import event_days, outcome_table
@@ -72,12 +73,58 @@ def control_cohort(
 
 
 def combined_arms(cases: DataFrame, controls: DataFrame) -> DataFrame:
+    """Matching input from two cohorts built separately."""
     return C.combine_arms(
         C.matching_input(cases, "first_exposure"),
         C.matching_input(controls, placeholder=NO_INDEX),
     )
 
 
+def study_arms(
+    patients: DataFrame,
+    practices: DataFrame,
+    condition_events: DataFrame,
+    exposure_events: DataFrame,
+    rules: Rules,
+) -> DataFrame:
+    """Matching input for both arms in one pass.
+
+    The same rows as ``combined_arms`` of the two cohorts, but each event table
+    is read once and every join and grouping shares the partitioning by patient.
+    A patient is in one arm at most, so no de-duplication is needed.
+    """
+    diagnosed = first_condition(patients, condition_events)
+    # All prescriptions count against a control, dated and plausible or not.
+    yearly = E.yearly_first(exposure_events, "issuedate")
+    known = diagnosed.join(yearly, "patid", "left").groupBy(*PATIENT_KEYS, "first_obsdate").agg(
+        F.min(F.when(F.col("event_year") > F.col("yob"), F.col("event_date"))).alias("first_exposure"),
+        F.count(F.col("any_event")).alias("_prescribed_years"),
+    )
+    born = G.with_dob(known)
+    end = F.lit(rules.study_end)
+    is_case = (F.col("first_obsdate") <= F.col("first_exposure")) & D.has_age(
+        F.col("first_exposure"), F.col("dob"), rules.min_age
+    )
+    is_control = F.col("_prescribed_years") == 0
+    for column in ("regenddate", "emis_ddate"):
+        is_control = is_control & D.has_age(
+            F.coalesce(F.col(column), end), F.col("dob"), rules.min_age
+        )
+    is_control = is_control & D.has_age(end, F.col("dob"), rules.min_age)
+    armed = born.withColumn(
+        "case_control", F.when(is_case, F.lit(True)).when(is_control, F.lit(False))
+    ).where(F.col("case_control").isNotNull())
+    ended = G.follow_up_end(C.with_practice(armed, practices), rules.study_end)
+    return G.with_age(ended, rules.study_end).select(
+        "patid",
+        F.when(F.col("case_control"), F.col("first_exposure")).otherwise(F.lit(NO_INDEX)).alias("index_date"),
+        "end_date",
+        "age",
+        F.col("gender").alias("sex"),
+        "case_control",
+    )
+
+
 def scored_arms(arms: DataFrame, recode_sex: bool = True) -> DataFrame:
     """Arms with a propensity score on age and sex, stored for the steps that follow."""
     stored = stage(arms, "arms")
@@ -87,7 +134,7 @@ def scored_arms(arms: DataFrame, recode_sex: bool = True) -> DataFrame:
 
 def match_arms(scored: DataFrame, ratio: int, **options) -> DataFrame:
     """Matched members in long form."""
-    matches = stage(match_nearest(scored, "case_control", "distance", ratio, **options), "matches")
+    matches = match_nearest(scored, "case_control", "distance", ratio, **options)
     return matched_members(matches, scored)
 
 
@@ -122,16 +169,9 @@ def run_study(
     rules: Rules,
     name: str = "outcome",
 ) -> DataFrame:
-    """The matched outcome table.
-
-    Both arms use the first diagnoses and the coded prescriptions; each is
-    stored once, so the large tables are read once per code set.
-    """
-    diagnosed = stage(first_condition(patients, condition_events), "diagnosed")
-    exposures = stage(exposure_events.select("patid", "issuedate").distinct(), "exposures")
-    cases = case_cohort(diagnosed, first_exposure(patients, exposures), practices, rules)
-    controls = control_cohort(diagnosed, exposures, practices, rules)
-    members = stage(matched_cohort(combined_arms(cases, controls), rules), "members")
+    """The matched outcome table; each event table is read once."""
+    arms = study_arms(patients, practices, condition_events, exposure_events, rules)
+    members = stage(matched_cohort(arms, rules), "members")
     return outcomes(members, patients, outcome_events, name=name)
 
 

@@ -14,6 +14,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortloom.operators.events import coded_events
 
+# Columns used here; a given schema spares a look at the files before each scan.
+_SCHEMAS = {
+    "nation": "n_nationkey int, n_name string",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_shipdate timestamp_ntz",
+}
 STUDY_END = date(2001, 6, 1)
 CONDITION, OUTCOME, SECOND_OUTCOME = "1-URGENT", "2-HIGH", "3-MEDIUM"
 
@@ -24,7 +32,7 @@ class Star:
     folder: str
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def patients(self) -> DataFrame:
         key = F.col("c_custkey")
@@ -99,7 +107,8 @@ class Star:
         )
 
     def med_codes(self, *codes: str) -> DataFrame:
-        return self.spark.createDataFrame([(c,) for c in codes], "code string")
+        values = ", ".join(f"('{c}')" for c in codes)
+        return self.spark.sql(f"SELECT code FROM VALUES {values} AS codes(code)")
 
     def condition_events(self) -> DataFrame:
         return coded_events(self.observations(), self.med_codes(CONDITION), "medcodeid")
