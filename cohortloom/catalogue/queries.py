@@ -100,7 +100,7 @@ def _followed_cases(s: Star) -> DataFrame:
 
 
 def _outcomes(s: Star, cohort: DataFrame, code: str = OUTCOME) -> DataFrame:
-    return study.outcomes(cohort, s.patients(), s.outcome_events(code))
+    return O.outcome_table(cohort, s.patients(), s.outcome_events(code))
 
 
 def _day_scored(s: Star) -> DataFrame:
@@ -711,8 +711,7 @@ def second_outcome_table(s: Star) -> DataFrame:
 
 @query
 def summary_tables(s: Star) -> DataFrame:
-    members = stage(_followed(s), "members")
-    return S.summary_tables(_outcomes(s, members))
+    return S.summary_tables(_outcomes(s, _followed(s)))
 
 
 @query

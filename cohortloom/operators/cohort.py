@@ -68,11 +68,18 @@ def row_count(df: DataFrame, name: str = "n") -> DataFrame:
 
 
 def attrition(steps: list[tuple[str, DataFrame]]) -> DataFrame:
-    """One row per selection step with its number of patients, computed in one job."""
-    table = None
-    for number, (name, df) in enumerate(steps, start=1):
-        row = df.agg(F.countDistinct("patid").alias("patients")).select(
-            F.lit(number).alias("step_no"), F.lit(name).alias("step"), "patients"
-        )
-        table = row if table is None else table.unionByName(row)
-    return table
+    """One row per selection step with its number of patients.
+
+    All steps are counted by one grouping over rows tagged with their step. A
+    row without a patient stands for each step, so that an empty one shows zero.
+    """
+    spark = steps[0][1].sparkSession
+    tagged = spark.range(1, len(steps) + 1).select(
+        F.col("id").cast("int").alias("step_no"), F.lit(None).cast("bigint").alias("patid")
+    )
+    for number, (_, df) in enumerate(steps, start=1):
+        tagged = tagged.unionByName(df.select(F.lit(number).alias("step_no"), "patid"))
+    names = F.array(*[F.lit(name) for name, _ in steps])
+    return tagged.groupBy("step_no").agg(F.countDistinct("patid").alias("patients")).select(
+        "step_no", F.element_at(names, F.col("step_no")).alias("step"), "patients"
+    )

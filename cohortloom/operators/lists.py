@@ -8,15 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortloom.functions.text import normal_name, undotted, words
 from cohortloom.operators.joins import lookup_join
-
-
-def _prefixes(code):
-    """Every leading part of the undotted code; codes are a few characters long."""
-    bare = undotted(code)
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(bare), F.lit(1))),
-        lambda n: F.substring(bare, F.lit(1), n),
-    )
+from cohortloom.session import stage
 
 
 def shortest_headings(prefixes: DataFrame, group: list[str], column: str = "icd10") -> DataFrame:
@@ -26,34 +18,48 @@ def shortest_headings(prefixes: DataFrame, group: list[str], column: str = "icd1
         .where(F.col("heading") != "")
         .distinct()
     )
-    parts = listed.select(
-        *group, "heading", F.explode(_prefixes(F.col("heading"))).alias("shorter")
-    ).where(F.col("shorter") != F.col("heading"))
+    cuts = F.sequence(F.lit(1), F.length("heading"))
+    parts = (
+        listed.select(*group, "heading", F.explode(cuts).alias("n"))
+        .where(F.col("n") < F.length("heading"))
+        .select(*group, "heading", F.expr("substring(heading, 1, n)").alias("shorter"))
+    )
     known = listed.select(*group, F.col("heading").alias("shorter"))
     covered = parts.join(known, group + ["shorter"], "left_semi").select(*group, "heading").distinct()
     return listed.join(covered, group + ["heading"], "left_anti")
 
 
+def _match_headings(events: DataFrame, headings: DataFrame, code: str, how: str) -> DataFrame:
+    """Join events to headings on each heading length that occurs.
+
+    An event becomes one row per length, matched by equality against the list
+    after a size check: no range join, and no shuffle of the events.
+    """
+    # Distinct lengths: a handful of numbers, however long the list.
+    lengths = sorted(r[0] for r in headings.select(F.length("heading")).distinct().collect())
+    bare = undotted(F.col(code))
+    parts = [F.when(F.length(bare) >= n, F.substring(bare, 1, n)) for n in lengths]
+    nothing = F.array(F.lit(None).cast("string"))
+    parted = events.withColumn("heading", F.explode(F.array(*parts) if parts else nothing))
+    return lookup_join(
+        parted.where(F.col("heading").isNotNull()), headings, "heading", how
+    ).drop("heading")
+
+
 def prefix_coded_events(
     events: DataFrame, prefixes: DataFrame, code: str, column: str = "icd10"
 ) -> DataFrame:
-    """Events whose code starts with a listed heading, dots ignored; one row per event.
-
-    Each event becomes one row per leading part of its code, matched by equality
-    against the broadcast list: no range join, and no shuffle of the events.
-    """
-    headings = shortest_headings(prefixes, [], column)
-    parted = events.withColumn("heading", F.explode(_prefixes(F.col(code))))
-    return lookup_join(parted, headings, "heading", "left_semi").drop("heading")
+    """Events whose code starts with a listed heading, dots ignored; one row per event."""
+    headings = stage(shortest_headings(prefixes, [], column), "headings")
+    return _match_headings(events, headings, code, "left_semi")
 
 
 def label_events(
     events: DataFrame, lists: DataFrame, code: str, label: str = "subtype", column: str = "icd10"
 ) -> DataFrame:
     """Events with every label whose list holds a heading of their code: one row per label."""
-    headings = shortest_headings(lists, [label], column)
-    parted = events.withColumn("heading", F.explode(_prefixes(F.col(code))))
-    return lookup_join(parted, headings, "heading").drop("heading")
+    headings = stage(shortest_headings(lists, [label], column), "headings")
+    return _match_headings(events, headings, code, "inner")
 
 
 def classify_products(

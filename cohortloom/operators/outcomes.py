@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from cohortloom.functions.dates import after_birth_year
+from cohortloom.operators.events import acceptable
+
 TWELVE_MONTHS = 365
 
 
@@ -73,16 +76,26 @@ def outcome_flags(df: DataFrame, index: str = "new_index_date", name: str = "out
 
 def outcome_table(
     cohort: DataFrame,
-    first: DataFrame,
+    patients: DataFrame,
     events: DataFrame,
     index: str = "new_index_date",
+    date: str = "obsdate",
     name: str = "outcome",
     censor: str | None = None,
 ) -> DataFrame:
     """Cohort with first outcome, dates before and after the index, and flags.
 
-    Every step is keyed by patient, so the joins share one partitioning.
+    The steps above in one pass: the outcome events are read once, and the joins
+    and the grouping share one partitioning by patient. The first outcome counts
+    plausible events of acceptable patients, the others any dated event.
     """
-    before = outcome_before(with_first_outcome(cohort, first), index, name)
-    after = outcome_after(cohort, events, index, name=name, censor=censor)
-    return outcome_flags(before.join(after, ["patid", index]), index, name)
+    birth = acceptable(patients).select("patid", F.col("yob").alias("_yob"))
+    joined = cohort.join(birth, "patid", "left").join(event_days(events, date), "patid", "left")
+    when, start = F.col(date), F.col(index)
+    counted = F.lit(True) if censor is None else when <= F.col(censor)
+    found = joined.groupBy(*cohort.columns).agg(
+        F.min(F.when(after_birth_year(when, F.col("_yob")), when)).alias("first_outcome"),
+        F.min(F.when((when > start) & counted, when)).alias(f"{name}_afterindexdate"),
+        F.max(F.when((when >= start) & counted, 1).otherwise(0)).alias("_on_or_after"),
+    )
+    return outcome_flags(outcome_before(found, index, name), index, name)

@@ -75,43 +75,30 @@ def _cells(df: DataFrame, treatment: str, covariates: list[str], w: Column) -> D
     )
 
 
-def _moments(cells: DataFrame) -> DataFrame:
-    """Weighted mean and variance per covariate and arm; p(1-p) for a 0/1 covariate."""
-    x = F.col("value")
-    totals = cells.groupBy("covariate").agg(
-        F.sum("w_t").alias("sum_t"),
-        F.sum("w_c").alias("sum_c"),
-        (F.sum(F.col("w_t") * x) / F.sum("w_t")).alias("mean_t"),
-        (F.sum(F.col("w_c") * x) / F.sum("w_c")).alias("mean_c"),
-        (F.sum("ww_t") / (F.sum("w_t") * F.sum("w_t"))).alias("conc_t"),
-        (F.sum("ww_c") / (F.sum("w_c") * F.sum("w_c"))).alias("conc_c"),
-        F.bool_and(x.isin(0.0, 1.0)).alias("is_binary"),
-    )
-    # One row per covariate: the broadcast side is as long as the argument list.
-    spread = cells.join(F.broadcast(totals), "covariate")
+def _totals(cells: DataFrame) -> DataFrame:
+    """Weight, mean and weight concentration per covariate and arm."""
+    columns = []
+    for arm in ("t", "c"):
+        w = F.col(f"w_{arm}")
+        columns += [
+            F.sum(w).alias(f"sum_{arm}"),
+            (F.sum(w * F.col("value")) / F.sum(w)).alias(f"mean_{arm}"),
+            (F.sum(f"ww_{arm}") / (F.sum(w) * F.sum(w))).alias(f"conc_{arm}"),
+        ]
+    is_binary = F.bool_and(F.col("value").isin(0.0, 1.0)).alias("is_binary")
+    return cells.groupBy("covariate").agg(*columns, is_binary)
 
-    def square(arm: str) -> Column:
-        centred = x - F.col(f"mean_{arm}")
-        return F.sum(F.col(f"w_{arm}") / F.col(f"sum_{arm}") * centred * centred)
 
-    squares = spread.groupBy("covariate").agg(square("t").alias("sq_t"), square("c").alias("sq_c"))
+def _square(arm: str) -> Column:
+    """Share of the arm's variance that one value contributes."""
+    centred = F.col("value") - F.col(f"mean_{arm}")
+    return F.col(f"w_{arm}") / F.col(f"sum_{arm}") * centred * centred
 
-    def variance(arm: str) -> Column:
-        mean, conc = F.col(f"mean_{arm}"), F.col(f"conc_{arm}")
-        return F.when(F.col("is_binary"), mean * (1 - mean)).when(
-            conc < 1, F.col(f"sq_{arm}") / (1 - conc)
-        )
 
-    return totals.join(F.broadcast(squares), "covariate").select(
-        "covariate",
-        "is_binary",
-        "sum_t",
-        "sum_c",
-        "mean_t",
-        "mean_c",
-        variance("t").alias("var_t"),
-        variance("c").alias("var_c"),
-    )
+def _variance(arm: str) -> Column:
+    """Weighted sample variance; p(1-p) for a 0/1 covariate."""
+    mean, conc = F.col(f"mean_{arm}"), F.col(f"conc_{arm}")
+    return F.when(F.col("is_binary"), mean * (1 - mean)).when(conc < 1, F.col(f"sq_{arm}") / (1 - conc))
 
 
 def balance(
@@ -127,40 +114,45 @@ def balance(
     Mean differences are standardised by the treated arm's standard deviation in
     ``reference``, the sample before matching (default ``df``). The largest and
     mean gap between the arms' distribution functions are taken over the distinct
-    pooled values. Members are aggregated once to weights per value; the running
-    sums are over values.
+    pooled values. Members are aggregated once to weights per value; all else
+    runs over values.
     """
     w = F.col(weights) if weights else F.lit(1.0)
     cells = stage(_cells(df, treatment, covariates, w), "balance")
-    moments = _moments(cells)
+    totals = _totals(cells)
+    # One row per covariate: the broadcast side is as long as the argument list.
+    spread = cells.join(F.broadcast(totals), "covariate").withColumn(
+        "step", F.col("w_t") / F.col("sum_t") - F.col("w_c") / F.col("sum_c")
+    )
+    walked = running_total(spread, ["covariate"], ["value"], F.col("step"), "before", window_rows)
+    gap = F.abs(F.col("before") + F.col("step"))
+    measured = walked.groupBy(*totals.columns).agg(
+        F.sum(_square("t")).alias("sq_t"),
+        F.sum(_square("c")).alias("sq_c"),
+        F.avg(gap).alias("gap_mean"),
+        F.max(gap).alias("gap_max"),
+    ).select("*", _variance("t").alias("var_t"), _variance("c").alias("var_c"))
+
     if reference is None:
-        scale = moments.select("covariate", F.sqrt("var_t").alias("sd_t"))
+        scaled = measured.withColumn("sd_t", F.sqrt("var_t"))
     else:
         base = stage(_cells(reference, treatment, covariates, F.lit(1.0)), "balance")
-        scale = _moments(base).select("covariate", F.sqrt("var_t").alias("sd_t"))
-
-    steps = cells.join(F.broadcast(moments.select("covariate", "sum_t", "sum_c")), "covariate").select(
-        "covariate",
-        "value",
-        (F.col("w_t") / F.col("sum_t") - F.col("w_c") / F.col("sum_c")).alias("step"),
-    )
-    walked = running_total(steps, ["covariate"], ["value"], F.col("step"), "before", window_rows)
-    gap = F.abs(F.col("before") + F.col("step"))
-    gaps = walked.groupBy("covariate").agg(F.avg(gap).alias("gap_mean"), F.max(gap).alias("gap_max"))
+        base_totals = _totals(base)
+        base_spread = base.join(F.broadcast(base_totals), "covariate")
+        scale = base_spread.groupBy(*base_totals.columns).agg(F.sum(_square("t")).alias("sq_t"))
+        scaled = measured.join(
+            F.broadcast(scale.select("covariate", F.sqrt(_variance("t")).alias("sd_t"))), "covariate"
+        )
 
     difference = F.col("mean_t") - F.col("mean_c")
-    return (
-        moments.join(F.broadcast(scale), "covariate")
-        .join(F.broadcast(gaps), "covariate")
-        .select(
-            "covariate",
-            F.col("mean_t").alias("mean_treated"),
-            F.col("mean_c").alias("mean_control"),
-            F.when(F.col("sd_t") > 0, difference / F.col("sd_t")).alias("std_mean_diff"),
-            F.when(~F.col("is_binary") & (F.col("var_c") > 0), F.col("var_t") / F.col("var_c")).alias(
-                "var_ratio"
-            ),
-            F.when(F.col("is_binary"), F.abs(difference)).otherwise(F.col("gap_mean")).alias("ecdf_mean"),
-            F.when(F.col("is_binary"), F.abs(difference)).otherwise(F.col("gap_max")).alias("ecdf_max"),
-        )
+    return scaled.select(
+        "covariate",
+        F.col("mean_t").alias("mean_treated"),
+        F.col("mean_c").alias("mean_control"),
+        F.when(F.col("sd_t") > 0, difference / F.col("sd_t")).alias("std_mean_diff"),
+        F.when(~F.col("is_binary") & (F.col("var_c") > 0), F.col("var_t") / F.col("var_c")).alias(
+            "var_ratio"
+        ),
+        F.when(F.col("is_binary"), F.abs(difference)).otherwise(F.col("gap_mean")).alias("ecdf_mean"),
+        F.when(F.col("is_binary"), F.abs(difference)).otherwise(F.col("gap_max")).alias("ecdf_max"),
     )

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from cohortloom.functions import dates as D
 from cohortloom.operators import cohort as C, demographics as G, events as E
 from cohortloom.operators.matching import assign_index, match_nearest, matched_members
-from cohortloom.operators.outcomes import event_days, outcome_table
+from cohortloom.operators.outcomes import outcome_table
 from cohortloom.operators.propensity import propensity_score
 from cohortloom.session import stage
 
@@ -147,19 +147,6 @@ def matched_cohort(arms: DataFrame, rules: Rules, **options) -> DataFrame:
     return followed_members(match_arms(scored_arms(arms), rules.ratio, **options))
 
 
-def outcomes(
-    cohort: DataFrame,
-    patients: DataFrame,
-    outcome_events: DataFrame,
-    index: str = "new_index_date",
-    name: str = "outcome",
-    censor: str | None = None,
-) -> DataFrame:
-    """Outcome dates and flags; the coded outcome events are read once and stored as days."""
-    days = stage(event_days(outcome_events), "outcome-days")
-    return outcome_table(cohort, first_outcome(patients, days), days, index, name, censor)
-
-
 def run_study(
     patients: DataFrame,
     practices: DataFrame,
@@ -171,8 +158,7 @@ def run_study(
 ) -> DataFrame:
     """The matched outcome table; each event table is read once."""
     arms = study_arms(patients, practices, condition_events, exposure_events, rules)
-    members = stage(matched_cohort(arms, rules), "members")
-    return outcomes(members, patients, outcome_events, name=name)
+    return outcome_table(matched_cohort(arms, rules), patients, outcome_events, name=name)
 
 
 def draft_cohorts(

@@ -2,6 +2,8 @@
 
 from datetime import date, timedelta
 
+from pyspark.sql import functions as F
+
 from cohortloom.operators import outcomes as O
 
 INDEX = date(2000, 1, 10)
@@ -19,10 +21,16 @@ def result(spark, offsets_by_patient, **options):
         (p, None if n is None else day(n)) for p, offsets in offsets_by_patient.items() for n in offsets
     ]
     events = spark.createDataFrame(rows, "patid bigint, obsdate date")
-    first = events.where("obsdate is not null").groupBy("patid").agg({"obsdate": "min"}).toDF(
-        "patid", "first_outcome"
+    patients = cohort.selectExpr("patid", "1 AS acceptable", "1930 AS yob")
+    table = O.outcome_table(cohort, patients, events, **options)
+    first = events.groupBy("patid").agg(F.min("obsdate").alias("first_outcome"))
+    after = O.outcome_after(cohort, events, **options)
+    stepwise = O.outcome_flags(
+        O.outcome_before(O.with_first_outcome(cohort, first)).join(after, ["patid", "new_index_date"])
+    )
+    assert sorted(map(str, table.select(sorted(table.columns)).collect())) == sorted(
+        map(str, stepwise.select(sorted(stepwise.columns)).collect())
     )
-    table = O.outcome_table(cohort, first, events, **options)
     return {
         r.patid: (
             r.outcome_beforeindexdate, r.outcome_afterindexdate, r.outcome_beforeindex,
@@ -65,3 +73,13 @@ def test_outcome_positive_members(spark):
     first = spark.createDataFrame([(2, INDEX)], "patid bigint, first_outcome date")
     assert [r.patid for r in O.with_first_outcome(cohort, first, "inner").collect()] == [2]
     assert O.with_first_outcome(cohort, first).count() == 2
+
+
+def test_first_outcome_needs_an_acceptable_patient_and_a_plausible_year(spark):
+    cohort = spark.createDataFrame([(1, INDEX), (2, INDEX), (3, INDEX)], "patid bigint, new_index_date date")
+    patients = spark.createDataFrame(
+        [(1, 1, 2000), (2, 0, 1930), (3, 1, 1930)], "patid bigint, acceptable int, yob int"
+    )
+    events = spark.createDataFrame([(p, day(3)) for p in (1, 2, 3)], "patid bigint, obsdate date")
+    got = {r.patid: (r.first_outcome, r.outcome_afterindexdate) for r in O.outcome_table(cohort, patients, events).collect()}
+    assert got == {1: (None, day(3)), 2: (None, day(3)), 3: (day(3), day(3))}
