@@ -38,14 +38,24 @@ EXPAND_ROWS = 10_000
 
 NONE = -1
 
-# One layout for control positions (slots), proposing case groups (cases) and
-# units a slot gave up for a better case (bumps).
-_STATE = (
-    "kind string, pos bigint, score double, prev_score double, next_score double, "
-    "room bigint, held_rank array<bigint>, held_units array<bigint>, "
-    "rank bigint, units bigint, below bigint, above bigint, below_score double, above_score double"
-)
-_COLUMNS = [field.split()[0] for field in _STATE.split(", ")]
+# Rows of the matching state: slots are control groups in score order, cases are
+# proposing case groups, held are units a slot has accepted for now, and bumps
+# are units it gave up for a better case.
+_COLUMNS = {
+    "kind": "string",
+    "pos": "bigint",
+    "score": "double",
+    "prev_score": "double",
+    "next_score": "double",
+    "room": "bigint",
+    "rank": "bigint",
+    "units": "bigint",
+    "below": "bigint",
+    "above": "bigint",
+    "below_score": "double",
+    "above_score": "double",
+}
+_STATE = ", ".join(f"{name} {kind}" for name, kind in _COLUMNS.items())
 
 
 def match_nearest(
@@ -166,43 +176,37 @@ def _settle(
     propose, and a task never meets more than a block of slots and a batch of
     proposers.
     """
-    slots = start.where("kind = 'slot'")
+    slots = start.where("kind = 'slot'").select(*_COLUMNS)
     asking = start.where("kind = 'case'")
     settled = None
     for first in range(0, max(proposers, 1), batch_rows):
-        batch = asking.where(F.col("rank").between(first, first + batch_rows - 1))
-        state = slots.select(*_COLUMNS).unionByName(batch.select(*_COLUMNS))
+        if settled is not None:
+            slots = _with_less_room(slots, held)
+        moving = asking.where(F.col("rank").between(first, first + batch_rows - 1)).select(*_COLUMNS)
         for turn in range(max_rounds):
-            state, unfinished = _turn(state, caliper, block_rows, turn)
+            moving, unfinished = _turn(slots, moving, caliper, block_rows, turn)
             if not unfinished:
                 break
         else:
             raise RuntimeError(f"matching unfinished after {max_rounds} rounds of proposals")
-        held = state.where("kind = 'slot'").select(
-            "pos",
-            F.col("score").alias("control_score"),
-            F.explode(F.arrays_zip("held_rank", "held_units")).alias("h"),
-        ).select(
-            F.col("h.held_rank").alias("rank"), "pos", "control_score", F.col("h.held_units").alias("units")
+        held = moving.where("kind = 'held'").select(
+            "rank", "pos", F.col("score").alias("control_score"), "units"
         )
         settled = held if settled is None else settled.unionByName(held)
-        used = F.aggregate("held_units", F.lit(0).cast("bigint"), lambda total, units: total + units)
-        slots = (
-            state.where("kind = 'slot'")
-            .withColumn("room", F.col("room") - used)
-            .withColumn("held_rank", F.array().cast("array<bigint>"))
-            .withColumn("held_units", F.array().cast("array<bigint>"))
-        )
     return settled.join(
         asking.select("rank", "match_round", F.col("score").alias("case_score")), "rank"
     )
 
 
+def _with_less_room(slots: DataFrame, held: DataFrame) -> DataFrame:
+    used = held.groupBy("pos").agg(F.sum("units").alias("_used"))
+    left = F.col("room") - F.coalesce(F.col("_used"), F.lit(0))
+    return stage(slots.join(used, "pos", "left").withColumn("room", left).select(*_COLUMNS), "slots")
+
+
 def _as_state(slots: DataFrame, proposals: DataFrame) -> DataFrame:
-    none_held = F.array().cast("array<bigint>")
     slot_rows = slots.select(
-        F.lit("slot").alias("kind"), "pos", "score", "prev_score", "next_score", "room",
-        none_held.alias("held_rank"), none_held.alias("held_units"),
+        F.lit("slot").alias("kind"), "pos", "score", "prev_score", "next_score", "room"
     )
     case_rows = proposals.select(
         F.lit("case").alias("kind"), "score", "rank", "match_round", F.col("n").alias("units"),
@@ -221,39 +225,52 @@ def _has_next():
 
 
 def _turn(
-    state: DataFrame, caliper: float | None, block_rows: int, turn: int
+    slots: DataFrame, moving: DataFrame, caliper: float | None, block_rows: int, turn: int
 ) -> tuple[DataFrame, int]:
-    """Let every block settle the proposals that reach it, then merge what left the blocks."""
+    """Let every block settle the proposals that reach it, then merge what left the blocks.
+
+    Only blocks that are asked take part. Returns the moved rows and how many of
+    them have somewhere to go.
+    """
     # Alternate turns shift the cuts by half a block, so that proposers straddling
     # a cut are settled whole in the next turn.
     shift = (turn % 2) * (block_rows // 2)
+
+    def block(pos):
+        return F.floor((pos + shift) / F.lit(block_rows)).cast("bigint")
+
     to_below = (F.col("below") != NONE) & (
         (F.col("above") == NONE)
         | (F.col("score") - F.col("below_score") <= F.col("above_score") - F.col("score"))
     )
-    target = F.when(F.col("kind") == "slot", F.col("pos")).otherwise(
-        F.when(to_below, F.col("below")).otherwise(F.col("above"))
-    )
-    block = F.floor((target + shift) / F.lit(block_rows)).cast("bigint")
-    active = (F.col("kind") == "slot") | _has_next()
+    asked = F.when(to_below, F.col("below")).otherwise(F.col("above"))
+    active = moving.where(_has_next()).withColumn("block", block(asked))
+    # At most one row per block of slots.
+    reached = F.broadcast(active.select("block").distinct())
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         return _settle_block(pdf, caliper)
 
+    held = moving.where("kind = 'held'").withColumn("block", block(F.col("pos")))
     worked = (
-        state.where(active)
-        .select(block.alias("block"), *_COLUMNS)
+        slots.withColumn("block", block(F.col("pos")))
+        .unionByName(held)
+        .join(reached, "block", "left_semi")
+        .unionByName(active)
         .groupBy("block")
         .applyInPandas(settle, _STATE)
     )
+    resting = held.join(reached, "block", "left_anti").drop("block").unionByName(
+        moving.where((F.col("kind") == "case") & ~_has_next())
+    )
     out, seen = stage_measured(
-        worked.unionByName(state.where(~active).select(*_COLUMNS)),
+        worked.unionByName(resting),
         "turn",
         unfinished=F.count_if(_has_next() | (F.col("kind") == "bump")),
     )
     # A bumped proposer's own row may sit in another block; its units come home here.
     cases = (
-        out.where("kind <> 'slot'")
+        out.where("kind <> 'held'")
         .groupBy("rank")
         .agg(
             F.max("score").alias("score"),
@@ -262,7 +279,7 @@ def _turn(
         )
         .withColumn("kind", F.lit("case"))
     )
-    merged = out.where("kind = 'slot'").unionByName(cases, allowMissingColumns=True)
+    merged = out.where("kind = 'held'").unionByName(cases, allowMissingColumns=True)
     return merged.select(*_COLUMNS), seen["unfinished"]
 
 
@@ -273,11 +290,11 @@ def _settle_block(pdf: pd.DataFrame, caliper: float | None) -> pd.DataFrame:
     first, size = int(slots["pos"].iloc[0]), len(slots)
     scores = slots["score"].tolist()
     before, after = slots["prev_score"].iloc[0], slots["next_score"].iloc[-1]
-    held = [
-        sorted(zip((int(r) for r in ranks), (int(u) for u in units)))
-        for ranks, units in zip(slots["held_rank"], slots["held_units"])
-    ]
-    free = [int(room) - sum(u for _, u in h) for room, h in zip(slots["room"], held)]
+    free = slots["room"].astype("int64").tolist()
+    held: list[list[tuple[int, int]]] = [[] for _ in range(size)]
+    for row in pdf[pdf["kind"] == "held"].sort_values("rank").itertuples(index=False):
+        held[int(row.pos) - first].append((int(row.rank), int(row.units)))
+        free[int(row.pos) - first] -= int(row.units)
     # open_below[k + 1] leads to the nearest slot at or below k that may still accept.
     open_below, open_above = list(range(size + 1)), list(range(size + 1))
 
@@ -340,18 +357,17 @@ def _settle_block(pdf: pd.DataFrame, caliper: float | None) -> pd.DataFrame:
                     above, above_score = step(k, False)
         cases[rank] = [score, units, below, above, below_score, above_score]
 
-    placed = slots[["kind", "pos", "score", "prev_score", "next_score", "room"]].assign(
-        held_rank=[[r for r, _ in h] for h in held], held_units=[[u for _, u in h] for h in held]
-    )
+    rows = [("held", first + k, scores[k], r, u) for k, h in enumerate(held) for r, u in h]
+    kept = pd.DataFrame(rows, columns=["kind", "pos", "score", "rank", "units"])
     moved = pd.DataFrame(
         [("case", r, *c) for r, c in cases.items()]
         + [("bump", r, None, u, None, None, None, None) for r, u in bumped.items()],
         columns=["kind", "rank", "score", "units", "below", "above", "below_score", "above_score"],
     )
-    moved["held_rank"] = moved["held_units"] = [[] for _ in range(len(moved))]
-    out = pd.concat([placed, moved], ignore_index=True).reindex(columns=_COLUMNS)
-    for column in ("pos", "room", "rank", "units", "below", "above"):
-        out[column] = out[column].astype("Int64")
+    out = pd.concat([kept, moved], ignore_index=True).reindex(columns=list(_COLUMNS))
+    for column, kind in _COLUMNS.items():
+        if kind != "string":
+            out[column] = out[column].astype("Int64" if kind == "bigint" else "float64")
     return out
 
 
