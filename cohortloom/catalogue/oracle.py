@@ -262,6 +262,13 @@ matched AS (
 ORACLE: dict[str, str] = {
     "dictionary_scan": _study("SELECT * FROM med_dict"),
     "product_dictionary_scan": _study("SELECT * FROM prod_dict"),
+    "record_tables": _study(" UNION ALL ".join(
+        f"SELECT '{name}' AS name, count(*) AS rows, count(DISTINCT {key}) AS keys FROM {name}"
+        for name, key in (
+            ("patient", "patid"), ("practice", "pracid"), ("observation", "medcodeid"),
+            ("drug_issue", "prodcodeid"),
+        )
+    )),
     "code_list_roundtrip": "SELECT p_brand AS code, p_name || ', ' || p_type AS term FROM part",
     "codeset_load": _study("""
         SELECT 'condition' AS name, '01/01/2001' AS version, 'med' AS kind, original_code AS code,
@@ -367,6 +374,14 @@ ORACLE: dict[str, str] = {
           outcome_beforeindexdate, outcome_afterindexdate, outcome_beforeindex,
           outcome_in12monthsafterindex, outcome_anyafterindex
         FROM ({_with_outcome('matched', 'outcome', 'first_out')})""",
+    "second_matched_outcomes": MATCHED + f"""
+        SELECT c.patid, subclass, round(weights, 6) AS weights, c.index_date, c.end_date,
+          round(c.age, 6) AS age, a.sex, c.case_control, round(distance, 6) AS distance, new_index_date,
+          first_outcome, outcome_beforeindexdate AS second_beforeindexdate,
+          outcome_afterindexdate AS second_afterindexdate, outcome_beforeindex AS second_beforeindex,
+          outcome_in12monthsafterindex AS second_in12monthsafterindex,
+          outcome_anyafterindex AS second_anyafterindex
+        FROM ({_with_outcome('matched', 'outcome2', 'first_out2')}) c JOIN arms a ON a.patid = c.patid""",
     "match_nearest": _matching(2, "SELECT * FROM pairs"),
     "match_nearest_shortfall": _matching(10, "SELECT * FROM pairs"),
     "match_nearest_caliper": _matching(2, "SELECT * FROM pairs", caliper="30"),

@@ -25,7 +25,7 @@ from cohortloom.operators.numbering import number_rows
 from cohortloom.operators.propensity import propensity_score as fit_propensity
 from cohortloom.plans import codebooks, study
 from cohortloom.session import fresh_path, stage
-from cohortloom.sources import codesets, text
+from cohortloom.sources import codesets, tables, text
 from cohortloom.sources.star import CONDITION, OUTCOME, SECOND_OUTCOME, STUDY_END, Star
 from cohortloom.sources.workspace import Workspace
 
@@ -150,6 +150,28 @@ def product_dictionary_scan(s: Star) -> DataFrame:
     return text.read_dictionary(s.spark, path, "prod").select("prodcodeid", "term", "substance")
 
 
+@query
+def record_tables(s: Star) -> DataFrame:
+    """The four record tables stored and read back under their declared schemas."""
+    place = fresh_path(s.spark, "records")
+
+    def scanned(name: str, df: DataFrame, read: Query, key: str) -> DataFrame:
+        df.write.parquet(f"{place}/{name}")
+        back = read(s.spark, f"{place}/{name}")
+        return back.agg(
+            F.count(F.lit(1)).alias("rows"), F.countDistinct(key).alias("keys")
+        ).select(F.lit(name).alias("name"), "rows", "keys")
+
+    return (
+        scanned("patient", s.patients(), tables.read_patients, "patid")
+        .unionByName(scanned("practice", s.practices(), tables.read_practices, "pracid"))
+        .unionByName(
+            scanned("observation", s.observations(with_practice=True), tables.read_observations, "medcodeid")
+        )
+        .unionByName(scanned("drug_issue", s.drug_issues(), tables.read_drug_issues, "prodcodeid"))
+    )
+
+
 @query
 def code_list_roundtrip(s: Star) -> DataFrame:
     path = fresh_path(s.spark, "list")
@@ -506,6 +528,18 @@ def matched_outcomes(s: Star) -> DataFrame:
     )
 
 
+@query
+def second_matched_outcomes(s: Star) -> DataFrame:
+    """The study's second outcome; this variant leaves sex as recorded."""
+    return _rounded(
+        study.run_study(
+            s.patients(), s.practices(), s.condition_events(), s.exposure_events(),
+            s.outcome_events(SECOND_OUTCOME), RULES, name="second", recode_sex=False,
+        ),
+        "age", "weights", "distance",
+    )
+
+
 # Outcome features
 
 

@@ -143,8 +143,10 @@ def followed_members(members: DataFrame) -> DataFrame:
     return C.positive_follow_up(assign_index(members))
 
 
-def matched_cohort(arms: DataFrame, rules: Rules, **options) -> DataFrame:
-    return followed_members(match_arms(scored_arms(arms), rules.ratio, **options))
+def matched_cohort(
+    arms: DataFrame, rules: Rules, recode_sex: bool = True, **options
+) -> DataFrame:
+    return followed_members(match_arms(scored_arms(arms, recode_sex), rules.ratio, **options))
 
 
 def run_study(
@@ -155,10 +157,12 @@ def run_study(
     outcome_events: DataFrame,
     rules: Rules,
     name: str = "outcome",
+    recode_sex: bool = True,
 ) -> DataFrame:
     """The matched outcome table; each event table is read once."""
     arms = study_arms(patients, practices, condition_events, exposure_events, rules)
-    return outcome_table(matched_cohort(arms, rules), patients, outcome_events, name=name)
+    cohort = matched_cohort(arms, rules, recode_sex)
+    return outcome_table(cohort, patients, outcome_events, name=name)
 
 
 def draft_cohorts(

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from cohortloom.session import stage
+
+ROWS_PER_KEY = 1_000_000
 
 
 class Workspace:
@@ -19,12 +23,11 @@ class Workspace:
         self.prefix = prefix
         self.folder = f"{root}/{prefix}"
 
-    def exists(self, name: str) -> bool:
+    def _read(self, path: str) -> DataFrame | None:
         try:
-            self.spark.read.parquet(f"{self.folder}/{name}")
+            return self.spark.read.parquet(path)
         except AnalysisException:
-            return False
-        return True
+            return None
 
     def cached(
         self,
@@ -33,35 +36,57 @@ class Workspace:
         cluster_by: list[str] | None = None,
         buckets: int = 200,
         overwrite: bool = False,
+        rows_per_key: int = ROWS_PER_KEY,
     ) -> DataFrame:
-        """The stored table ``name``; ``df`` runs only if it is absent or to be replaced."""
-        path = f"{self.folder}/{name}"
-        stored = not overwrite and self.exists(name)
-        if not cluster_by:
-            if not stored:
-                df.write.mode("overwrite").parquet(path)
-            return self.spark.read.schema(df.schema).parquet(path)
+        """The stored table ``name``; ``df`` runs only if it is absent or to be replaced.
 
-        table = f"{self.prefix}_{name}"
-        if stored:
-            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-            keys = ", ".join(f"`{c}`" for c in cluster_by)
-            self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS `{table}` ({columns}) USING parquet "
-                f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS "
-                f"LOCATION '{path}'"
-            )
-        else:
-            # One writer per bucket, or every task would write a file per bucket.
-            (
-                df.repartition(buckets, *cluster_by)
-                .write.mode("overwrite")
-                .bucketBy(buckets, *cluster_by)
-                .sortBy(*cluster_by)
-                .option("path", path)
-                .saveAsTable(table)
-            )
-        return self.spark.table(table)
+        A bucket is read by one task. A table with a key of more than
+        ``rows_per_key`` rows is therefore stored unbucketed, and its joins are
+        left to the adaptive skew join.
+        """
+        plain, clustered = f"{self.folder}/{name}/plain", f"{self.folder}/{name}/clustered"
+        if not overwrite:
+            if cluster_by and self._read(clustered) is not None:
+                return self._register(name, df, cluster_by, buckets, clustered)
+            if self._read(plain) is not None:
+                return self.spark.read.schema(df.schema).parquet(plain)
+        if cluster_by:
+            stored = stage(df, name)
+            sizes = stored.groupBy(*cluster_by).agg(F.count(F.lit(1)).alias("n"))
+            if (sizes.agg(F.max("n")).first()[0] or 0) <= rows_per_key:
+                # One writer per bucket, or every task would write a file per bucket.
+                (
+                    stored.repartition(buckets, *cluster_by)
+                    .write.mode("overwrite")
+                    .bucketBy(buckets, *cluster_by)
+                    .sortBy(*cluster_by)
+                    .option("path", clustered)
+                    .saveAsTable(self._table(name))
+                )
+                return self.spark.table(self._table(name))
+            df = stored
+        df.write.mode("overwrite").parquet(plain)
+        return self.spark.read.schema(df.schema).parquet(plain)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        """A stored table by name, as plain files."""
+        for form in ("clustered", "plain"):
+            found = self._read(f"{self.folder}/{name}/{form}")
+            if found is not None:
+                return found
+        raise KeyError(name)
+
+    def _table(self, name: str) -> str:
+        return f"{self.prefix}_{name}"
+
+    def _register(
+        self, name: str, df: DataFrame, cluster_by: list[str], buckets: int, path: str
+    ) -> DataFrame:
+        """Tell a session that has not seen the table how its files are bucketed."""
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        keys = ", ".join(f"`{c}`" for c in cluster_by)
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS `{self._table(name)}` ({columns}) USING parquet "
+            f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{path}'"
+        )
+        return self.spark.table(self._table(name))

@@ -12,6 +12,7 @@ from cohortloom.operators.matching import assign_index, matched_members
 from cohortloom.operators.numbering import number_rows, running_total
 from cohortloom.operators.propensity import NotConverged, propensity_score
 from cohortloom.session import shared_folder, stage, stage_measured
+from cohortloom.sources import tables as T
 from cohortloom.sources.workspace import Workspace
 
 
@@ -68,6 +69,28 @@ def test_clustered_tables_join_and_group_without_a_shuffle(spark, tmp_path):
     assert again.count() == 100
     assert place.cached("c", spark.range(3)).count() == place.cached("c", spark.range(9)).count() == 3
     assert place.cached("c", spark.range(9), overwrite=True).count() == place.table("c").count() == 9
+    hot = spark.range(20).selectExpr("0L AS patid", "id")
+    kept = place.cached("hot", hot, ["patid"], buckets=4, rows_per_key=10)
+    assert kept.count() == place.table("hot").count() == 20
+    assert "plain" in kept.inputFiles()[0]
+    with pytest.raises(KeyError):
+        place.table("absent")
+
+
+def test_record_tables_are_read_with_their_schemas(spark, tmp_path):
+    rows = {
+        T.read_patients: ("SELECT 1L patid, 2 pracid, 1 acceptable, 1 gender, 1930 yob, CAST(NULL AS INT) mob, "
+                          "DATE '2000-01-01' regenddate, CAST(NULL AS DATE) emis_ddate"),
+        T.read_observations: "SELECT 1L patid, 2 pracid, '13581641000033116' medcodeid, DATE '2000-01-01' obsdate, DATE '2000-01-02' enterdate",
+        T.read_drug_issues: "SELECT 1L patid, '13581641000033116' prodcodeid, DATE '2000-01-01' issuedate",
+        T.read_practices: "SELECT 2 pracid, DATE '2000-01-01' lcd",
+    }
+    for read, sql in rows.items():
+        path = str(tmp_path / read.__name__)
+        spark.sql(sql).write.parquet(path)
+        got = read(spark, path)
+        assert got.collect() == spark.sql(sql).collect()
+        assert f"ReadSchema: struct<{got.columns[0]}:" in plan(got.select(got.columns[0]))
 
 
 def test_propensity_equals_the_likelihood_maximum(spark):
