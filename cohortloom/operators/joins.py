@@ -20,18 +20,20 @@ def lookup_join(
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Join ``big`` to a lookup side whose size is checked first.
 
     Up to ``max_rows`` lookup rows are broadcast, so ``big`` is not shuffled.
     A larger lookup is replicated once per salt, and every row of ``big`` joins
     one replica, so one code holding a third of ``big`` is spread over ``salts``
-    tasks. The salt is a hash of the whole row: it is the same on a retry.
+    tasks. The salt is a hash of the whole row: it is the same on a retry. A
+    caller that knows the lookup's size passes it as ``rows``.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join cannot salt a {how} join")
     keys = [on] if isinstance(on, str) else list(on)
-    if fits(small.select(*keys), max_rows):
+    if rows <= max_rows if rows is not None else fits(small.select(*keys), max_rows):
         return big.join(F.broadcast(small), keys, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortloom.functions.text import normal_name, undotted, words
 from cohortloom.operators.joins import lookup_join
-from cohortloom.session import stage
+from cohortloom.session import stage, stage_measured
 
 
 def shortest_headings(prefixes: DataFrame, group: list[str], column: str = "icd10") -> DataFrame:
@@ -82,9 +82,14 @@ def classify_products(
     excluded = list(exclude_generics)
     if excluded:
         names = names.where(~F.col("generic_name").isin(excluded))
-    known = names.groupBy("brand_name").agg(F.min(F.struct("generic_name", "class")).alias("meaning"))
-    # One number: the longest name in words bounds the runs to look up.
-    longest = known.agg(F.max(F.size(F.split("brand_name", " ")))).first()[0] or 1
+    # The longest name in words bounds the runs to look up.
+    known, seen = stage_measured(
+        names.groupBy("brand_name").agg(F.min(F.struct("generic_name", "class")).alias("meaning")),
+        "names",
+        rows=F.count(F.lit(1)),
+        longest=F.max(F.size(F.split("brand_name", " "))),
+    )
+    longest = seen["longest"] or 1
 
     worded = products.select(key, words(F.col(text)).alias("words"))
     runs = (
@@ -99,7 +104,7 @@ def classify_products(
         )
     )
     best = (
-        lookup_join(runs, known, "brand_name")
+        lookup_join(runs, known, "brand_name", rows=seen["rows"])
         .groupBy(key)
         .agg(F.min(F.struct(-F.col("length"), "start", "brand_name", "meaning")).alias("best"))
     )
