@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import sys
 from bisect import insort
+from collections import defaultdict
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -32,8 +33,8 @@ from cohortloom.session import stage, stage_measured
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SCORE_DIGITS = 12
-BLOCK_ROWS = 100_000
-BATCH_ROWS = 100_000
+BLOCK_ROWS = 500_000
+BATCH_ROWS = 500_000
 EXPAND_ROWS = 10_000
 
 NONE = -1
@@ -245,7 +246,7 @@ def _turn(
     )
     asked = F.when(to_below, F.col("below")).otherwise(F.col("above"))
     active = moving.where(_has_next()).withColumn("block", block(asked))
-    # At most one row per block of slots.
+    # At most one row per block of slots, so far fewer rows than control groups.
     reached = F.broadcast(active.select("block").distinct())
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -291,7 +292,7 @@ def _settle_block(pdf: pd.DataFrame, caliper: float | None) -> pd.DataFrame:
     scores = slots["score"].tolist()
     before, after = slots["prev_score"].iloc[0], slots["next_score"].iloc[-1]
     free = slots["room"].astype("int64").tolist()
-    held: list[list[tuple[int, int]]] = [[] for _ in range(size)]
+    held: defaultdict[int, list[tuple[int, int]]] = defaultdict(list)
     for row in pdf[pdf["kind"] == "held"].sort_values("rank").itertuples(index=False):
         held[int(row.pos) - first].append((int(row.rank), int(row.units)))
         free[int(row.pos) - first] -= int(row.units)
@@ -306,13 +307,20 @@ def _settle_block(pdf: pd.DataFrame, caliper: float | None) -> pd.DataFrame:
             links[k], k = root, links[k]
         return root
 
-    def step(k: int, down: bool) -> tuple[int, float]:
-        """Position and score of the next slot to ask from local slot ``k`` on."""
-        k = find(open_below, k + 1) - 1 if down else find(open_above, k)
-        if 0 <= k < size:
-            return first + k, scores[k]
-        edge = before if down else after
-        return (NONE, 0.0) if pd.isna(edge) else (first + k, float(edge))
+    def step(k: int, down: bool, rank: int) -> tuple[int, float]:
+        """Position and score of the next slot to ask from local slot ``k`` on.
+
+        A slot full of better cases will never accept ``rank``, nor any later
+        one, whatever else happens; the whole run of such slots is passed at once.
+        """
+        while True:
+            k = find(open_below, k + 1) - 1 if down else find(open_above, k)
+            if not 0 <= k < size:
+                edge = before if down else after
+                return (NONE, 0.0) if pd.isna(edge) else (first + k, float(edge))
+            if free[k] or (k in held and held[k] and held[k][-1][0] > rank):
+                return first + k, scores[k]
+            open_below[k + 1], open_above[k] = k, k + 1
 
     cases = {
         int(c.rank): [c.score, int(c.units), int(c.below), int(c.above), c.below_score, c.above_score]
@@ -349,15 +357,13 @@ def _settle_block(pdf: pd.DataFrame, caliper: float | None) -> pd.DataFrame:
                 insort(held[k], (rank, taken))
             units -= taken
             if units:
-                # The slot is full of cases at least as good: closed from here on.
-                open_below[k + 1], open_above[k] = k, k + 1
                 if down:
-                    below, below_score = step(k, True)
+                    below, below_score = step(k, True, rank)
                 else:
-                    above, above_score = step(k, False)
+                    above, above_score = step(k, False, rank)
         cases[rank] = [score, units, below, above, below_score, above_score]
 
-    rows = [("held", first + k, scores[k], r, u) for k, h in enumerate(held) for r, u in h]
+    rows = [("held", first + k, scores[k], r, u) for k, h in held.items() for r, u in h]
     kept = pd.DataFrame(rows, columns=["kind", "pos", "score", "rank", "units"])
     moved = pd.DataFrame(
         [("case", r, *c) for r, c in cases.items()]
