@@ -10,6 +10,7 @@ gives in constant time.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,7 +38,8 @@ def best_cuts(places: list[int], penalties: list[float], width: int) -> list[int
 
     ``places`` ascend and no two neighbours are further apart than ``width``. A cut
     costs its penalty, but for the first and last; a window costs ``width`` less
-    its length. Of equal costs the earlier predecessor wins.
+    its length, the last one what ``rest_cost`` says. Of equal costs the earlier
+    predecessor wins.
     """
     n = len(places)
     if n < 2:
@@ -47,18 +49,20 @@ def best_cuts(places: list[int], penalties: list[float], width: int) -> list[int
     g[0] = places[0]
     queue = deque([0])
     last = n - 1
-    for j in range(1, n):
+    for j in range(1, last):
         at = places[j]
         while at - places[queue[0]] > width:
             queue.popleft()
         i = queue[0]
         came[j] = i
         # f(j) + place(j): the places cancel.
-        value = g[i] + width + (penalties[j] if j != last else 0.0)
+        value = g[i] + width + penalties[j]
         g[j] = value
         while queue and g[queue[-1]] > value:
             queue.pop()
         queue.append(j)
+    near = range(bisect_left(places, places[last] - width, 0, last), last)
+    came[last] = min(near, key=lambda i: g[i] - places[i] + rest_cost(places[last] - places[i], width))
     cuts = [last]
     while cuts[-1]:
         cuts.append(came[cuts[-1]])
@@ -82,6 +86,13 @@ def cut_places(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray,
     return places, penalties
 
 
+def rest_cost(length: int, width: int) -> float:
+    """Padding and penalties of a last window once ``power_cuts`` has cut it."""
+    cuts = power_cuts(length, width)
+    left = length - (cuts[-1] if cuts else 0)
+    return GRID_PENALTY * len(cuts) + (width - left if left & (left - 1) else 0)
+
+
 def power_cuts(length: int, width: int) -> list[int]:
     """Cuts of a last window into lengths that need no padding, while one saves more than it costs."""
     cuts, left = [], length
