@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import packing, separators, wavelet
+from cohortloom.llm import decontaminate, packing, separators, toxicity, wavelet
 from cohortloom.llm.common import table
 
 
@@ -20,12 +20,26 @@ def op6_order_preserving_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op8_benchmark_windows(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.report(decontaminate.find_hits(docs, table(spark, folder, "benchmark")))
+
+
 def op9_wavelet_token_index(spark: SparkSession, folder: str) -> DataFrame:
     return wavelet.token_index(table(spark, folder, "documents"))
 
 
+def op10_convolutional_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_separator_token_counts, op6_order_preserving_packing, op9_wavelet_token_index)
+    for f in (op3_separator_token_counts, op6_order_preserving_packing, op8_benchmark_windows, op9_wavelet_token_index, op10_convolutional_toxicity)
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_benchmark_windows": decontaminate.OP8_SQL}
