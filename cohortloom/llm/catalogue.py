@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import decontaminate, packing, separators, toxicity, wavelet
+from cohortloom.llm import decontaminate, hyperminhash, packing, separators, toxicity, wavelet
 from cohortloom.llm.common import table
 
 
+def op1_hyperminhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), size=4, percent=80)
+
+
 def op3_separator_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return separators.token_counts(docs).select("doc_id", F.col("start").alias("file_start"), "n_tokens")
@@ -40,6 +44,12 @@ def op10_convolutional_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_separator_token_counts, op6_order_preserving_packing, op8_benchmark_windows, op9_wavelet_token_index, op10_convolutional_toxicity)
+    for f in (
+        op1_hyperminhash_dedup, op3_separator_token_counts, op6_order_preserving_packing, op8_benchmark_windows,
+        op9_wavelet_token_index, op10_convolutional_toxicity,
+    )
+}
+ORACLE: dict[str, str] = {
+    "op1_hyperminhash_dedup": hyperminhash.OP1_SQL,
+    "op8_benchmark_windows": decontaminate.OP8_SQL,
 }
-ORACLE: dict[str, str] = {"op8_benchmark_windows": decontaminate.OP8_SQL}
