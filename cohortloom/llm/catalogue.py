@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import decontaminate, hyperminhash, packing, separators, toxicity, wavelet
+from cohortloom.llm import decontaminate, hyperminhash, packing, pii, separators, toxicity, trigram_secrets, wavelet
 from cohortloom.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_hyperminhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), size=4, percent=80)
 
 
+def op2_weak_supervision_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, folder, "documents")))
+
+
 def op3_separator_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return separators.token_counts(docs).select("doc_id", F.col("start").alias("file_start"), "n_tokens")
@@ -24,6 +28,10 @@ def op6_order_preserving_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op7_trigram_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return trigram_secrets.report(trigram_secrets.scan(table(spark, folder, "documents")))
+
+
 def op8_benchmark_windows(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return decontaminate.report(decontaminate.find_hits(docs, table(spark, folder, "benchmark")))
@@ -45,7 +53,8 @@ def op10_convolutional_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_hyperminhash_dedup, op3_separator_token_counts, op6_order_preserving_packing, op8_benchmark_windows,
+        op1_hyperminhash_dedup, op2_weak_supervision_pii, op3_separator_token_counts,
+        op6_order_preserving_packing, op7_trigram_secret_scan, op8_benchmark_windows,
         op9_wavelet_token_index, op10_convolutional_toxicity,
     )
 }
