@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import decontaminate, hyperminhash, packing, pii, separators, toxicity, trigram_secrets, wavelet
+from cohortloom.llm import decontaminate, hyperminhash, packing, pii, rotation_codes, separators, suffix_buckets, toxicity, trigram_secrets, wavelet
 from cohortloom.llm.common import table
 
 
@@ -24,6 +24,14 @@ def op3_separator_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return separators.token_counts(docs).select("doc_id", F.col("start").alias("file_start"), "n_tokens")
 
 
+def op4_rotation_code_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return rotation_codes.near_duplicates(table(spark, folder, "embeddings"))
+
+
+def op5_suffix_bucket_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_buckets.remove_repeats(table(spark, folder, "documents"))
+
+
 def op6_order_preserving_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
@@ -54,11 +62,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_hyperminhash_dedup, op2_weak_supervision_pii, op3_separator_token_counts,
-        op6_order_preserving_packing, op7_trigram_secret_scan, op8_benchmark_windows,
+        op4_rotation_code_dedup, op5_suffix_bucket_dedup, op6_order_preserving_packing, op7_trigram_secret_scan, op8_benchmark_windows,
         op9_wavelet_token_index, op10_convolutional_toxicity,
     )
 }
 ORACLE: dict[str, str] = {
     "op1_hyperminhash_dedup": hyperminhash.OP1_SQL,
+    "op4_rotation_code_dedup": rotation_codes.OP4_SQL,
     "op8_benchmark_windows": decontaminate.OP8_SQL,
 }
