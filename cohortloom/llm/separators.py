@@ -126,4 +126,5 @@ def token_counts(docs: DataFrame, path: str | None = None, block_tokens: int = B
     folder = new_folder(spark, "flat")
     written = write_flat(docs, folder, path)
     counted = stitch(scan_blocks(blocks(spark, folder, block_tokens), folder))
-    return written.join(counted, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+    # Both sides grow with the documents and are hardly larger than their blocks, so neither may be broadcast.
+    return written.join(counted.hint("merge"), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
