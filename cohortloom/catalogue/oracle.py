@@ -18,20 +18,22 @@ WITH RECURSIVE patient AS (
     CASE WHEN c_custkey % 20 = 0 THEN 0 ELSE 1 END AS acceptable,
     CAST(1 + c_custkey % 2 AS INTEGER) AS gender, CAST(1915 + c_custkey % 37 AS INTEGER) AS yob,
     CASE WHEN c_custkey % 4 = 0 THEN CAST(1 + c_custkey % 12 AS INTEGER) END AS mob,
-    CASE WHEN c_custkey % 10 = 3 THEN DATE '1999-01-01' + CAST(c_custkey % 900 AS INT) END AS regenddate,
-    CASE WHEN c_custkey % 10 = 6 THEN DATE '1999-06-01' + CAST(c_custkey % 700 AS INT) END AS emis_ddate
+    CASE WHEN c_custkey % 10 = 3 OR c_custkey % 7 = 5 THEN DATE '1999-01-01' + CAST(c_custkey % 900 AS INT) END AS regenddate,
+    CASE WHEN c_custkey % 10 = 6 OR c_custkey % 7 = 5 THEN DATE '1999-06-01' + CAST(c_custkey % 700 AS INT) END AS emis_ddate
   FROM customer),
 practice AS (
   SELECT n_nationkey AS pracid,
     CASE WHEN n_nationkey % 5 <> 0 THEN DATE '2000-06-01' + CAST(30 * n_nationkey AS INT) END AS lcd
   FROM nation),
 observation AS (
-  SELECT o_custkey AS patid, c_nationkey AS pracid,
+  SELECT o_custkey AS patid,
+    CAST((c_nationkey + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) % 25 AS INTEGER) AS pracid,
     CASE WHEN o_orderkey % 53 <> 0 THEN CAST(o_orderdate AS DATE) END AS obsdate,
     o_orderpriority AS medcodeid
   FROM orders JOIN customer ON o_custkey = c_custkey),
 drug_issue AS (
-  SELECT o_custkey AS patid, CAST(l_shipdate AS DATE) AS issuedate, CAST(l_partkey AS VARCHAR) AS prodcodeid
+  SELECT o_custkey AS patid, CASE WHEN l_orderkey % 41 <> 0 THEN CAST(l_shipdate AS DATE) END AS issuedate,
+    CAST(l_partkey AS VARCHAR) AS prodcodeid
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 med_dict AS (
   SELECT CAST(p_partkey AS VARCHAR) AS medcodeid, p_name AS term, p_brand AS original_code,
@@ -188,10 +190,10 @@ members AS (
 """
 
 
-def _balance(sample: str, reference: str) -> str:
-    """Balance of age and sex in ``sample(case_control, age, sex, w)``."""
+def _balance(sample: str, reference: str, covariates: tuple[str, ...] = ("age", "sex")) -> str:
+    """Balance of the covariates in ``sample(case_control, w, ...)``."""
     per_covariate = []
-    for covariate in ("age", "sex"):
+    for covariate in covariates:
         binary = covariate == "sex"
         var = "m * (1 - m)" if binary else "sq / (1 - conc)"
 
@@ -208,16 +210,16 @@ def _balance(sample: str, reference: str) -> str:
   SELECT '{covariate}' AS covariate, round(t.m, 6) AS mean_treated, round(c.m, 6) AS mean_control,
     round((t.m - c.m) / sqrt(r.var), 6) AS std_mean_diff,
     {'CAST(NULL AS DOUBLE)' if binary else 'round(t.var / c.var, 6)'} AS var_ratio,
-    {'round(abs(t.m - c.m), 6)' if binary else 'round((SELECT avg(abs(gap)) FROM gaps), 6)'} AS ecdf_mean,
-    {'round(abs(t.m - c.m), 6)' if binary else 'round((SELECT max(abs(gap)) FROM gaps), 6)'} AS ecdf_max
+    {'round(abs(t.m - c.m), 6)' if binary else f'round((SELECT avg(abs(gap)) FROM gaps_{covariate}), 6)'} AS ecdf_mean,
+    {'round(abs(t.m - c.m), 6)' if binary else f'round((SELECT max(abs(gap)) FROM gaps_{covariate}), 6)'} AS ecdf_max
   FROM {moments(sample)} t, {moments(sample)} c, {moments(reference)} r
   WHERE t.case_control AND NOT c.case_control AND r.case_control""")
-    gaps = f""",
-gaps AS (
-  SELECT sum(step) OVER (ORDER BY age ROWS UNBOUNDED PRECEDING) AS gap FROM (
-    SELECT age, sum(CASE WHEN case_control THEN w / wt ELSE -w / wc END) AS step
+    gaps = "".join(f""",
+gaps_{c} AS (
+  SELECT sum(step) OVER (ORDER BY {c} ROWS UNBOUNDED PRECEDING) AS gap FROM (
+    SELECT {c}, sum(CASE WHEN case_control THEN w / wt ELSE -w / wc END) AS step
     FROM {sample}, (SELECT sum(w) FILTER (case_control) AS wt, sum(w) FILTER (NOT case_control) AS wc FROM {sample})
-    GROUP BY age))"""
+    GROUP BY {c}))""" for c in covariates if c != "sex")
     return gaps + " UNION ALL ".join(per_covariate)
 
 
@@ -259,17 +261,26 @@ matched AS (
   WHERE end_date > new_index_date)
 """
 
+REPORTED = MATCHED + f""", result AS ({_with_outcome('matched', 'outcome', 'first_out')})
+"""
+
 ORACLE: dict[str, str] = {
     "dictionary_scan": _study("SELECT * FROM med_dict"),
     "product_dictionary_scan": _study("SELECT * FROM prod_dict"),
     "record_tables": _study(" UNION ALL ".join(
-        f"SELECT '{name}' AS name, count(*) AS rows, count(DISTINCT {key}) AS keys FROM {name}"
-        for name, key in (
-            ("patient", "patid"), ("practice", "pracid"), ("observation", "medcodeid"),
-            ("drug_issue", "prodcodeid"),
+        f"SELECT '{name}' AS name, concat_ws('|', {', '.join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in columns.split())}) AS record FROM {name}"
+        for name, columns in (
+            ("patient", "patid pracid acceptable gender yob mob regenddate emis_ddate"),
+            ("practice", "pracid lcd"), ("observation", "patid pracid medcodeid obsdate"),
+            ("drug_issue", "patid prodcodeid issuedate"),
         )
     )),
-    "code_list_roundtrip": "SELECT p_brand AS code, p_name || ', ' || p_type AS term FROM part",
+    "code_list_roundtrip": """
+        SELECT CAST(p_partkey AS VARCHAR) AS code, CASE p_partkey % 8
+          WHEN 0 THEN p_name || ', ' || p_type WHEN 1 THEN 'the "' || p_name || '" kind'
+          WHEN 2 THEN p_name || chr(10) || p_type WHEN 3 THEN '  ' || p_name WHEN 4 THEN p_name || '  '
+          WHEN 5 THEN 'NA' WHEN 6 THEN '' END AS term
+        FROM part""",
     "codeset_load": _study("""
         SELECT 'condition' AS name, '01/01/2001' AS version, 'med' AS kind, original_code AS code,
           min(concept_id) AS category FROM med_dict GROUP BY original_code
@@ -354,7 +365,10 @@ ORACLE: dict[str, str] = {
         for number, (step, table) in enumerate([
             ("patients", "patient"), ("with any event", "observation"),
             ("with a condition code", "condition"),
-            ("acceptable, dated, after birth year", "diagnosed"), ("exposed cohort", "cases"),
+            ("acceptable, dated, after birth year", "diagnosed"),
+            ("exposed after it and at the age", f"""(SELECT patid FROM diagnosed JOIN exposed USING (patid)
+              WHERE first_obsdate <= first_exposure AND date_diff('day', dob, first_exposure) >= {AGE})"""),
+            ("exposed cohort", "cases"),
             ("reached the age", "reached"), ("never exposed", "never"), ("control pool", "controls"),
         ], start=1)
     )),
@@ -402,6 +416,34 @@ ORACLE: dict[str, str] = {
         sample AS (
           SELECT case_control, age, CASE WHEN sex = 1 THEN 0 ELSE 1 END AS sex, weights AS w
           FROM members JOIN arms USING (patid))""" + _balance("sample", "everyone"),
+    "report_crosstabs": REPORTED + " UNION ALL ".join(
+        f"SELECT case_control, '{c}' AS variable, CAST({c} AS INTEGER) AS level, count(*) AS n FROM result GROUP BY ALL"
+        for c in ("sex", "outcome_beforeindex", "outcome_in12monthsafterindex", "outcome_anyafterindex")
+    ),
+    "report_flags": REPORTED + " UNION ALL ".join(
+        f"SELECT '{c}' AS variable, count(*) FILTER ({c} = 1) AS n FROM result"
+        for c in ("outcome_beforeindex", "outcome_in12monthsafterindex", "outcome_anyafterindex")
+    ),
+    "report_ages": REPORTED + """
+        SELECT case_control, round(stddev_samp(age), 6) AS sd, round(avg(age), 6) AS mean,
+          printf('%.2f - %.2f', min(age), max(age)) AS range, count(age) AS n
+        FROM result GROUP BY 1""",
+    "report_balance": MATCHED + """,
+        everyone AS (SELECT case_control, distance, age, sex, 1.0 AS w FROM fitted),
+        sample AS (
+          SELECT case_control, distance, age, sex, weights AS w FROM members JOIN fitted USING (patid))"""
+    + _balance("sample", "everyone", ("distance", "age", "sex")),
+    "report_sizes": MATCHED + """
+        SELECT case_control, count(*) AS everyone, count(weights) AS matched,
+          count(*) - count(weights) AS unmatched,
+          round(sum(weights) * sum(weights) / sum(weights * weights), 6) AS effective_n
+        FROM arms LEFT JOIN members USING (patid) GROUP BY 1""",
+    "report_counts": REPORTED + """
+        SELECT 'matched sets' AS measure, count(DISTINCT subclass) AS n FROM members
+        UNION ALL SELECT 'matched members', count(*) FROM members
+        UNION ALL SELECT 'members left by follow-up', count(*) FROM result
+        UNION ALL SELECT 'exposed members left', count(*) FROM result WHERE case_control
+        UNION ALL SELECT 'never exposed members left', count(*) FROM result WHERE NOT case_control""",
     "outcome_before": _study(f"""
         SELECT patid, new_index_date, first_outcome, outcome_beforeindexdate
         FROM ({_with_outcome('followed_cases', 'outcome', 'first_out')})"""),
@@ -443,7 +485,6 @@ ORACLE: dict[str, str] = {
         WITH {_NAMES}, lookup AS (
           SELECT brand_name, min((generic_name, class)) AS meaning FROM (
             SELECT brand_name, generic_name, lower(class) AS class FROM names
-            WHERE class = 'PROMO' AND brand_id <= 25
             UNION SELECT generic_name, generic_name, 'generic' FROM names)
           WHERE generic_name <> 'anvil' GROUP BY brand_name),
         product AS (
@@ -504,6 +545,9 @@ ORACLE: dict[str, str] = {
     "build_drug_code_set": _study("""
         SELECT 'prod' AS kind, prodcodeid AS code, term AS category, 'drug' AS name, '01/01/2001' AS version
         FROM prod_dict WHERE lower(term) LIKE '%red plate%' OR lower(substance) LIKE '%red plate%'"""),
+    "register_prepared_list": _study("""
+        SELECT 'med' AS kind, medcodeid AS code, term AS category, 'prepared' AS name,
+          '02/02/2001' AS version FROM med_dict"""),
     "draft_cohort_overlap": _study("""
         SELECT DISTINCT patid FROM patient
         WHERE 2001 - yob >= 65 AND patid IN (SELECT patid FROM condition)

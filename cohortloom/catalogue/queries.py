@@ -114,11 +114,7 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, DIGITS) for c in columns})
 
 
-# Sources and sinks
-
-
-@query
-def dictionary_scan(s: Star) -> DataFrame:
+def _medical_file(s: Star) -> str:
     path = fresh_path(s.spark, "dictionary")
     d = s.medical_dictionary()
     text.write_code_list(
@@ -130,13 +126,10 @@ def dictionary_scan(s: Star) -> DataFrame:
         ),
         path, sep="\t",
     )
-    return text.read_dictionary(s.spark, path, "med").select(
-        "medcodeid", "term", "original_code", "concept_id"
-    )
+    return path
 
 
-@query
-def product_dictionary_scan(s: Star) -> DataFrame:
+def _product_file(s: Star) -> str:
     path = fresh_path(s.spark, "dictionary")
     d = s.product_dictionary()
     text.write_code_list(
@@ -147,39 +140,76 @@ def product_dictionary_scan(s: Star) -> DataFrame:
         ),
         path, sep="\t",
     )
-    return text.read_dictionary(s.spark, path, "prod").select("prodcodeid", "term", "substance")
+    return path
+
+
+def _list_file(s: Star, codes: DataFrame) -> str:
+    path = fresh_path(s.spark, "list")
+    text.write_code_list(codes, path)
+    return path
+
+
+# Sources and sinks
+
+
+@query
+def dictionary_scan(s: Star) -> DataFrame:
+    return text.read_dictionary(s.spark, _medical_file(s), "med").select(
+        "medcodeid", "term", "original_code", "concept_id"
+    )
+
+
+@query
+def product_dictionary_scan(s: Star) -> DataFrame:
+    return text.read_dictionary(s.spark, _product_file(s), "prod").select(
+        "prodcodeid", "term", "substance"
+    )
 
 
 @query
 def record_tables(s: Star) -> DataFrame:
-    """The four record tables stored and read back under their declared schemas."""
+    """Every value of the four record tables, stored and read back under their declared schemas."""
     place = fresh_path(s.spark, "records")
 
-    def scanned(name: str, df: DataFrame, read: Query, key: str) -> DataFrame:
+    def scanned(name: str, df: DataFrame, read: Query, columns: str) -> DataFrame:
         df.write.parquet(f"{place}/{name}")
-        back = read(s.spark, f"{place}/{name}")
-        return back.agg(
-            F.count(F.lit(1)).alias("rows"), F.countDistinct(key).alias("keys")
-        ).select(F.lit(name).alias("name"), "rows", "keys")
+        cells = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns.split()]
+        return read(s.spark, f"{place}/{name}").select(
+            F.lit(name).alias("name"), F.concat_ws("|", *cells).alias("record")
+        )
 
+    observed = s.observations(with_practice=True).withColumn("enterdate", F.col("obsdate"))
     return (
-        scanned("patient", s.patients(), tables.read_patients, "patid")
-        .unionByName(scanned("practice", s.practices(), tables.read_practices, "pracid"))
+        scanned(
+            "patient", s.patients(), tables.read_patients,
+            "patid pracid acceptable gender yob mob regenddate emis_ddate",
+        )
+        .unionByName(scanned("practice", s.practices(), tables.read_practices, "pracid lcd"))
         .unionByName(
-            scanned("observation", s.observations(with_practice=True), tables.read_observations, "medcodeid")
+            scanned("observation", observed, tables.read_observations, "patid pracid medcodeid obsdate")
+        )
+        .unionByName(
+            scanned("drug_issue", s.drug_issues(), tables.read_drug_issues, "patid prodcodeid issuedate")
         )
-        .unionByName(scanned("drug_issue", s.drug_issues(), tables.read_drug_issues, "prodcodeid"))
     )
 
 
 @query
 def code_list_roundtrip(s: Star) -> DataFrame:
+    """Separators, quotes, line breaks, outer blanks, a cell that reads NA, empty and missing cells."""
     path = fresh_path(s.spark, "list")
-    listed = s.raw("part").select(
-        F.col("p_brand").alias("code"), F.concat_ws(", ", "p_name", "p_type").alias("term")
-    )
-    text.write_code_list(listed, path)
-    return text.read_code_list(s.spark, path, ",", "code", keep=["term"])
+    name, kind, turn = F.col("p_name"), F.col("p_type"), F.col("p_partkey") % 8
+    terms = [
+        F.concat_ws(", ", name, kind), F.concat(F.lit('the "'), name, F.lit('" kind')),
+        F.concat_ws("\n", name, kind), F.concat(F.lit("  "), name), F.concat(name, F.lit("  ")),
+        F.lit("NA"), F.lit(""),
+    ]
+    term = F.lit(None).cast("string")
+    for number, value in enumerate(terms):
+        term = F.when(turn == number, value).otherwise(term)
+    listed = s.raw("part").select(F.col("p_partkey").cast("string").alias("code"), term.alias("term"))
+    text.write_code_list(listed, path, null_text="\\N")
+    return text.read_code_list(s.spark, path, ",", "code", keep=["term"], null_text="\\N")
 
 
 def _registered(s: Star) -> DataFrame:
@@ -209,8 +239,13 @@ def codeset_by_name(s: Star) -> DataFrame:
 
 @query
 def materialize_roundtrip(s: Star) -> DataFrame:
+    """Stored, replaced by another form, replaced again and read back."""
     place = Workspace(s.spark, fresh_path(s.spark, "workspace"), "check")
+    place.cached("first_diagnosis", _exposed(s), cluster_by=["patid"], buckets=8)
+    place.cached("first_diagnosis", _exposed(s), overwrite=True)
     place.cached("first_diagnosis", _diagnosed(s), cluster_by=["patid"], buckets=8, overwrite=True)
+    # The stored table is used, not what is given with its name.
+    place.cached("first_diagnosis", _exposed(s), cluster_by=["patid"], buckets=8)
     return place.table("first_diagnosis")
 
 
@@ -407,20 +442,9 @@ def cohort_row_count(s: Star) -> DataFrame:
 
 @query
 def attrition(s: Star) -> DataFrame:
-    patients, events = s.patients(), stage(s.condition_events(), "condition")
-    exposures = stage(s.exposure_events(), "exposures")
-    diagnosed = stage(study.first_condition(patients, events), "diagnosed")
-    exposed = study.first_exposure(patients, exposures)
-    return C.attrition([
-        ("patients", patients),
-        ("with any event", s.observations()),
-        ("with a condition code", events),
-        ("acceptable, dated, after birth year", diagnosed),
-        ("exposed cohort", study.case_cohort(diagnosed, exposed, s.practices(), RULES)),
-        ("reached the age", study.reached_age(diagnosed, RULES)),
-        ("never exposed", C.never_exposed(study.reached_age(diagnosed, RULES), exposures)),
-        ("control pool", study.control_cohort(diagnosed, exposures, s.practices(), RULES)),
-    ])
+    return study.attrition(
+        s.patients(), s.practices(), s.observations(), s.condition_events(), s.exposure_events(), RULES
+    )
 
 
 @query
@@ -540,6 +564,42 @@ def second_matched_outcomes(s: Star) -> DataFrame:
     )
 
 
+def _report(s: Star) -> dict[str, DataFrame]:
+    return study.study_report(
+        s.patients(), s.practices(), s.condition_events(), s.exposure_events(), s.outcome_events(), RULES
+    )
+
+
+@query
+def report_crosstabs(s: Star) -> DataFrame:
+    return _report(s)["crosstabs"]
+
+
+@query
+def report_flags(s: Star) -> DataFrame:
+    return _report(s)["flags"]
+
+
+@query
+def report_ages(s: Star) -> DataFrame:
+    return _rounded(_report(s)["ages"], "sd", "mean")
+
+
+@query
+def report_balance(s: Star) -> DataFrame:
+    return _rounded(_report(s)["balance"], *_BALANCE)
+
+
+@query
+def report_sizes(s: Star) -> DataFrame:
+    return _rounded(_report(s)["sizes"], "effective_n")
+
+
+@query
+def report_counts(s: Star) -> DataFrame:
+    return _report(s)["counts"]
+
+
 # Outcome features
 
 
@@ -624,10 +684,9 @@ def _name_lookup(s: Star) -> DataFrame:
 @query
 def classify_products(s: Star) -> DataFrame:
     names = _name_lookup(s)
-    # Two-word brands of one class, and every generic under its own name.
+    # Two-word brands, and every generic under its own name.
     lookup = (
-        names.where("class = 'PROMO' and brand_id <= 25")
-        .select("brand_name", "generic_name", F.lower("class").alias("class"))
+        names.select("brand_name", "generic_name", F.lower("class").alias("class"))
         .unionByName(names.select(
             F.col("generic_name").alias("brand_name"), "generic_name", F.lit("generic").alias("class")
         ))
@@ -713,14 +772,31 @@ def code_list_issues(s: Star) -> DataFrame:
 
 @query
 def build_code_set(s: Star) -> DataFrame:
-    return codebooks.condition_code_set(
-        s.medical_dictionary(), _legacy(s), _concepts(s), "condition", "01/01/2001"
-    )
+    """Dictionary and two lists as text, match, list as text, registered, fetched by name and version."""
+    return codebooks.build_condition_set(
+        s.spark, _medical_file(s), _list_file(s, _legacy(s)), _list_file(s, _concepts(s)),
+        fresh_path(s.spark, "list"), fresh_path(s.spark, "codesets"), "condition", "01/01/2001",
+    ).select("kind", "code", "category", "name", "version")
 
 
 @query
 def build_drug_code_set(s: Star) -> DataFrame:
-    return codebooks.drug_code_set(s.product_dictionary(), ["red plate"], "drug", "01/01/2001")
+    return codebooks.build_drug_set(
+        s.spark, _product_file(s), ["red plate", ""], fresh_path(s.spark, "list"),
+        fresh_path(s.spark, "codesets"), "drug", "01/01/2001",
+    ).select("kind", "code", "category", "name", "version")
+
+
+@query
+def register_prepared_list(s: Star) -> DataFrame:
+    """Two versions of a prepared list read from text; the later one is fetched."""
+    sets = fresh_path(s.spark, "codesets")
+    listed = s.medical_dictionary().select(F.col("medcodeid").alias("code"), "term", "concept_id")
+    early = _list_file(s, listed.where("concept_id = 'PROMO'"))
+    codebooks.register_list(s.spark, early, sets, "prepared", "01/01/2001", "med", category="term")
+    return codebooks.register_list(
+        s.spark, _list_file(s, listed), sets, "prepared", "02/02/2001", "med", category="term"
+    ).select("kind", "code", "category", "name", "version")
 
 
 @query

@@ -31,6 +31,13 @@ def normal_name(text: Column) -> Column:
 
 
 def mentions(text: Column, terms: Iterable[str], regex: bool = True) -> Column:
-    """Case-insensitive search for any of the alternatives; NULL text never matches."""
-    parts = list(terms) if regex else [re.escape(t) for t in terms]
+    """Case-insensitive search for any of the alternatives; NULL text never matches.
+
+    Blank terms are left out, since they would match every text; without any other
+    there is nothing to search for, which is an error.
+    """
+    wanted = [t for t in terms if t and t.strip()]
+    if not wanted:
+        raise ValueError("no term to search for")
+    parts = wanted if regex else [re.escape(t) for t in wanted]
     return F.coalesce(text.rlike("(?i)" + "|".join(parts)), F.lit(False))

@@ -44,9 +44,16 @@ def combine_codes(*matches: DataFrame, key: str) -> DataFrame:
 def link_by_stem(
     dictionary: DataFrame, codes: DataFrame, code_col: str, list_col: str, n: int = 5
 ) -> DataFrame:
-    """List rows joined to dictionary rows whose code starts with the list's stem."""
+    """List rows joined to dictionary rows whose code starts with the list's stem.
+
+    A list column that the dictionary has too is returned with ``list_`` before its name.
+    """
     stemmed = dictionary.withColumn("_stem", F.substring(F.col(code_col), 1, n))
-    stems = codes.withColumn("_stem", F.col(list_col))
+    taken = set(dictionary.columns)
+    stems = codes.select(
+        *[F.col(f"`{c}`").alias(f"list_{c}" if c in taken else c) for c in codes.columns],
+        F.col(list_col).alias("_stem"),
+    )
     return lookup_join(stemmed, stems, "_stem").drop("_stem")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortloom.functions.text import normal_name, undotted, words
 from cohortloom.operators.joins import lookup_join
-from cohortloom.session import stage, stage_measured
+from cohortloom.session import stage
 
 
 def shortest_headings(prefixes: DataFrame, group: list[str], column: str = "icd10") -> DataFrame:
@@ -72,9 +72,9 @@ def classify_products(
     """Brand, generic and class of each product from the names its text contains.
 
     Names match on whole words. The longest name wins, then the earliest in the
-    text, then the first in name, generic and class order. A text's word runs
-    meet the lookup by equality, and the best run is picked within its partition
-    before the one shuffle by key.
+    text, then the first in name, generic and class order. A text's word runs of
+    the lengths that names have meet the lookup by equality, and the best run is
+    picked within its partition before the one shuffle by key.
     """
     names = lookup.select(
         normal_name(F.col("brand_name")).alias("brand_name"), "generic_name", "class"
@@ -82,29 +82,33 @@ def classify_products(
     excluded = list(exclude_generics)
     if excluded:
         names = names.where(~F.col("generic_name").isin(excluded))
-    # The longest name in words bounds the runs to look up.
-    known, seen = stage_measured(
-        names.groupBy("brand_name").agg(F.min(F.struct("generic_name", "class")).alias("meaning")),
-        "names",
-        rows=F.count(F.lit(1)),
-        longest=F.max(F.size(F.split("brand_name", " "))),
+    known = stage(
+        names.groupBy("brand_name").agg(F.min(F.struct("generic_name", "class")).alias("meaning")), "names"
     )
-    longest = seen["longest"] or 1
+    # Numbers of words that names have: a handful, however long the lookup.
+    sizes = known.select(F.size(F.split("brand_name", " ")).alias("n")).distinct()
+    lengths = sorted(r.n for r in sizes.collect())
 
-    worded = products.select(key, words(F.col(text)).alias("words"))
-    runs = (
-        worded.select(key, "words", F.posexplode("words").alias("start", "_word"))
-        .select(key, "words", "start", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("length"))
-        .where(F.col("start") + F.col("length") <= F.size("words"))
-        .select(
-            key,
-            "start",
-            "length",
-            F.array_join(F.slice("words", F.col("start") + 1, F.col("length")), " ").alias("brand_name"),
+    # All runs of a text are made in one expression, so its words are not copied from row to row.
+    listed = F.col("words")
+
+    def runs_of(n: int):
+        starts = F.when(F.size(listed) >= n, F.sequence(F.lit(0), F.size(listed) - n)).otherwise(
+            F.array().cast("array<int>")
         )
-    )
+        return F.transform(
+            starts,
+            lambda s: F.struct(
+                s.alias("start"), F.lit(n).alias("length"), F.array_join(F.slice(listed, s + 1, F.lit(n)), " ").alias("brand_name")
+            ),
+        )
+
+    nothing = F.array().cast("array<struct<start:int,length:int,brand_name:string>>")
+    every = F.concat(nothing, *[runs_of(n) for n in lengths])
+    worded = products.select(key, words(F.col(text)).alias("words"))
+    runs = worded.select(key, F.explode(every).alias("run")).select(key, "run.*")
     best = (
-        lookup_join(runs, known, "brand_name", rows=seen["rows"])
+        lookup_join(runs, known, "brand_name")
         .groupBy(key)
         .agg(F.min(F.struct(-F.col("length"), "start", "brand_name", "meaning")).alias("best"))
     )

@@ -1,16 +1,22 @@
 """Nearest-neighbour matching 1:k without replacement.
 
 Cases choose in order of priority, highest score first; each takes the nearest
-control still free. Every control therefore ranks cases alike, which makes the
-result the one stable matching, and deferred acceptance (Gale & Shapley 1962)
-reaches it from proposals made in any order. That freedom is what allows the
-work to be split.
-
-People with equal scores are interchangeable up to the tie rule, so the
-proposals run over counted score groups. Control groups are cut by position into
-blocks, each block settles the proposals that reach it in one task, and
-proposals that leave a block go on to the next round. People appear only at the
-end, when the group counts are expanded and joined back by group and number.
+control still free. People with equal scores are interchangeable up to the tie
+rule, so the work runs over counted score groups; people appear only at the end,
+when the group counts are expanded and joined back by group and number.
+
+Where the work can be cut. Walk down the scores and let every case add the units
+it asks for to a queue and every control group serve from it; do the same upwards.
+A case can only reach past a place if one of the two queues is not empty there:
+the controls it passes are all taken, and those who took them came from the same
+side, so more was asked for than there was. Where both queues are empty the
+scores fall apart into segments that know nothing of each other. Segments are
+settled in parallel, each by one sweep per round.
+
+If demand is so high that a segment outgrows a task, the first half of all choices
+is settled before the second half is looked at: later choices never change earlier
+ones. The fewer choices, the shorter the segments; a segment has at most three
+rows for each unit asked for.
 
 Ties: controls by score gap, then lower score, then lower id; cases by higher
 score, then lower id.
@@ -19,44 +25,24 @@ score, then lower id.
 from __future__ import annotations
 
 import sys
-from bisect import insort
-from collections import defaultdict
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortloom.operators.numbering import WINDOW_ROWS, number_rows, running_total
-from cohortloom.session import stage, stage_measured
+from cohortloom.session import discard, stage, stage_measured
 
-# The block helper travels with its task, so executors need no copy of this package.
+# The segment helper travels with its task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SCORE_DIGITS = 12
 BLOCK_ROWS = 500_000
-BATCH_ROWS = 500_000
+#: A task takes a segment of so many blocks whole.
+LONGEST = 4
 EXPAND_ROWS = 10_000
 
-NONE = -1
-
-# Rows of the matching state: slots are control groups in score order, cases are
-# proposing case groups, held are units a slot has accepted for now, and bumps
-# are units it gave up for a better case.
-_COLUMNS = {
-    "kind": "string",
-    "pos": "bigint",
-    "score": "double",
-    "prev_score": "double",
-    "next_score": "double",
-    "room": "bigint",
-    "rank": "bigint",
-    "units": "bigint",
-    "below": "bigint",
-    "above": "bigint",
-    "below_score": "double",
-    "above_score": "double",
-}
-_STATE = ", ".join(f"{name} {kind}" for name, kind in _COLUMNS.items())
+_TAKEN = "rank bigint, match_round int, case_score double, control_score double, units bigint"
 
 
 def match_nearest(
@@ -68,17 +54,17 @@ def match_nearest(
     caliper: float | None = None,
     fill: str = "rounds",
     block_rows: int = BLOCK_ROWS,
-    batch_rows: int = BATCH_ROWS,
     window_rows: int = WINDOW_ROWS,
-    max_rounds: int = 10_000,
+    turns: list[int] | None = None,
 ) -> DataFrame:
     """Pairs ``case_id, control_id, match_round, case_score, control_score``.
 
     ``fill='rounds'`` gives every case its r-th control before any gets its next;
     ``'per_case'`` gives one case all its controls before the next case chooses.
-    ``caliper`` is the largest score gap allowed. Members without a score cannot
-    be matched. The row bounds size tasks; they never change the result. ``df`` is
-    read three times: store it first if it is costly to compute.
+    ``caliper`` is the largest score gap allowed. Members whose score is null or
+    not a number cannot be matched. The row bounds size tasks; they never change
+    the result. ``turns`` collects the number of choices settled by each turn.
+    ``df`` is read three times: store it first if it is costly to compute.
     """
     if fill not in ("rounds", "per_case"):
         raise ValueError(f"fill must be 'rounds' or 'per_case', not {fill!r}")
@@ -86,7 +72,7 @@ def match_nearest(
         F.col(unit).alias("id"),
         F.col(treatment).alias("treated"),
         F.round(F.col(score).cast("double"), SCORE_DIGITS).alias("score"),
-    ).where(F.col("score").isNotNull())
+    ).where(F.col("score").isNotNull() & ~F.isnan("score"))
     groups, size = stage_measured(
         people.groupBy("score", "treated").agg(F.count(F.lit(1)).alias("n")),
         "groups",
@@ -95,15 +81,26 @@ def match_nearest(
         cases=F.sum(F.when(F.col("treated"), F.col("n")).otherwise(0)),
         controls=F.sum(F.when(F.col("treated"), 0).otherwise(F.col("n"))),
     )
-    proposers = size["case_groups"] * (ratio if fill == "rounds" else 1)
-    slots, cases = _positions(groups, window_rows, size["case_groups"] + size["control_groups"])
-    start = stage(
-        _as_state(slots, _proposals(cases, ratio, fill, window_rows, proposers)), "start"
+    each = ratio if fill == "per_case" else 1
+    asking = running_total(
+        groups.where("treated").select("score", (F.col("n") * each).alias("units"), (-F.col("score")).alias("_down")),
+        [], ["_down"], F.col("units"), "start", window_rows, size["case_groups"],
+    ).drop("_down")
+    matcher = _Matcher(
+        groups.where("not treated").select("score", F.col("n").alias("room")),
+        stage(asking, "asking"),
+        (size["cases"] or 0) * each,
+        size["case_groups"] + size["control_groups"],
+        caliper,
+        block_rows,
+        turns if turns is not None else [],
     )
-    allocated = _settle(start, proposers, caliper, block_rows, batch_rows, max_rounds)
-    # Each allocation uses up a control group or a proposer, or ends its batch.
-    allocations = size["control_groups"] + 2 * proposers
-    pairs = _expand(allocated, ratio, fill, window_rows, allocations)
+    wanted = matcher.round_units * (1 if fill == "per_case" else ratio)
+    # Without a caliper every choice finds a control until none is left.
+    matcher.settle(0, wanted if caliper is not None else min(wanted, size["controls"] or 0))
+    # Each allocation uses up a control group or a proposer, or ends its turn.
+    allocations = size["control_groups"] + (size["case_groups"] + len(matcher.turns)) * (ratio + 1)
+    pairs = _expand(matcher.taken(), ratio, fill, window_rows, allocations)
 
     numbered_cases = number_rows(
         people.where("treated").select(F.col("score").alias("case_score"), F.col("id").alias("case_id")),
@@ -122,259 +119,199 @@ def match_nearest(
     )
 
 
-def _positions(groups: DataFrame, window_rows: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Control groups numbered by score, and case groups with the positions either side."""
-    is_control = (~F.col("treated")).cast("bigint")
-    # A control group with a case group's score sorts before it, so it lies just below.
-    placed = running_total(
-        groups.withColumn("_kind", F.col("treated").cast("int")),
-        [], ["score", "_kind"], is_control, "earlier", window_rows, rows,
-    )
-    controls = placed.where("not treated").select(F.col("earlier").alias("pos"), "score", "n")
-
-    def neighbour(shift: int, name: str, key: str = "pos") -> DataFrame:
-        return controls.select((F.col("pos") + shift).alias(key), F.col("score").alias(name))
-
-    slots = (
-        controls.withColumnRenamed("n", "room")
-        .join(neighbour(1, "prev_score"), "pos", "left")
-        .join(neighbour(-1, "next_score"), "pos", "left")
-    )
-    cases = (
-        placed.where("treated")
-        .select(
-            "score", "n", (F.col("earlier") - 1).alias("below"), F.col("earlier").alias("above")
-        )
-        .join(neighbour(0, "below_score", "below"), "below", "left")
-        .join(neighbour(0, "above_score", "above"), "above", "left")
-        .withColumn("above", F.when(F.col("above_score").isNull(), NONE).otherwise(F.col("above")))
-    )
-    return slots, cases
-
-
-def _proposals(cases: DataFrame, ratio: int, fill: str, window_rows: int, rows: int) -> DataFrame:
-    """One proposer per case group and round, ranked by the priority all controls share."""
-    if fill == "rounds":
-        spread = cases.withColumn("match_round", F.explode(F.sequence(F.lit(1), F.lit(ratio))))
-    else:
-        spread = cases.withColumn("match_round", F.lit(1)).withColumn("n", F.col("n") * ratio)
-    ordered = spread.withColumn("_down", -F.col("score"))
-    return number_rows(ordered, [], ["match_round", "_down"], "rank", window_rows, rows).drop("_down")
-
-
-def _settle(
-    start: DataFrame,
-    proposers: int,
-    caliper: float | None,
-    block_rows: int,
-    batch_rows: int,
-    max_rounds: int,
-) -> DataFrame:
-    """Units taken per proposer and control group.
+class _Matcher:
+    """Settles the choices, numbered by round and then by falling score.
 
-    Proposers go in batches of consecutive rank. No later batch can displace an
-    earlier one, so a batch's holdings are final once nothing is left to
-    propose, and a task never meets more than a block of slots and a batch of
-    proposers.
+    ``slots``: ``score, room``; ``asking``: ``score, units, start``, where ``start``
+    counts the units of one round asked for at higher scores.
     """
-    slots = start.where("kind = 'slot'").select(*_COLUMNS)
-    asking = start.where("kind = 'case'")
-    settled = None
-    for first in range(0, max(proposers, 1), batch_rows):
-        if settled is not None:
-            slots = _with_less_room(slots, held)
-        moving = asking.where(F.col("rank").between(first, first + batch_rows - 1)).select(*_COLUMNS)
-        for turn in range(max_rounds):
-            moving, unfinished = _turn(slots, moving, caliper, block_rows, turn)
-            if not unfinished:
-                break
+
+    def __init__(
+        self, slots: DataFrame, asking: DataFrame, round_units: int, groups: int,
+        caliper: float | None, block_rows: int, turns: list[int],
+    ):
+        self.slots, self.asking, self.round_units, self.groups = slots, asking, round_units, groups
+        self.caliper, self.block_rows, self.turns = caliper, block_rows, turns
+        self.parts: list[DataFrame] = []
+        self.served = 0
+
+    def settle(self, first: int, last: int) -> None:
+        """Settle the choices ``first`` to ``last`` (exclusive), all earlier ones being settled."""
+        if first >= last:
+            return
+        self._serve()
+        binned, longest, walked = _binned(self._rows(first, last), self.block_rows, self.groups)
+        if longest > LONGEST * self.block_rows and last - first > self.block_rows:
+            middle = (first + last) // 2
+            whole_rounds = middle - middle % self.round_units
+            if first < whole_rounds:
+                middle = whole_rounds
+            elif middle - middle % self.round_units + self.round_units < last:
+                middle += self.round_units - middle % self.round_units
+            discard(walked)
+            self.settle(first, middle)
+            self.settle(middle, last)
+            return
+        caliper, units = self.caliper, self.round_units
+
+        def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+            return _sweep(pdf, first, last, units, caliper)
+
+        taken = stage(binned.groupBy("bin").applyInPandas(sweep, _TAKEN), "taken")
+        self.parts.append(taken)
+        self.turns.append(last - first)
+        discard(walked)
+
+    def _serve(self) -> None:
+        """Take what the last turn used from the free control groups."""
+        if len(self.parts) == self.served:
+            return
+        used = self.parts[-1].groupBy(F.col("control_score").alias("score")).agg(F.sum("units").alias("_used"))
+        left = F.col("room") - F.coalesce("_used", F.lit(0))
+        free = self.slots.join(used, "score", "left").select("score", left.alias("room")).where("room > 0")
+        old, self.slots = self.slots, stage(free, "free")
+        self.served = len(self.parts)
+        discard(old)
+
+    def _rows(self, first: int, last: int) -> DataFrame:
+        """Free control groups and the case groups with what they ask for, as one column of signed units."""
+        n = max(self.round_units, 1)
+        low, high = first // n, (last - 1) // n
+        start, end = F.col("start"), F.col("start") + F.col("units")
+
+        def within(a: int, b: int) -> Column:
+            return F.greatest(F.least(end, F.lit(b)) - F.greatest(start, F.lit(a)), F.lit(0))
+
+        if low == high:
+            asked = within(first - low * n, last - low * n)
         else:
-            raise RuntimeError(f"matching unfinished after {max_rounds} rounds of proposals")
-        held = moving.where("kind = 'held'").select(
-            "rank", "pos", F.col("score").alias("control_score"), "units"
+            asked = within(first - low * n, n) + within(0, last - high * n) + F.col("units") * (high - low - 1)
+        cases = self.asking.select("score", F.lit(0).alias("is_slot"), asked.alias("asks"), "units", "start").where("asks > 0")
+        free = self.slots.select(
+            "score", F.lit(1).alias("is_slot"), (-F.col("room")).alias("asks"), F.col("room").alias("units"),
+            F.lit(None).cast("bigint").alias("start"),
         )
-        settled = held if settled is None else settled.unionByName(held)
-    return settled.join(
-        asking.select("rank", "match_round", F.col("score").alias("case_score")), "rank"
-    )
+        return cases.unionByName(free)
 
+    def taken(self) -> DataFrame:
+        if not self.parts:
+            return self.asking.sparkSession.createDataFrame([], _TAKEN)
+        every = self.parts[0]
+        for part in self.parts[1:]:
+            every = every.unionByName(part)
+        return every
 
-def _with_less_room(slots: DataFrame, held: DataFrame) -> DataFrame:
-    used = held.groupBy("pos").agg(F.sum("units").alias("_used"))
-    left = F.col("room") - F.coalesce(F.col("_used"), F.lit(0))
-    return stage(slots.join(used, "pos", "left").withColumn("room", left).select(*_COLUMNS), "slots")
 
+def _binned(rows: DataFrame, block_rows: int, most: int) -> tuple[DataFrame, int, DataFrame]:
+    """Rows of independent segments numbered by bin, the size of the largest bin, and the stored rows.
 
-def _as_state(slots: DataFrame, proposals: DataFrame) -> DataFrame:
-    slot_rows = slots.select(
-        F.lit("slot").alias("kind"), "pos", "score", "prev_score", "next_score", "room"
-    )
-    case_rows = proposals.select(
-        F.lit("case").alias("kind"), "score", "rank", "match_round", F.col("n").alias("units"),
-        "below", "above", "below_score", "above_score",
-    )
-    return slot_rows.unionByName(case_rows, allowMissingColumns=True)
-
-
-def _has_next():
-    """A proposer with units left and a control group left to ask."""
-    return (
-        (F.col("kind") == "case")
-        & (F.col("units") > 0)
-        & ((F.col("below") != NONE) | (F.col("above") != NONE))
-    )
-
-
-def _turn(
-    slots: DataFrame, moving: DataFrame, caliper: float | None, block_rows: int, turn: int
-) -> tuple[DataFrame, int]:
-    """Let every block settle the proposals that reach it, then merge what left the blocks.
-
-    Only blocks that are asked take part. Returns the moved rows and how many of
-    them have somewhere to go.
+    ``most`` bounds the number of rows: up to a block they are one bin. Beyond,
+    rows are range-partitioned into slices, and what passes through the driver is
+    a few numbers per slice. Segments that begin in the same block share a bin;
+    bins that nobody asks in are left out.
     """
-    # Alternate turns shift the cuts by half a block, so that proposers straddling
-    # a cut are settled whole in the next turn.
-    shift = (turn % 2) * (block_rows // 2)
-
-    def block(pos):
-        return F.floor((pos + shift) / F.lit(block_rows)).cast("bigint")
-
-    to_below = (F.col("below") != NONE) & (
-        (F.col("above") == NONE)
-        | (F.col("score") - F.col("below_score") <= F.col("above_score") - F.col("score"))
+    if most <= block_rows:
+        return rows.withColumn("bin", F.lit(0)), most, rows
+    order = ["_down", "is_slot"]
+    sliced = stage(
+        rows.withColumn("_down", -F.col("score")).repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()),
+        "segments",
     )
-    asked = F.when(to_below, F.col("below")).otherwise(F.col("above"))
-    active = moving.where(_has_next()).withColumn("block", block(asked))
-    # At most one row per block of slots, so far fewer rows than control groups.
-    reached = F.broadcast(active.select("block").distinct())
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _settle_block(pdf, caliper)
-
-    held = moving.where("kind = 'held'").withColumn("block", block(F.col("pos")))
-    worked = (
-        slots.withColumn("block", block(F.col("pos")))
-        .unionByName(held)
-        .join(reached, "block", "left_semi")
-        .unionByName(active)
-        .groupBy("block")
-        .applyInPandas(settle, _STATE)
+    within = Window.partitionBy("_slice").orderBy(*order)
+    so_far = within.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = within.rowsBetween(0, Window.unboundedFollowing)
+    whole = Window.partitionBy("_slice")
+    # A queue is the running sum less its least value so far, or less what came in.
+    walked = (
+        sliced.withColumn("_sum", F.sum("asks").over(so_far))
+        .withColumn("_low", F.min("_sum").over(so_far))
+        .withColumn("_rest", F.sum("asks").over(whole) - F.col("_sum") + F.col("asks"))
+        .withColumn("_rest_low", F.min("_rest").over(ahead))
+        .withColumn("_no", F.row_number().over(within))
     )
-    resting = held.join(reached, "block", "left_anti").drop("block").unionByName(
-        moving.where((F.col("kind") == "case") & ~_has_next())
+    slices = walked.groupBy("_slice").agg(
+        F.sum("asks").alias("total"), F.min("_sum").alias("low"), F.min("_rest").alias("rest_low"), F.count(F.lit(1)).alias("n")
+    ).orderBy("_slice").collect()
+    down, offset, known = 0, 0, {}
+    for s in slices:
+        known[s._slice] = [down, 0, offset, down == 0]
+        down = max(down + s.total, s.total - s.low)
+        offset += s.n
+    up = 0
+    for s in reversed(slices):
+        known[s._slice][1] = up
+        up = max(up + s.total, s.total - s.rest_low)
+        known[s._slice][3] = known[s._slice][3] and up == 0
+    spark = rows.sparkSession
+    came = spark.createDataFrame(
+        [(k, *v) for k, v in known.items()], "_slice int, _down_in bigint, _up_in bigint, _offset bigint, _top boolean"
     )
-    out, seen = stage_measured(
-        worked.unionByName(resting),
-        "turn",
-        unfinished=F.count_if(_has_next() | (F.col("kind") == "bump")),
+    marked = (
+        walked.join(F.broadcast(came), "_slice")
+        .withColumn("_queue", F.greatest(F.col("_down_in") + F.col("_sum"), F.col("_sum") - F.col("_low")))
+        .withColumn("_queue_up", F.greatest(F.col("_up_in") + F.col("_rest"), F.col("_rest") - F.col("_rest_low")))
+        .withColumn("_before", F.lag("_queue").over(within))
     )
-    # A bumped proposer's own row may sit in another block; its units come home here.
-    cases = (
-        out.where("kind <> 'held'")
-        .groupBy("rank")
-        .agg(
-            F.max("score").alias("score"),
-            F.sum("units").alias("units"),
-            *[F.max(c).alias(c) for c in ("below", "above", "below_score", "above_score")],
-        )
-        .withColumn("kind", F.lit("case"))
-    )
-    merged = out.where("kind = 'held'").unionByName(cases, allowMissingColumns=True)
-    return merged.select(*_COLUMNS), seen["unfinished"]
-
-
-def _settle_block(pdf: pd.DataFrame, caliper: float | None) -> pd.DataFrame:
-    """Proposals of one block, best rank first, until each is placed or leaves the block."""
-    slots = pdf[pdf["kind"] == "slot"].sort_values("pos")
-    asking = pdf[pdf["kind"] == "case"]
-    first, size = int(slots["pos"].iloc[0]), len(slots)
-    scores = slots["score"].tolist()
-    before, after = slots["prev_score"].iloc[0], slots["next_score"].iloc[-1]
-    free = slots["room"].astype("int64").tolist()
-    held: defaultdict[int, list[tuple[int, int]]] = defaultdict(list)
-    for row in pdf[pdf["kind"] == "held"].sort_values("rank").itertuples(index=False):
-        held[int(row.pos) - first].append((int(row.rank), int(row.units)))
-        free[int(row.pos) - first] -= int(row.units)
-    # open_below[k + 1] leads to the nearest slot at or below k that may still accept.
-    open_below, open_above = list(range(size + 1)), list(range(size + 1))
-
-    def find(links: list[int], k: int) -> int:
-        root = k
-        while links[root] != root:
-            root = links[root]
-        while links[k] != root:
-            links[k], k = root, links[k]
-        return root
-
-    def step(k: int, down: bool, rank: int) -> tuple[int, float]:
-        """Position and score of the next slot to ask from local slot ``k`` on.
-
-        A slot full of better cases will never accept ``rank``, nor any later
-        one, whatever else happens; the whole run of such slots is passed at once.
-        """
-        while True:
-            k = find(open_below, k + 1) - 1 if down else find(open_above, k)
-            if not 0 <= k < size:
-                edge = before if down else after
-                return (NONE, 0.0) if pd.isna(edge) else (first + k, float(edge))
-            if free[k] or (k in held and held[k] and held[k][-1][0] > rank):
-                return first + k, scores[k]
-            open_below[k + 1], open_above[k] = k, k + 1
-
-    cases = {
-        int(c.rank): [c.score, int(c.units), int(c.below), int(c.above), c.below_score, c.above_score]
-        for c in asking.itertuples(index=False)
-    }
-    bumped: dict[int, int] = {}
-    for rank in sorted(cases):
-        score, units, below, above, below_score, above_score = cases[rank]
-        while units:
-            gap_below = score - below_score if below != NONE else float("inf")
-            gap_above = above_score - score if above != NONE else float("inf")
-            down = gap_below <= gap_above
-            gap = min(gap_below, gap_above)
-            if gap == float("inf") or (caliper is not None and gap > caliper):
-                below = above = NONE
-                break
-            k = (below if down else above) - first
-            if not 0 <= k < size:
-                break
-            taken = min(units, free[k])
-            free[k] -= taken
-            # Better cases displace worse ones; ranks only grow within this loop.
-            while taken < units and held[k] and held[k][-1][0] > rank:
-                worse, theirs = held[k].pop()
-                moved = min(theirs, units - taken)
-                taken += moved
-                if theirs > moved:
-                    held[k].append((worse, theirs - moved))
-                if worse in cases:  # its turn is still to come
-                    cases[worse][1] += moved
-                else:
-                    bumped[worse] = bumped.get(worse, 0) + moved
-            if taken:
-                insort(held[k], (rank, taken))
-            units -= taken
-            if units:
-                if down:
-                    below, below_score = step(k, True, rank)
-                else:
-                    above, above_score = step(k, False, rank)
-        cases[rank] = [score, units, below, above, below_score, above_score]
-
-    rows = [("held", first + k, scores[k], r, u) for k, h in held.items() for r, u in h]
-    kept = pd.DataFrame(rows, columns=["kind", "pos", "score", "rank", "units"])
-    moved = pd.DataFrame(
-        [("case", r, *c) for r, c in cases.items()]
-        + [("bump", r, None, u, None, None, None, None) for r, u in bumped.items()],
-        columns=["kind", "rank", "score", "units", "below", "above", "below_score", "above_score"],
+    begins = F.when(F.col("_no") == 1, F.col("_top")).otherwise((F.col("_before") == 0) & (F.col("_queue_up") == 0))
+    place = F.col("_offset") + F.col("_no") - 1
+    begun = marked.withColumn("_segment", F.max(F.when(begins, place)).over(so_far))
+    last, carried = 0, []
+    for s, most_recent in begun.groupBy("_slice").agg(F.max("_segment")).orderBy("_slice").collect():
+        carried.append((s, last))
+        last = last if most_recent is None else most_recent
+    carry = F.broadcast(spark.createDataFrame(carried, "_slice int, _carried bigint"))
+    segment = F.coalesce("_segment", "_carried")
+    binned = begun.join(carry, "_slice").withColumn("bin", F.floor(segment / block_rows))
+    asked = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("is_slot").alias("_idle")).where("_idle = 0")
+    longest = asked.agg(F.max("n")).first()[0] or 0
+    kept = binned.join(asked.select("bin"), "bin", "left_semi")
+    return kept.select("bin", "score", "is_slot", "asks", "units", "start"), longest, sliced
+
+
+def _sweep(pdf: pd.DataFrame, first: int, last: int, round_units: int, caliper: float | None) -> pd.DataFrame:
+    """The choices ``first`` to ``last`` of one bin, round by round from the highest score down.
+
+    Controls below the current case that are taken lie directly below it, so one
+    place marks the next free one there; free controls above are a stack whose top
+    is the nearest.
+    """
+    slots = pdf[pdf["is_slot"] == 1].sort_values("score", ascending=False)
+    cases = pdf[pdf["is_slot"] == 0].sort_values("score", ascending=False)
+    scores, room = slots["score"].tolist(), slots["units"].astype("int64").tolist()
+    asking = list(zip(cases["score"].tolist(), cases["units"].astype("int64").tolist(), cases["start"].astype("int64").tolist()))
+    n, far = len(scores), float("inf")
+    taken = []
+    for turn in range(first // round_units, (last - 1) // round_units + 1):
+        base = turn * round_units
+        passed = below = 0
+        above: list[int] = []
+        for score, units, start in asking:
+            wanted = min(base + start + units, last) - max(base + start, first)
+            if wanted <= 0:
+                continue
+            while passed < n and scores[passed] > score:
+                if room[passed]:
+                    above.append(passed)
+                passed += 1
+            below = max(below, passed)
+            while wanted:
+                while below < n and not room[below]:
+                    below += 1
+                while above and not room[above[-1]]:
+                    above.pop()
+                gap_below = score - scores[below] if below < n else far
+                gap_above = scores[above[-1]] - score if above else far
+                gap = min(gap_below, gap_above)
+                if gap == far or (caliper is not None and gap > caliper):
+                    break
+                k = below if gap_below <= gap_above else above[-1]
+                moved = min(wanted, room[k])
+                room[k] -= moved
+                wanted -= moved
+                taken.append((base + start, turn + 1, score, scores[k], moved))
+    return pd.DataFrame(taken, columns=["rank", "match_round", "case_score", "control_score", "units"]).astype(
+        {"rank": "int64", "match_round": "int32", "case_score": "float64", "control_score": "float64", "units": "int64"}
     )
-    out = pd.concat([kept, moved], ignore_index=True).reindex(columns=list(_COLUMNS))
-    for column, kind in _COLUMNS.items():
-        if kind != "string":
-            out[column] = out[column].astype("Int64" if kind == "bigint" else "float64")
-    return out
 
 
 def _expand(
@@ -382,7 +319,7 @@ def _expand(
 ) -> DataFrame:
     """One row per pair, with the members' numbers within their score groups."""
     known = (
-        allocated.groupBy("rank", "pos", "match_round", "case_score", "control_score")
+        allocated.groupBy("rank", "match_round", "case_score", "control_score")
         .agg(F.sum("units").alias("units"))
         .withColumn("gap", F.abs(F.col("control_score") - F.col("case_score")))
     )
@@ -390,7 +327,7 @@ def _expand(
         known, ["rank"], ["gap", "control_score"], F.col("units"), "case_start", window_rows, rows
     )
     both = running_total(
-        by_case, ["pos"], ["rank"], F.col("units"), "control_start", window_rows, rows
+        by_case, ["control_score"], ["rank"], F.col("units"), "control_start", window_rows, rows
     )
     # A large allocation is cut into runs, and the runs are spread before each
     # becomes rows, so no task has to expand a whole group.

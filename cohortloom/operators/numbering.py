@@ -25,7 +25,7 @@ def running_total(
     rows takes a plain window; the caller may pass a known bound as ``rows`` to
     spare the count. A larger one is range-partitioned by group and
     order, so that a hot group spans many slices; each slice sums locally and
-    adds the totals of the group's earlier slices.
+    adds the totals of the group's earlier slices. A null group is a group.
     """
     valued = df.withColumn("_value", value)
     before = (Window.unboundedPreceding, -1)
@@ -47,10 +47,14 @@ def running_total(
     )
     w_local = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(*before)
     local = sliced.withColumn("_local", F.coalesce(F.sum("_value").over(w_local), F.lit(0)))
+    named = offsets.select(*[F.col(g).alias(f"_of_{g}") for g in group], F.col("_slice").alias("_of"), "_offset")
+    same = F.col("_slice") == F.col("_of")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
     return (
-        local.join(offsets, group + ["_slice"])
+        local.join(named, same)
         .withColumn(name, F.col("_local") + F.col("_offset"))
-        .drop("_value", "_slice", "_local", "_offset")
+        .drop("_value", "_slice", "_local", "_offset", "_of", *[f"_of_{g}" for g in group])
     )
 
 

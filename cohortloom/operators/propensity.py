@@ -46,12 +46,13 @@ def propensity_score(
         link="logit",
         labelCol="label",
         weightCol="n",
-        maxIter=MAX_ITERATIONS,
+        # One more than the limit, so that a fit that ends on the last iteration still counts.
+        maxIter=MAX_ITERATIONS + 1,
         tol=TOLERANCE,
         regParam=0.0,
     ).fit(vectors)
-    if model.summary.numIterations >= MAX_ITERATIONS:
-        raise NotConverged(f"no convergence in {MAX_ITERATIONS} iterations")
+    if model.summary.numIterations > MAX_ITERATIONS:
+        raise NotConverged(f"no convergence to {TOLERANCE} in {MAX_ITERATIONS} iterations")
 
     linear = F.lit(float(model.intercept))
     for column, weight in zip(covariates, model.coefficients):

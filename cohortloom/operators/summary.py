@@ -40,6 +40,24 @@ def summary_tables(df: DataFrame, name: str = "outcome", group: str = "case_cont
     )
 
 
+def flag_counts(df: DataFrame, name: str = "outcome") -> DataFrame:
+    """Members with each outcome flag, and with any outcome at all, over both arms."""
+    flags = [f"{name}_beforeindex", f"{name}_in12monthsafterindex", f"{name}_anyafterindex"]
+    counted = [F.count_if(F.col(c) == 1).alias(c) for c in flags]
+    pairs = [F.struct(F.lit(c).alias("variable"), F.col(c).alias("n")) for c in flags]
+    return df.agg(*counted).select(F.inline(F.array(*pairs)))
+
+
+def sample_sizes(everyone: DataFrame, members: DataFrame, treatment: str, weights: str) -> DataFrame:
+    """Per arm: all, matched and unmatched people, and the matched ones' effective number."""
+    matched = arm_sizes(members, treatment, weights).withColumnRenamed("n", "matched")
+    counted = count_by(everyone, [treatment], "everyone").join(F.broadcast(matched), treatment, "left")
+    n = F.coalesce("matched", F.lit(0).cast("bigint"))
+    return counted.select(
+        treatment, "everyone", n.alias("matched"), (F.col("everyone") - n).alias("unmatched"), "effective_n"
+    )
+
+
 def arm_sizes(df: DataFrame, treatment: str, weights: str | None = None) -> DataFrame:
     """Members per arm and the effective sample size under the weights."""
     w = F.col(weights) if weights else F.lit(1.0)

@@ -13,7 +13,7 @@ from datetime import date
 from pyspark.sql import DataFrame, functions as F
 
 from cohortloom.functions import dates as D
-from cohortloom.operators import cohort as C, demographics as G, events as E
+from cohortloom.operators import cohort as C, demographics as G, events as E, summary as S
 from cohortloom.operators.matching import assign_index, match_nearest, matched_members
 from cohortloom.operators.outcomes import outcome_table
 from cohortloom.operators.propensity import propensity_score
@@ -80,19 +80,10 @@ def combined_arms(cases: DataFrame, controls: DataFrame) -> DataFrame:
     )
 
 
-def study_arms(
-    patients: DataFrame,
-    practices: DataFrame,
-    condition_events: DataFrame,
-    exposure_events: DataFrame,
-    rules: Rules,
+def judged(
+    patients: DataFrame, condition_events: DataFrame, exposure_events: DataFrame, rules: Rules
 ) -> DataFrame:
-    """Matching input for both arms in one pass.
-
-    The same rows as ``combined_arms`` of the two cohorts, but each event table
-    is read once and every join and grouping shares the partitioning by patient.
-    A patient is in one arm at most, so no de-duplication is needed.
-    """
+    """Each diagnosed patient once, with flags ``is_case``, ``reached`` (the age) and ``never`` (exposed)."""
     diagnosed = first_condition(patients, condition_events)
     # All prescriptions count against a control, dated and plausible or not.
     yearly = E.yearly_first(exposure_events, "issuedate")
@@ -105,14 +96,73 @@ def study_arms(
     is_case = (F.col("first_obsdate") <= F.col("first_exposure")) & D.has_age(
         F.col("first_exposure"), F.col("dob"), rules.min_age
     )
-    is_control = F.col("_prescribed_years") == 0
+    reached = D.has_age(end, F.col("dob"), rules.min_age)
     for column in ("regenddate", "emis_ddate"):
-        is_control = is_control & D.has_age(
-            F.coalesce(F.col(column), end), F.col("dob"), rules.min_age
+        reached = reached & D.has_age(F.coalesce(F.col(column), end), F.col("dob"), rules.min_age)
+    return born.select(
+        "*",
+        F.coalesce(is_case, F.lit(False)).alias("is_case"),
+        F.coalesce(reached, F.lit(False)).alias("reached"),
+        (F.col("_prescribed_years") == 0).alias("never"),
+    ).drop("_prescribed_years")
+
+
+def attrition(
+    patients: DataFrame,
+    practices: DataFrame,
+    observations: DataFrame,
+    condition_events: DataFrame,
+    exposure_events: DataFrame,
+    rules: Rules,
+) -> DataFrame:
+    """Patients left after each selection step: ``step_no, step, patients``.
+
+    The steps after the diagnosis are flags of one pass over the diagnosed
+    patients, counted by one grouping.
+    """
+    known = practices.select("pracid", F.lit(True).alias("_known"))
+    diagnosed = judged(patients, condition_events, exposure_events, rules).join(known, "pracid", "left")
+    listed = F.coalesce(F.col("_known"), F.lit(False))
+    control = F.col("reached") & F.col("never")
+    flags = [
+        ("acceptable, dated, after birth year", F.lit(True)),
+        ("exposed after it and at the age", F.col("is_case")),
+        ("exposed cohort", F.col("is_case") & listed),
+        ("reached the age", F.col("reached")),
+        ("never exposed", control),
+        ("control pool", control & listed),
+    ]
+    early = [("patients", patients), ("with any event", observations), ("with a condition code", condition_events)]
+    counted = None
+    for number, (name, df) in enumerate(early, start=1):
+        one = df.agg(F.countDistinct("patid").alias("patients")).select(
+            F.lit(number).alias("step_no"), F.lit(name).alias("step"), "patients"
         )
-    is_control = is_control & D.has_age(end, F.col("dob"), rules.min_age)
-    armed = born.withColumn(
-        "case_control", F.when(is_case, F.lit(True)).when(is_control, F.lit(False))
+        counted = one if counted is None else counted.unionByName(one)
+    sums = diagnosed.agg(*[F.count_if(test).alias(f"_{k}") for k, (_, test) in enumerate(flags)])
+    rows = F.array(*[
+        F.struct(F.lit(k + 1 + len(early)).alias("step_no"), F.lit(name).alias("step"), F.col(f"_{k}").alias("patients"))
+        for k, (name, _) in enumerate(flags)
+    ])
+    return counted.unionByName(sums.select(F.inline(rows)))
+
+
+def study_arms(    patients: DataFrame,
+    practices: DataFrame,
+    condition_events: DataFrame,
+    exposure_events: DataFrame,
+    rules: Rules,
+) -> DataFrame:
+    """Matching input for both arms in one pass.
+
+    The same rows as ``combined_arms`` of the two cohorts, but each event table
+    is read once. Events are shuffled twice, first by patient and year, then, at
+    most one row per year, by patient. A patient is in one arm at most, so no
+    de-duplication is needed.
+    """
+    armed = judged(patients, condition_events, exposure_events, rules).withColumn(
+        "case_control",
+        F.when(F.col("is_case"), F.lit(True)).when(F.col("reached") & F.col("never"), F.lit(False)),
     ).where(F.col("case_control").isNotNull())
     ended = G.follow_up_end(C.with_practice(armed, practices), rules.study_end)
     return G.with_age(ended, rules.study_end).select(
@@ -165,6 +215,55 @@ def run_study(
     return outcome_table(cohort, patients, outcome_events, name=name)
 
 
+def study_report(
+    patients: DataFrame,
+    practices: DataFrame,
+    condition_events: DataFrame,
+    exposure_events: DataFrame,
+    outcome_events: DataFrame,
+    rules: Rules,
+    name: str = "outcome",
+    recode_sex: bool = True,
+) -> dict[str, DataFrame]:
+    """The tables reported on the matched study, from one stored outcome table.
+
+    ``crosstabs``: arm by sex and by flag; ``flags``: members with each flag;
+    ``ages``: age per arm; ``balance``: of the score and the covariates after
+    matching; ``sizes``: all, matched and unmatched people per arm; ``counts``:
+    sets, members, and members left by the follow-up rule.
+    """
+    arms = study_arms(patients, practices, condition_events, exposure_events, rules)
+    scored = stage(scored_arms(arms, recode_sex), "scored")
+    members = stage(match_arms(scored, rules.ratio), "members")
+    outcomes = stage(
+        outcome_table(followed_members(members), patients, outcome_events, name=name), "outcomes"
+    )
+    matched = members.agg(
+        F.countDistinct("subclass").alias("matched sets"), F.count(F.lit(1)).alias("matched members")
+    )
+    left = outcomes.agg(
+        F.count(F.lit(1)).alias("members left by follow-up"),
+        F.count_if("case_control").alias("exposed members left"),
+        F.count_if(~F.col("case_control")).alias("never exposed members left"),
+    )
+    return {
+        "crosstabs": S.summary_tables(outcomes, name),
+        "flags": S.flag_counts(outcomes, name),
+        "ages": S.describe_by(outcomes, "case_control", "age"),
+        "balance": S.balance(
+            members, "case_control", ["distance", "age", "sex"], "weights", reference=scored
+        ),
+        "sizes": S.sample_sizes(scored, members, "case_control", "weights"),
+        "counts": _listed(matched).unionByName(_listed(left)),
+    }
+
+
+def _listed(counts: DataFrame) -> DataFrame:
+    """One row of counts as rows of ``measure, n``."""
+    pairs = [F.struct(F.lit(c).alias("measure"), F.col(f"`{c}`").alias("n")) for c in counts.columns]
+    return counts.select(F.inline(F.array(*pairs)))
+
+
 def draft_cohorts(
     patients: DataFrame,
     condition_events: DataFrame,

@@ -61,7 +61,17 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._staged_at = path
+    return stored
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more; other tables stay."""
+    path = getattr(df, "_staged_at", None)
+    if path is not None:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stage_measured(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:

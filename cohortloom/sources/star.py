@@ -38,8 +38,9 @@ class Star:
         key = F.col("c_custkey")
 
         def dated(remainder: int, start: date, width: int):
+            # Some patients have both leaving dates.
             offset = (key % width).cast("int")
-            return F.when(key % 10 == remainder, F.date_add(F.lit(start), offset))
+            return F.when((key % 10 == remainder) | (key % 7 == 5), F.date_add(F.lit(start), offset))
 
         return self.raw("customer").select(
             key.alias("patid"),
@@ -61,23 +62,26 @@ class Star:
 
     def observations(self, with_practice: bool = False) -> DataFrame:
         """Events; their own practice id costs a join and is left out unless asked for."""
+        key = F.col("o_orderkey")
         events = self.raw("orders").select(
+            *([key] if with_practice else []),
             F.col("o_custkey").alias("patid"),
             F.when(F.col("o_orderkey") % 53 != 0, F.col("o_orderdate").cast("date")).alias("obsdate"),
             F.col("o_orderpriority").alias("medcodeid"),
         )
         if not with_practice:
             return events
-        practice = self.raw("customer").select(
-            F.col("c_custkey").alias("patid"), F.col("c_nationkey").alias("pracid")
-        )
-        return events.join(practice, "patid").select("patid", "pracid", "obsdate", "medcodeid")
+        practice = self.raw("customer").select(F.col("c_custkey").alias("patid"), "c_nationkey")
+        # Every third event was recorded at another practice than the patient's.
+        moved = F.when(key % 3 == 0, 1).otherwise(0)
+        pracid = ((F.col("c_nationkey") + moved) % 25).cast("int").alias("pracid")
+        return events.join(practice, "patid").select("patid", pracid, "obsdate", "medcodeid")
 
     def drug_issues(self, codes: DataFrame | None = None) -> DataFrame:
         """Prescriptions; with ``codes``, lines are filtered before they meet their order."""
         lines = self.raw("lineitem").select(
             F.col("l_orderkey").alias("o_orderkey"),
-            F.col("l_shipdate").cast("date").alias("issuedate"),
+            F.when(F.col("l_orderkey") % 41 != 0, F.col("l_shipdate").cast("date")).alias("issuedate"),
             F.col("l_partkey").cast("string").alias("prodcodeid"),
         )
         if codes is not None:

@@ -31,7 +31,16 @@ DRUG_ISSUE = table(patid=LONG, prodcodeid=TEXT, issuedate=DAY)
 PRACTICE = table(pracid=INT, lcd=DAY)
 
 
+class MissingColumns(ValueError):
+    """A record table lacks columns that its readers rely on."""
+
+
 def _scan(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table under its declared schema; a file that lacks a column is refused, not read as NULL."""
+    held = set(spark.read.parquet(path).columns)
+    missing = [name for name in schema.names if name not in held]
+    if missing:
+        raise MissingColumns(f"{path} lacks {', '.join(missing)}")
     return spark.read.schema(schema).parquet(path)
 
 

@@ -42,26 +42,34 @@ _HEADER = {
 }
 
 
-def _read_text(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    # Without a schema and without inference every column is text.
+# What stands for a missing cell in the published files.
+NULL_TEXT = "NA"
+
+
+def _read_text(spark: SparkSession, path: str, sep: str, null_text: str) -> DataFrame:
+    # Without a schema and without inference every column is text. A quoted cell may hold
+    # line breaks, so a file is read by one task; lists and dictionaries are small.
     df = (
         spark.read.option("header", True)
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
-        .option("nullValue", "NA")
+        .option("nullValue", null_text)
+        .option("multiLine", True)
         .csv(path)
     )
     return df.toDF(*[c.strip(BYTE_ORDER_MARK + "\r ") for c in df.columns])
 
 
-def read_dictionary(spark: SparkSession, path: str, kind: str, sep: str = "\t") -> DataFrame:
+def read_dictionary(
+    spark: SparkSession, path: str, kind: str, sep: str = "\t", null_text: str = NULL_TEXT
+) -> DataFrame:
     """Medical (``med``) or product (``prod``) dictionary, matched by header name.
 
     Ids stay text. A column the file lacks is NULL; other columns are left out.
     """
     schema = _DICTIONARIES[kind]
-    raw = _read_text(spark, path, sep)
+    raw = _read_text(spark, path, sep, null_text)
     found = {}
     for column in raw.columns:
         plain = "".join(ch for ch in column.lower() if ch.isalnum())
@@ -84,27 +92,36 @@ def read_code_list(
     sep: str = ",",
     column: str | None = None,
     keep: list[str] | None = None,
+    null_text: str = NULL_TEXT,
 ) -> DataFrame:
     """One code per row as ``code``, with the ``keep`` columns.
 
     Byte-order mark, carriage returns and blank rows go. In a ragged file, where
     unquoted separators shift later cells, keep only columns before the text.
     """
-    raw = _read_text(spark, path, sep)
+    raw = _read_text(spark, path, sep, null_text)
     source = column or raw.columns[0]
     return raw.select(
         clean_code(F.col(f"`{source}`")).alias("code"), *[F.col(f"`{c}`") for c in keep or []]
     ).where(F.col("code").isNotNull())
 
 
-def write_code_list(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexists") -> None:
-    """Delimited text with a header; cells holding the separator are quoted."""
+def write_code_list(
+    df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexists", null_text: str = NULL_TEXT
+) -> None:
+    """Delimited text with a header; cells holding separators, quotes or line breaks are quoted.
+
+    Blanks at either end of a cell stay. A cell that reads ``null_text`` comes back as
+    NULL: where such cells occur, write and read with another one.
+    """
     (
         df.write.mode(mode)
         .option("header", True)
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
-        .option("nullValue", "NA")
+        .option("nullValue", null_text)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )

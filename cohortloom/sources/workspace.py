@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import hashlib
+import time
+import uuid
 
-from cohortloom.session import stage
+from py4j.java_gateway import JavaObject
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 ROWS_PER_KEY = 1_000_000
+PLAIN, CLUSTERED = "plain", "clustered"
 
 
 class Workspace:
     """Computes a named table once and reads it back afterwards.
 
     Tables live below ``root/prefix`` on shared storage, so later sessions find
-    them. ``cluster_by`` buckets a table: later joins and groupings on the same
-    columns and bucket count need no shuffle.
+    them. Every write goes to a folder of its own, named by time and form; the
+    newest complete one is the table, and older ones are deleted once it is.
+    ``cluster_by`` buckets a table: later joins and groupings on the same columns
+    and bucket count need no shuffle.
     """
 
     def __init__(self, spark: SparkSession, root: str, prefix: str):
@@ -23,11 +28,18 @@ class Workspace:
         self.prefix = prefix
         self.folder = f"{root}/{prefix}"
 
-    def _read(self, path: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(path)
-        except AnalysisException:
-            return None
+    def _path(self, place: str) -> tuple[JavaObject, JavaObject]:
+        """A path and its file system."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _versions(self, name: str) -> list[str]:
+        """Folders of complete writes of ``name``, oldest first."""
+        path, system = self._path(f"{self.folder}/{name}")
+        if not system.exists(path):
+            return []
+        found = [s.getPath() for s in system.listStatus(path)]
+        return sorted(p.getName() for p in found if system.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
     def cached(
         self,
@@ -41,52 +53,68 @@ class Workspace:
         """The stored table ``name``; ``df`` runs only if it is absent or to be replaced.
 
         A bucket is read by one task. A table with a key of more than
-        ``rows_per_key`` rows is therefore stored unbucketed, and its joins are
-        left to the adaptive skew join.
+        ``rows_per_key`` rows is therefore written once more, unbucketed, and its
+        joins are left to the adaptive skew join. ``df`` may read the table it replaces.
         """
-        plain, clustered = f"{self.folder}/{name}/plain", f"{self.folder}/{name}/clustered"
-        if not overwrite:
-            if cluster_by and self._read(clustered) is not None:
-                return self._register(name, df, cluster_by, buckets, clustered)
-            if self._read(plain) is not None:
-                return self.spark.read.schema(df.schema).parquet(plain)
+        known = self._versions(name)
+        if known and not overwrite:
+            return self._open(name, known[-1], df, cluster_by, buckets)
         if cluster_by:
-            stored = stage(df, name)
+            version = self._new(CLUSTERED)
+            place = f"{self.folder}/{name}/{version}"
+            # One writer per bucket, or every task would write a file per bucket.
+            (
+                df.repartition(buckets, *cluster_by)
+                .write.bucketBy(buckets, *cluster_by)
+                .sortBy(*cluster_by)
+                .option("path", place)
+                .saveAsTable(self._table(name, version))
+            )
+            stored = self.spark.table(self._table(name, version))
+            # Buckets hold whole keys, so this count needs no shuffle.
             sizes = stored.groupBy(*cluster_by).agg(F.count(F.lit(1)).alias("n"))
             if (sizes.agg(F.max("n")).first()[0] or 0) <= rows_per_key:
-                # One writer per bucket, or every task would write a file per bucket.
-                (
-                    stored.repartition(buckets, *cluster_by)
-                    .write.mode("overwrite")
-                    .bucketBy(buckets, *cluster_by)
-                    .sortBy(*cluster_by)
-                    .option("path", clustered)
-                    .saveAsTable(self._table(name))
-                )
-                return self.spark.table(self._table(name))
-            df = stored
-        df.write.mode("overwrite").parquet(plain)
-        return self.spark.read.schema(df.schema).parquet(plain)
+                self._forget(name, known)
+                return stored
+            df, known = self.spark.read.schema(df.schema).parquet(place), [*known, version]
+        version = self._new(PLAIN)
+        df.write.parquet(f"{self.folder}/{name}/{version}")
+        self._forget(name, known)
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}/{version}")
 
     def table(self, name: str) -> DataFrame:
         """A stored table by name, as plain files."""
-        for form in ("clustered", "plain"):
-            found = self._read(f"{self.folder}/{name}/{form}")
-            if found is not None:
-                return found
-        raise KeyError(name)
+        known = self._versions(name)
+        if not known:
+            raise KeyError(name)
+        return self.spark.read.parquet(f"{self.folder}/{name}/{known[-1]}")
+
+    def _new(self, form: str) -> str:
+        return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}-{form}"
+
+    def _table(self, name: str, version: str) -> str:
+        # Workspaces of one prefix under different roots share a catalogue.
+        root = hashlib.sha256(self.folder.encode()).hexdigest()[:12]
+        return f"{self.prefix}_{name}_{root}_{version.replace('-', '_')}"
 
-    def _table(self, name: str) -> str:
-        return f"{self.prefix}_{name}"
+    def _forget(self, name: str, versions: list[str]) -> None:
+        for version in versions:
+            self.spark.sql(f"DROP TABLE IF EXISTS `{self._table(name, version)}`")
+            path, system = self._path(f"{self.folder}/{name}/{version}")
+            system.delete(path, True)
 
-    def _register(
-        self, name: str, df: DataFrame, cluster_by: list[str], buckets: int, path: str
+    def _open(
+        self, name: str, version: str, df: DataFrame, cluster_by: list[str] | None, buckets: int
     ) -> DataFrame:
-        """Tell a session that has not seen the table how its files are bucketed."""
+        place = f"{self.folder}/{name}/{version}"
+        if not cluster_by or not version.endswith(CLUSTERED):
+            return self.spark.read.schema(df.schema).parquet(place)
+        # Tell a session that has not seen the table how its files are bucketed.
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
         keys = ", ".join(f"`{c}`" for c in cluster_by)
+        table = self._table(name, version)
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS `{self._table(name)}` ({columns}) USING parquet "
-            f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"CREATE TABLE IF NOT EXISTS `{table}` ({columns}) USING parquet "
+            f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{place}'"
         )
-        return self.spark.table(self._table(name))
+        return self.spark.table(table)

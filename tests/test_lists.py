@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from cohortloom.operators import codes as K, lists as L
 from cohortloom.plans import codebooks
 from cohortloom.sources import codesets, text
@@ -18,8 +20,8 @@ def write(path, content, encoding="utf-8"):
 
 
 def test_code_list_with_mark_blanks_and_carriage_returns(spark, tmp_path):
-    path = write(tmp_path / "codes.csv", "﻿Read_Codes\r\nAb00\r\n\r\n Ab001 \r\n\r\n13581641000033116\r\n")
-    assert values(text.read_code_list(spark, path), "code") == [("13581641000033116",), ("Ab00",), ("Ab001",)]
+    path = write(tmp_path / "codes.csv", "﻿Read_Codes\r\nAb00\r\n\r\n Ab001 \r\n\r\n12345678901234567\r\n")
+    assert values(text.read_code_list(spark, path), "code") == [("12345678901234567",), ("Ab00",), ("Ab001",)]
 
 
 def test_ragged_rows_keep_the_columns_before_the_text(spark, tmp_path):
@@ -32,23 +34,28 @@ def test_ragged_rows_keep_the_columns_before_the_text(spark, tmp_path):
 
 
 def test_round_trip_quotes_separators(spark, tmp_path):
-    rows = [("1", 'a, "b"'), ("2", None), ("13581641000033116", "tab\there")]
+    rows = [("1", 'a, "b"'), ("2", None), ("12345678901234567", "tab\there")]
     df = spark.createDataFrame(rows, "code string, term string")
     for sep in (",", "\t"):
         path = str(tmp_path / f"out{ord(sep)}")
         text.write_code_list(df, path, sep)
         assert values(text.read_code_list(spark, path, sep, "code", keep=["term"]), "code", "term") == sorted(rows, key=str)
+    rows = [("1", "  lead"), ("2", "NA"), ("3", ""), ("4", "line\nbreak"), ("5", "trail  "), ("6", None), ("7", 'a "b",\r\nc')]
+    df = spark.createDataFrame(rows, "code string, term string")
+    text.write_code_list(df, str(tmp_path / "exact"), null_text="\\N")
+    got = text.read_code_list(spark, str(tmp_path / "exact"), column="code", keep=["term"], null_text="\\N")
+    assert values(got, "code", "term") == rows
 
 
 def test_dictionary_ids_stay_text(spark, tmp_path):
     path = write(
         tmp_path / "product.txt",
         "ProdCodeId\tdmdid\tTerm.from.EMIS\tProductName\tDrugSubstanceName\tDrugIssues\r\n"
-        "13581641000033116\t0012\tDrug A 1mg\tDrug A\tAlpha\t300\r\n",
+        "12345678901234567\t0012\tDrug A 1mg\tDrug A\tAlpha\t300\r\n",
     )
     row = text.read_dictionary(spark, path, "prod").first()
     assert (row.prodcodeid, row.dmdid, row.term, row.substance, row.drug_issues, row.route) == (
-        "13581641000033116", "0012", "Drug A 1mg", "Alpha", 300, None
+        "12345678901234567", "0012", "Drug A 1mg", "Alpha", 300, None
     )
 
 
@@ -70,6 +77,10 @@ def test_term_search_looks_into_both_columns(spark):
     )
     assert values(K.search_terms(df, ["term", "substance"], ["alpha", "bet.$"]), "prodcodeid") == [("1",), ("2",), ("3",)]
     assert values(K.search_terms(df, ["term"], ["bet."], regex=False), "prodcodeid") == []
+    assert values(K.search_terms(df, ["term"], ["gamma", "", "  "]), "prodcodeid") == [("4",)]
+    for terms in ([], [""], [" "]):
+        with pytest.raises(ValueError):
+            K.search_terms(df, ["term"], terms)
 
 
 def test_code_found_through_both_systems_is_kept_once(spark):
@@ -147,18 +158,19 @@ def test_reviewers_and_final_code(spark):
 
 
 def test_stem_link(spark):
-    dictionary = spark.createDataFrame([("E000.99",), ("E000100",), ("F1",)], "cleansed string")
-    stems = spark.createDataFrame([("E000.", 1), ("F1", 0)], "readcode string, include int")
-    assert values(K.link_by_stem(dictionary, stems, "cleansed", "readcode"), "cleansed", "readcode") == [
-        ("E000.99", "E000."), ("F1", "F1"),
+    dictionary = spark.createDataFrame([("X123.99", "a"), ("X123100", "b"), ("Y1", "c")], "cleansed string, term string")
+    stems = spark.createDataFrame([("X123.", 1, "s"), ("Y1", 0, "t")], "readcode string, include int, term string")
+    linked = K.link_by_stem(dictionary, stems, "cleansed", "readcode")
+    assert values(linked, "cleansed", "term", "readcode", "list_term") == [
+        ("X123.99", "a", "X123.", "s"), ("Y1", "c", "Y1", "t"),
     ]
     assert L.included(stems).count() == 1
 
 
 def test_code_list_issues(spark):
-    listed = ["8.82E+14", "13581641000033116", "13581641000033116", "", " ", None, "E00", "12E+3"]
+    listed = ["1.23E+14", "12345678901234567", "12345678901234567", "", " ", None, "E00", "12E+3"]
     df = spark.createDataFrame([(c,) for c in listed], "code string")
     assert values(L.code_list_issues(df), "code", "issue", "n") == [
-        ("", "blank", 3), ("12E+3", "rounded", 1), ("13581641000033116", "duplicate", 2), ("8.82E+14", "rounded", 1),
+        ("", "blank", 3), ("12E+3", "rounded", 1), ("12345678901234567", "duplicate", 2), ("1.23E+14", "rounded", 1),
     ]
-    assert not re.match(r"^[0-9]+$", "8.82E+14")
+    assert not re.match(r"^[0-9]+$", "1.23E+14")

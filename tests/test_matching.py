@@ -55,15 +55,34 @@ def test_one_block_equals_greedy(spark, seed):
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_many_blocks_and_batches_equal_greedy(spark, seed):
+def test_many_blocks_equal_greedy(spark, seed):
     rng = random.Random(100 + seed)
     cases, controls = random_arms(rng, rng.randint(5, 20), rng.randint(10, 60), rng.choice([40, 400]))
     ratio = rng.randint(1, 4)
+    fill, caliper = "per_case" if seed > 2 else "rounds", 2.0 if seed % 2 else None
     got = run(
         spark, cases, controls, ratio=ratio, block_rows=rng.choice([4, 8]),
-        batch_rows=rng.choice([16, 1000]), window_rows=0 if seed < 2 else 1000,
+        window_rows=0 if seed < 2 else 1000, fill=fill, caliper=caliper,
     )
-    assert got == greedy(cases, controls, ratio)
+    assert got == greedy(cases, controls, ratio, caliper, fill)
+
+
+@pytest.mark.parametrize("blocks", [2, 4, 8, 16])
+@pytest.mark.parametrize("n_controls", [400, 2000])
+def test_turns_stay_few_whether_controls_suffice_or_not(spark, blocks, n_controls):
+    rng = random.Random(blocks + n_controls)
+    scores = rng.sample(range(1_000_000), 60 + n_controls)
+    cases = [(i, s / 1e6) for i, s in enumerate(scores[:60])]
+    controls = [(1000 + i, s / 1e6) for i, s in enumerate(scores[60:])]
+    turns = []
+    got = run(spark, cases, controls, ratio=10, block_rows=len(scores) // blocks, turns=turns)
+    assert got == greedy(cases, controls, 10)
+    assert len(turns) <= 20 and sum(turns) == min(600, n_controls)
+
+
+def test_a_score_that_is_no_number_is_left_out(spark):
+    nan = float("nan")
+    assert run(spark, [(1, nan), (2, 0.5)], [(3, nan), (4, 0.4)], ratio=2) == {(2, 4)}
 
 
 @pytest.mark.parametrize("fill", ["rounds", "per_case"])
