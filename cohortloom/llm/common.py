@@ -56,8 +56,14 @@ def by_size(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int
             low = high
 
 
-def as_strings(values: pa.Array) -> list[str]:
-    return ["" if v is None else v for v in values.to_pylist()]
+def shielded(docs: DataFrame, *named: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns but the named ones under names no operator uses, and those names."""
+    names = {c: c if c in named else f"_carried_{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def restored(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return docs.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def smallest_reachable(nodes: DataFrame, links: DataFrame, label: str = "components") -> DataFrame:

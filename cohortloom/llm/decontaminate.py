@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortloom.llm.common import by_size
+from cohortloom.llm.common import by_size, restored, shielded
 from cohortloom.llm.tokens import FACTOR, powers
 from cohortloom.session import stage
 
@@ -215,11 +215,12 @@ def remove(docs: DataFrame, benchmark: DataFrame, spans: bool = True, window: in
     A document is contaminated if a twentieth of its words is hit. Columns stay as
     they are; ``n_chars``, if there, follows the text.
     """
-    found = find_hits(docs, benchmark, window)
+    held, names = shielded(docs, "text")
+    found = find_hits(held, benchmark, window)
     n_hit = F.aggregate("hits.hit_runs", F.lit(0).cast("long"), lambda a, r: a + r[1] - r[0])
     kept = found.where((n_hit == 0) | (HIT_PER_WORDS * n_hit < F.col("hits.n_words")))
     if not spans:
-        return kept.select(*[f"`{c}`" for c in docs.columns])
+        return restored(kept, names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,13 +231,11 @@ def remove(docs: DataFrame, benchmark: DataFrame, spans: bool = True, window: in
             yield batch.set_column(at, batch.schema.field(at), new)
 
     done = kept.mapInArrow(cut, kept.schema)
-    changed = F.size("hits.hit_runs") > 0
-    columns = [
-        F.when(changed, F.char_length("text").cast(f.dataType)).otherwise(F.col("n_chars")).alias("n_chars")
-        if f.name == "n_chars" else F.col(f"`{f.name}`")
-        for f in docs.schema.fields
-    ]
-    return done.select(*columns)
+    if "n_chars" in names:
+        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        old = names["n_chars"]
+        done = done.withColumn(old, F.when(F.size("hits.hit_runs") > 0, size).otherwise(F.col(old)))
+    return restored(done, names)
 
 
 OP8_SQL = r"""

@@ -303,7 +303,7 @@ def remove(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     found = near_duplicates(docs, size, percent)
     # An id goes only if none of its rows is kept; rows without an id stay.
     gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 OP1_SQL = r"""

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.llm.common import restored, shielded
 from cohortloom.llm.matches import masked, matches, none_found, overlaps, spans, written
 from cohortloom.session import stage
 
@@ -236,13 +237,12 @@ def report(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of personal data replaced by its kind; ``n_chars``, if there, follows the text."""
-    held = proposals(docs)
-    every = F.array_sort(F.concat("pii_base", added(train(held))))
-    kept = [f.name for f in docs.schema.fields]
-    done = held.withColumn("text", F.when(F.col("text").isNotNull(), masked(F.col("text"), every)))
-    if "n_chars" in kept:
-        kind = docs.schema["n_chars"].dataType
-        hit = F.size(every) > 0
-        done = held.withColumn("pii_hit", hit).withColumn("text", F.when(F.col("text").isNotNull(), masked(F.col("text"), every)))
-        done = done.withColumn("n_chars", F.when(F.col("pii_hit"), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return done.select(*[f"`{c}`" for c in kept])
+    bare, names = shielded(docs, "text")
+    held = proposals(bare)
+    held = held.withColumn("pii_all", F.array_sort(F.concat("pii_base", added(train(held)))))
+    done = held.withColumn("text", F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("pii_all"))))
+    if "n_chars" in names:
+        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        old = names["n_chars"]
+        done = done.withColumn(old, F.when(F.size("pii_all") > 0, size).otherwise(F.col(old)))
+    return restored(done, names)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import by_size
+from cohortloom.llm.common import by_size, restored, shielded
 from cohortloom.llm.decontaminate import WORD_BYTES
 from cohortloom.llm.tokens import piece_hashes
 
@@ -112,18 +112,21 @@ class Model:
             if high == low + 1 and counts[low] > CHUNK_WORDS:
                 for at in range(0, int(counts[low]), CHUNK_WORDS):
                     part = hashes[base + at : min(base + at + CHUNK_WORDS + max(WIDTHS) - 1, ends[low])]
-                    pooled[low] = np.maximum(pooled[low], self._pool(part, np.array([len(part)]))[0])
+                    # Windows that begin behind the chunk belong to the next one.
+                    own = CHUNK_WORDS if at + CHUNK_WORDS < counts[low] else None
+                    pooled[low] = np.maximum(pooled[low], self._pool(part, np.array([len(part)]), own)[0])
             else:
                 pooled[low:high] = self._pool(hashes[base : ends[high - 1]], counts[low:high])
             low = high
         return pooled @ self.output + self.bias
 
-    def _pool(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def _pool(self, hashes: np.ndarray, counts: np.ndarray, places_used: int | None = None) -> np.ndarray:
         places, starts, size = padded(counts)
         x = np.zeros((size, 2 * ROW), np.float32)
         rows = rows_of(hashes)
         x[places, :ROW], x[places, ROW:] = self.tables[0][rows[0]], self.tables[1][rows[1]]
-        return np.hstack([np.maximum.reduceat(r, starts) for r in responses(x, self.filters, self.biases)])
+        found = responses(x, self.filters, self.biases)
+        return np.hstack([np.maximum.reduceat(r[:places_used], starts) for r in found])
 
 
 def near_live(hashes: np.ndarray, counts: np.ndarray, live: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -332,5 +335,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def remove(docs: DataFrame, source: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents scored toxic by a model trained on ``source`` and ``labels``."""
-    kept = score(docs, train(source, labels)).where("toxic_score < 0.5")
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    held, names = shielded(docs, "doc_id", "text")
+    return restored(score(held, train(source, labels)).where("toxic_score < 0.5"), names)
