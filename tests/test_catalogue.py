@@ -5,7 +5,9 @@ from pathlib import Path
 import pytest
 
 import check
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from cohortloom.catalogue.oracle import ORACLE
+from cohortloom.catalogue.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
@@ -17,13 +19,13 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLE) == set(QUERIES)
 
 
 @needs_data
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, db, name):
-    ok, note = check.compare(spark, db, FOLDER, name, oracle_sql()[name])
+    ok, note = check.compare(spark, db, FOLDER, name, ORACLE[name])
     assert ok, note
 
 
@@ -37,4 +39,4 @@ def test_entry(spark):
     ("first_diagnosis", 123), ("first_exposure", 37), ("case_cohort", 5), ("control_cohort", 55),
 ])
 def test_documented_counts(spark, name, rows):
-    assert queries()[name](spark, FOLDER).count() == rows
+    assert QUERIES[name](spark, FOLDER).count() == rows
