@@ -12,7 +12,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.session import shared_folder, stage
+from cohortloom.session import shared_folder, stage_measured
 
 BATCH_CHARS = 1 << 22
 
@@ -56,6 +56,33 @@ def by_size(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int
             low = high
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Batches of a partition sorted by ``names``, cut anew so that no group of equal names is torn."""
+    waiting: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
+        same = (held == held[-1]).all(axis=1)
+        # The last group may go on in the next batch.
+        cut = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
+        ended = cut > 0 or (waiting and any(waiting[-1].column(c)[0].as_py() != v for c, v in zip(names, held[0].tolist())))
+        if ended:
+            if cut:
+                waiting.append(batch.slice(0, cut))
+            if waiting:
+                yield joined()
+            waiting = [batch.slice(cut)]
+        else:
+            waiting.append(batch)
+    if waiting:
+        yield joined()
+
+
 def shielded(docs: DataFrame, *named: str) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with all columns but the named ones under names no operator uses, and those names."""
     names = {c: c if c in named else f"_carried_{k}" for k, c in enumerate(docs.columns)}
@@ -69,23 +96,21 @@ def restored(docs: DataFrame, names: dict[str, str]) -> DataFrame:
 def smallest_reachable(nodes: DataFrame, links: DataFrame, label: str = "components") -> DataFrame:
     """``(id, component)``: the smallest id reachable by ``links (a, b)``, for each of ``nodes (id)``.
 
-    Every id takes the smallest label among itself and its neighbours; labels
-    then follow their own label, so the number of rounds grows with the
+    Alternating stars: every id hangs its larger neighbours, then all of its
+    neighbours, on the smallest one, so the number of rounds grows with the
     logarithm of the longest chain. Each round is stored, no row leaves Spark.
     Links of null or equal ends are ignored; ids without links are their own.
     """
-    both = stage(
-        links.where("a < b").select("a", "b").union(links.where("a > b").select("b", "a").toDF("a", "b")).distinct(),
-        f"{label}-links",
-    )
-    # Alternating stars: first all larger neighbours, then all neighbours, are hung on the smallest.
-    edges = both
+    first = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges, seen = first, None
     while True:
-        larger = _star(edges, keep_larger_only=True)
-        smaller = stage(_star(larger, keep_larger_only=False), f"{label}-star")
-        if _same(edges, smaller):
+        smaller = _star(_star(edges, keep_larger_only=True), keep_larger_only=False)
+        edges, now = stage_measured(
+            smaller, f"{label}-star", n=F.count("*"), h=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+        )
+        if now == seen:
             break
-        edges = smaller
+        seen = now
     found = edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
     return nodes.select("id").distinct().join(found, "id", "left").select(
         "id", F.coalesce("component", "id").alias("component")
@@ -107,9 +132,3 @@ def _star(edges: DataFrame, keep_larger_only: bool) -> DataFrame:
             least.select(F.col("m").alias("a"), F.col("u").alias("b"))
         )
     return moved.where("a < b").distinct()
-
-
-def _same(one: DataFrame, two: DataFrame) -> bool:
-    """Whether two sets of distinct edges agree, by count and a sum of hashes."""
-    digest = [F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")]
-    return one.agg(*digest).first() == two.agg(*digest).first()

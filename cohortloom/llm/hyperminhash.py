@@ -2,26 +2,28 @@
 
 A document's shingle hashes fall into buckets; each register keeps the number of
 leading zeros of the bucket's least hash and the bits after the first one. Bands of
-registers propose pairs, an estimate of the Jaccard index corrected for accidental
-register collisions discards the hopeless ones, and full shingle sets decide.
-
-Documents with equal sets are one node. In a band group every node is compared
-with a few hubs only; what these links have not joined is compared in full where
-little is left, and split by a second shared band where much is left, so a large
-group of copies costs about its size.
+registers bring documents together, estimates of the Jaccard index corrected for
+accidental register collisions discard hopeless pairs, and full shingle sets decide.
+
+Documents with equal sets are one node. Inside a band group two bits of each register
+rule most pairs out before any pair leaves the task. Of the rest each node is first
+compared with two others; when these links are known, with two outside its component;
+then all pairs between components are. So a large group of copies costs about its size.
+Groups are split into blocks, and each pair of blocks is a group of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import by_size, smallest_reachable
+from cohortloom.llm.common import by_size, partitions, smallest_reachable, sorted_groups
 from cohortloom.llm.tokens import FACTOR, piece_hashes
 from cohortloom.session import stage
 
@@ -29,20 +31,22 @@ BUCKET_BITS = 7
 REGISTERS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
 EMPTY = 0xFFFF
+#: Registers of a band for sets of 64 hashes and more; smaller sets take more, so that a band
+#: holds two to four of their hashes.
 BAND = 4
 BANDS = REGISTERS // BAND
+DENSE = 64
+SMALLEST = 4
 #: Standard deviations below the threshold at which an estimate still goes to verification.
 SLACK = 5.5
-#: Nodes of a band group outside its largest component that are compared with all others.
-LEFT_OVER = 16
-#: Shared bands by which a large group is split at most; beyond, all its pairs are compared.
-LEVELS = 4
-HUB_ROUNDS = 3
+#: Fields of the short sketch, two bits each.
+FIELDS = 64
+BLOCK_ROWS = 2048
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
-SKETCH_SCHEMA = "doc_id long, n_shingles long, node long, registers binary"
+SKETCH_SCHEMA = "doc_id long, n_shingles long, node long, registers binary, short binary, keys array<bigint>"
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -100,23 +104,85 @@ def node_of(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """``(doc_id, n_shingles, node, registers)`` by document; equal sets share a node, empty ones have none."""
+def short_sketches(regs: np.ndarray) -> np.ndarray:
+    """Two bits of every second register, an empty one standing for the next that is not, in 16 bytes."""
+    filled = regs.copy()
+    for step in (1, 2, 4, 8, 16, 32, 64):
+        filled = np.where(filled == EMPTY, np.roll(filled, -step, axis=1), filled)
+    bits = (mixed(filled[:, :: REGISTERS // FIELDS].astype(np.uint64)) >> np.uint64(40) & np.uint64(3)).astype(np.uint64)
+    places = np.arange(FIELDS // 2, dtype=np.uint64) * np.uint64(2)
+    return np.stack([(bits[:, : FIELDS // 2] << places).sum(axis=1), (bits[:, FIELDS // 2 :] << places).sum(axis=1)], axis=1)
+
+
+@lru_cache(maxsize=16)
+def band_columns(level: int) -> np.ndarray:
+    """The registers of each band for sets of ``2 ** level`` hashes and more, below ``2 * 2 ** level``."""
+    if 1 << level >= DENSE:
+        return np.arange(REGISTERS).reshape(BANDS, BAND)
+    size = BAND * DENSE * 2 >> (level + 1)
+    rng = np.random.default_rng(level)
+    return np.stack([rng.permutation(REGISTERS)[:size] for _ in range(BANDS)])
+
+
+def level_of(sizes: np.ndarray) -> np.ndarray:
+    """Sets of one level share their bands; all sets of ``DENSE`` hashes and more are of one level."""
+    return np.minimum(np.frexp(np.maximum(sizes, 1).astype(np.float64))[1] - 1, DENSE.bit_length() - 1)
+
+
+def band_keys(regs: np.ndarray, sizes: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The keys of each sketch's bands that are not empty.
+
+    A smaller set that can reach the threshold is of the same level or of the level
+    of ``percent`` hundredths of the size, so a set takes the bands of both.
+    """
+    found: list[list[np.ndarray]] = [[] for _ in regs]
+    own, lower = level_of(sizes), level_of(-(-sizes * percent // 100))
+    for level in range(DENSE.bit_length()):
+        rows = np.flatnonzero((own == level) | (lower == level))
+        if not len(rows):
+            continue
+        columns = band_columns(level)
+        factors = mixed(np.arange(1, columns.size + 1, dtype=np.uint64) + np.uint64(level << 32)).reshape(columns.shape)
+        for part in np.array_split(rows, -(-len(rows) // 1024)):
+            held = regs[part][:, columns]
+            keys = mixed((mixed(held.astype(np.uint64)) * factors).sum(axis=2, dtype=np.uint64))
+            live = (held != EMPTY).any(axis=2)
+            for r, k, ok in zip(part.tolist(), keys.view(np.int64), live):
+                found[r].append(k[ok])
+    return [np.concatenate(f) if f else np.empty(0, np.int64) for f in found]
+
+
+def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Sketches by document; equal sets share a node, empty ones have none.
+
+    ``short`` has two bits of some registers; ``keys`` are those of the bands, for sets
+    that are large enough to reach the threshold with a different one.
+    """
+    least = smallest_linked(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), size)
-            regs = registers(sets).astype("<u2")
+            regs = registers(sets)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            keys = band_keys(regs, np.where(sizes >= least, sizes, 0), percent)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"),
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-                "registers": pa.array([r.tobytes() for r in regs], pa.binary()),
+                "registers": pa.array([r.tobytes() for r in regs.astype("<u2")], pa.binary()),
+                "short": pa.array([r.tobytes() for r in short_sketches(regs).astype("<u8")], pa.binary()),
+                "keys": pa.array([k if n >= least else [] for k, n in zip(keys, sizes)], pa.list_(pa.int64())),
             })
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH_SCHEMA)
 
 
+def smallest_linked(percent: int) -> int:
+    """The size of the smallest set that reaches the threshold with a different set."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 62
+
+
 def collision_rate(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Chance that registers of two disjoint sets of ``n`` and ``m`` hashes agree."""
     k = np.arange(54)
@@ -191,23 +257,73 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
     return both.mapInArrow(run, "a long, b long")
 
 
-def bands(nodes: DataFrame) -> DataFrame:
-    """``(key, used, node)`` for each band of registers that is not empty; ``used`` holds the key."""
-    width = 2 * BAND
-    part = F.expr(f"substring(registers, band * {width} + 1, {width})")
-    return (
-        nodes.select("node", "registers", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
-        .select("node", "band", part.alias("part"))
-        .where(F.col("part") != F.lit(b"\xff" * width))
-        .select(F.xxhash64("band", "part").alias("key"), "node")
-        .select("key", F.array("key").alias("used"), "node")
+def groups(nodes: DataFrame) -> DataFrame:
+    """Rows of band groups of several nodes: ``key, low, high, block, node, n_shingles, short``.
+
+    A group is split into blocks by a hash of the node; a row goes to each pair of
+    blocks ``low <= high`` that holds its own.
+    """
+    keyed = nodes.select("node", "n_shingles", "short", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    own = keyed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+    own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return own.select(
+        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block",
+        "node", "n_shingles", "short",
     )
 
 
-def crowded(rows: DataFrame) -> DataFrame:
-    """The rows whose key has several nodes."""
-    keys = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    return rows.join(keys, "key")
+def proposed(rows: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs ``(a, b)`` of ``groups`` rows with their ``component`` that the short sketches leave open.
+
+    Only pairs of different components count. Without ``every`` a node names the first
+    and the nearest of the nodes before it in its group, if there are such.
+    """
+    level = percent / 100
+    chance = 0.25
+
+    def pairs_of(n: np.ndarray, short: np.ndarray, component: np.ndarray, block: np.ndarray, split: bool) -> tuple[np.ndarray, np.ndarray]:
+        found = []
+        for at in range(0, len(n), 512):
+            mine = slice(at, at + 512)
+            apart = short[mine, None, :] ^ short[None, :, :]
+            other = np.bitwise_count((apart | apart >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=2)
+            guess = ((1 - other / FIELDS) - chance) / (1 - chance)
+            small, large = np.minimum(n[mine, None], n[None, :]), np.maximum(n[mine, None], n[None, :])
+            spread = np.sqrt(level * (1 - level) / np.minimum(small, FIELDS)) / (1 - chance)
+            good = (100 * small >= percent * large) & (guess >= level - SLACK * spread)
+            good &= component[mine, None] != component[None, :]
+            if split:
+                good &= block[mine, None] != block[None, :]
+            good &= np.arange(len(n))[None, :] < np.arange(len(n))[mine, None]
+            if every:
+                found.append(np.argwhere(good) + [at, 0])
+                continue
+            some = np.flatnonzero(good.any(axis=1))
+            first, last = good[some].argmax(axis=1), len(n) - 1 - good[some][:, ::-1].argmax(axis=1)
+            found.append(np.stack([np.tile(some + at, 2), np.concatenate([first, last])], axis=1))
+        both = np.unique(np.concatenate(found), axis=0)
+        return both[:, 0], both[:, 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ("key", "low", "high")):
+            n, node, component, block = (group.column(c).to_numpy() for c in ("n_shingles", "node", "component", "block"))
+            starts = np.concatenate([[0], np.flatnonzero((np.diff(group.column("key").to_numpy()) != 0) | (np.diff(group.column("low").to_numpy()) != 0) | (np.diff(group.column("high").to_numpy()) != 0)) + 1, [len(n)]])
+            short = np.frombuffer(b"".join(group.column("short").to_pylist()), "<u8").reshape(-1, 2)
+            split = group.column("low").to_numpy() != group.column("high").to_numpy()
+            a, b = [], []
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if e - s > 1 and (component[s:e] != component[s]).any():
+                    x, y = pairs_of(n[s:e], short[s:e], component[s:e], block[s:e], bool(split[s]))
+                    a.append(node[s:e][x])
+                    b.append(node[s:e][y])
+            if a:
+                a, b = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    dealt = rows.repartition(partitions(rows.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -219,75 +335,42 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     ``component_id`` is the smallest id reachable. Rows of one id are judged by their
     own text; rows without an id link with nothing, have no component and are kept.
     """
-    known = stage(sketches(docs, size), "sketches")
+    known = stage(sketches(docs, size, percent), "sketches")
     linked = known.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
     nodes = stage(
         linked.groupBy("node").agg(
-            F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")
+            F.min("doc_id").alias("first_id"),
+            *[F.first(c).alias(c) for c in ("n_shingles", "registers", "short", "keys")],
         ),
         "sketch-nodes",
     )
-    # The smallest set that can share enough with another has percent / (100 - percent) shingles.
-    least = -(-percent // (100 - percent)) if percent < 100 else 1
-    able = nodes.where(F.col("n_shingles") >= least)
-    rows = stage(crowded(bands(able)), "bands")
-    links, tested = None, None
-    labels = None
-
-    def test(pairs: DataFrame) -> None:
-        """Verify new pairs and bring links and labels up to date."""
-        nonlocal links, tested, labels
-        pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
+    rows = stage(groups(nodes), "bands")
+    labels = nodes.select("node", F.col("node").alias("component"))
+    tested = None
+    for every in (False, False, True):
+        held = rows.join(labels, "node")
+        if tested is not None:
+            # Groups within one component are settled.
+            open_keys = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+            held = held.join(open_keys.select("key"), "key")
+        pairs = proposed(held, percent, every)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        close = stage(promising(pairs, nodes, percent), "close")
-        found = stage(verified(close, nodes, docs, size, percent), "links")
-        links = found if links is None else links.union(found)
-        labels = stage(smallest_reachable(rows.select(F.col("node").alias("id")), links).toDF("node", "component"), "labels")
-
-    def hubs(rows: DataFrame, turn: int) -> DataFrame:
-        """Pairs of each node with one hub of its group, in a component of its own."""
-        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("node")) if turn else F.struct("node")
-        chosen = rows.groupBy("key").agg(F.min(order).alias("hub")).select("key", F.col("hub.node").alias("hub"))
-        pairs = rows.join(chosen, "key").where("node <> hub")
-        return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-
-    def unsettled(rows: DataFrame) -> DataFrame:
-        """Rows of groups that lie in several components, with the number outside the largest one."""
-        own = rows.join(labels, "node")
-        sizes = own.groupBy("key", "component").agg(F.count("*").alias("n"))
-        groups = sizes.groupBy("key").agg(
-            F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("parts"),
-            F.max_by("component", F.struct("n", "component")).alias("main"),
-        ).where("parts > 1")
-        return own.join(groups.select("key", "main", (F.col("all") - F.col("most")).alias("left")), "key")
-
-    test(hubs(rows, 0))
-    open_rows = stage(unsettled(rows), "open")
-    for level in range(2, LEVELS + 1):
-        for turn in range(1, HUB_ROUNDS):
-            crowd = open_rows.where(F.col("left") > LEFT_OVER)
-            if crowd.isEmpty():
-                break
-            test(hubs(crowd.select("key", "node"), turn))
-            open_rows = stage(unsettled(open_rows.select("key", "used", "node")), "open")
-        few = open_rows if level == LEVELS else open_rows.where(F.col("left") <= LEFT_OVER)
-        outside = few.where("component <> main").select("key", F.col("node").alias("x"), F.col("component").alias("cx"))
-        inside = few.select("key", F.col("node").alias("y"), F.col("component").alias("cy"))
-        if not outside.isEmpty():
-            pairs = outside.join(inside, "key").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            test(pairs)
-        if level == LEVELS:
-            break
-        crowd = open_rows.where(F.col("left") > LEFT_OVER).select("used", "node")
-        if crowd.isEmpty():
-            break
-        # Similar documents share many bands: split what is left by a further one.
-        other = rows.select(F.col("key").alias("also"), "node").join(crowd.select("node").distinct(), "node")
-        split = crowd.join(other, "node").where(~F.array_contains("used", F.col("also")))
-        split = split.select(F.array_sort(F.concat("used", F.array("also"))).alias("used"), "node").distinct()
-        open_rows = stage(unsettled(crowded(split.select(F.xxhash64("used").alias("key"), "used", "node"))), "open")
-    spread = nodes.join(labels, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
+        found = verified(promising(pairs, nodes, percent), nodes, docs, size, percent)
+        # The new links join components, so only these are walked again.
+        ends = found
+        for end in ("a", "b"):
+            ends = ends.join(labels.toDF(end, f"c_{end}"), end)
+        joined = stage(ends.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct(), "links")
+        moved = smallest_reachable(
+            joined.select(F.col("a").alias("id")).union(joined.select("b")), joined, "labels"
+        ).toDF("component", "new")
+        labels = stage(
+            labels.join(moved, "component", "left").select("node", F.coalesce("new", "component").alias("component")), "labels"
+        )
+    spread = nodes.select("node", "first_id").join(labels, "node")
     smallest = spread.groupBy("component").agg(F.min("first_id").alias("component_id"))
     final = spread.join(smallest, "component").select("node", "component_id")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

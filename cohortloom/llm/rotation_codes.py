@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import partitions, smallest_reachable
+from cohortloom.llm.common import partitions, smallest_reachable, sorted_groups
 from cohortloom.session import stage
 
 THRESHOLD = 0.95
@@ -193,30 +193,7 @@ def group_links(indexed: DataFrame, kind: str, bits: int, bands: int, threshold:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # Keep back the last group: it may go on.
-            name = np.stack([batch.column(c).to_numpy() for c in ("key", "low", "high")], axis=1)
-            same = (name == name[-1]).all(axis=1)
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if waiting and (cut or (np.array([waiting[-1].column(c)[0].as_py() for c in ("key", "low", "high")]) != name[-1]).any()):
-                waiting.append(batch.slice(0, cut))
-                yield from settle(waiting)
-                waiting = []
-                waiting.append(batch.slice(cut))
-            elif cut:
-                yield from settle([batch.slice(0, cut)])
-                waiting = [batch.slice(cut)]
-            else:
-                waiting.append(batch)
-        if waiting:
-            yield from settle(waiting)
-
-    def settle(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch = pa.Table.from_batches([h for h in held if h.num_rows]).combine_chunks().to_batches()
-        for whole in batch:
+        for whole in sorted_groups(batches, ("key", "low", "high")):
             for part in by_dimension(whole):
                 yield found(part)
 

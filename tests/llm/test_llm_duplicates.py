@@ -87,8 +87,8 @@ def test_near_duplicates_equal_brute_force(spark, seed, size):
     assert left.columns == df.columns and {r.doc_id for r in left.collect()} == {d for d in want if want[d] == d}
 
 
-def test_left_over_groups_are_split_and_settled(spark, monkeypatch):
-    monkeypatch.setattr(H, "LEFT_OVER", 1)
+def test_groups_in_blocks_give_the_same_links(spark, monkeypatch):
+    monkeypatch.setattr(H, "BLOCK_ROWS", 8)
     docs = [(k, t) for k, t in corpus(random.Random(3)) if k % 2]
     sets = {d: shingles(t, 4) for d, t in docs}
     links = [
@@ -101,7 +101,8 @@ def test_left_over_groups_are_split_and_settled(spark, monkeypatch):
 
 
 def test_near_duplicates_of_odd_rows(spark):
-    long = " ".join(random.Random(5).choice(WORDS) for _ in range(60_000))
+    rng = random.Random(5)
+    long = " ".join(rng.choice(WORDS) for _ in range(60_000))
     rows = [(2, "a b c d e f"), (2, "a b c d e f"), (1, "A B C D E F"), (None, "a b c d e f"), (8, long), (9, long + " end"), (4, None), (5, "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("gone", F.lit("g"))
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in H.near_duplicates(df).collect()), key=str)
