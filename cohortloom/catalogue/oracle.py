@@ -156,6 +156,7 @@ fitted AS (
 
 
 DAY_SCORE = "SELECT *, round(age * 365.25) + sex * 100000 AS score FROM arms"
+DISTINCT_SCORE = "SELECT *, (round(age * 365.25) + sex * 100000) * 1000000 + patid AS score FROM arms"
 FITTED_SCORE = "SELECT *, round(distance, 12) AS score FROM fitted"
 
 
@@ -399,6 +400,7 @@ ORACLE: dict[str, str] = {
     "match_nearest": _matching(2, "SELECT * FROM pairs"),
     "match_nearest_shortfall": _matching(10, "SELECT * FROM pairs"),
     "match_nearest_caliper": _matching(2, "SELECT * FROM pairs", caliper="30"),
+    "match_nearest_blocks": BASE + _walk(10, scored=DISTINCT_SCORE) + "SELECT * FROM pairs",
     "matched_members": _matching(2, """
         SELECT patid, subclass, round(weights, 6) AS weights, case_control
         FROM members JOIN arms USING (patid)"""),

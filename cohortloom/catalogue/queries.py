@@ -505,6 +505,17 @@ def match_nearest_caliper(s: Star) -> DataFrame:
     )
 
 
+@query
+def match_nearest_blocks(s: Star) -> DataFrame:
+    """Too few controls, every score distinct, and no task larger than an eighth of the arms."""
+    scored = stage(
+        _day_scored(s).withColumn("distance", F.col("distance") * 1_000_000 + F.col("patid")), "scored"
+    )
+    return M.match_nearest(
+        scored, "case_control", "distance", 10, block_rows=max(1, scored.count() // (8 * M.LONGEST))
+    ).select("case_id", "control_id", "match_round")
+
+
 @query
 def matched_members(s: Star) -> DataFrame:
     members = study.match_arms(_day_scored(s), 2)
