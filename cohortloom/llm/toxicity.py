@@ -1,7 +1,8 @@
 """Toxicity scores from a convolutional text classifier trained in numpy.
 
-Words are hashed into two small embedding tables whose rows are laid side by
-side, so that two words are confused only if both hashes agree. Filters of several
+Words are hashed into two small embedding tables, their beginnings into two more, and
+the rows are laid side by side: two words are confused only if both hashes agree, and
+a word never seen still shows its stem. Filters of several
 widths slide over the words of a whole text; the largest answer of each filter
 goes into a logistic output. Thresholds are calibrated for each language, which
 is guessed from the text alone.
@@ -22,9 +23,12 @@ from cohortloom.llm.decontaminate import WORD_BYTES
 from cohortloom.llm.tokens import piece_hashes
 
 #: Labelled rows of each class that the model is fitted on, at most.
-FIT_ROWS = 3000
+FIT_ROWS = 2500
 TABLE_BITS = 17
 ROW = 8
+#: Bytes of the beginnings of words.
+STEMS = (4, 6)
+DEPTH = ROW * (2 + len(STEMS))
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 EPOCHS = 6
@@ -48,7 +52,7 @@ LANGUAGES = tuple(FUNCTION_WORDS)
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts in turn, and the number of words of each text."""
+    """32-bit hashes of the words of all texts in turn and of their beginnings, a row each, and the words of each text."""
     raw = [(t or "").encode().translate(WORD_BYTES) for t in texts]
     joined = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     inside = joined != 0x20
@@ -57,30 +61,31 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     limits = np.cumsum([len(r) + 1 for r in raw])
     counts = np.diff(np.searchsorted(first, limits), prepend=0)
     if not len(first):
-        return np.empty(0, np.uint64), counts
-    return piece_hashes(joined, first, last), counts
+        return np.empty((1 + len(STEMS), 0), np.uint32), counts
+    ends = [last, *(np.minimum(last, first + n) for n in STEMS)]
+    return np.stack([(piece_hashes(joined, first, e) >> np.uint64(32)).astype(np.uint32) for e in ends]), counts
 
 
 def rows_of(hashes: np.ndarray) -> np.ndarray:
-    """Row numbers in the two tables."""
-    bits = np.uint64(TABLE_BITS)
-    mask = np.uint64((1 << TABLE_BITS) - 1)
-    return np.stack([hashes >> (np.uint64(64) - bits), (hashes >> np.uint64(20)) & mask]).astype(np.int64)
+    """Row numbers in the tables: two for the word, one for each beginning."""
+    top = hashes >> np.uint32(32 - TABLE_BITS)
+    return np.concatenate([top[:1], hashes[:1] & np.uint32((1 << TABLE_BITS) - 1), top[1:]]).astype(np.int64)
 
 
 def language_hashes() -> tuple[np.ndarray, np.ndarray]:
     pairs = [(w, k) for k, name in enumerate(LANGUAGES) for w in FUNCTION_WORDS[name].split()]
-    return word_hashes([w for w, _ in pairs])[0], np.array([k for _, k in pairs])
+    return word_hashes([w for w, _ in pairs])[0][0], np.array([k for _, k in pairs])
 
 
 def languages(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The language with the most function words in each text; of equal ones the first."""
+    hashes = hashes[0]
     known, kind = language_hashes()
     order = np.argsort(known)
     known, kind = known[order], kind[order]
     maybe = np.zeros(1 << 16, bool)
-    maybe[(known & np.uint64(0xFFFF)).astype(np.int64)] = True
-    near = np.flatnonzero(maybe[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
+    maybe[known & np.uint32(0xFFFF)] = True
+    near = np.flatnonzero(maybe[hashes & np.uint32(0xFFFF)])
     # A word of several languages counts for each.
     low, high = (np.searchsorted(known, hashes[near], side=s) for s in ("left", "right"))
     text = np.searchsorted(np.cumsum(counts), near, side="right")
@@ -94,7 +99,7 @@ def languages(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     tables: list[np.ndarray]
-    filters: list[np.ndarray]  # by width: (width, 2 * ROW, FILTERS)
+    filters: list[np.ndarray]  # by width: (width, DEPTH, FILTERS)
     biases: list[np.ndarray]
     output: np.ndarray
     bias: float
@@ -111,20 +116,19 @@ class Model:
             high = max(low + 1, int(np.searchsorted(ends, base + CHUNK_WORDS, side="right")))
             if high == low + 1 and counts[low] > CHUNK_WORDS:
                 for at in range(0, int(counts[low]), CHUNK_WORDS):
-                    part = hashes[base + at : min(base + at + CHUNK_WORDS + max(WIDTHS) - 1, ends[low])]
+                    part = hashes[:, base + at : min(base + at + CHUNK_WORDS + max(WIDTHS) - 1, ends[low])]
                     # Windows that begin behind the chunk belong to the next one.
                     own = CHUNK_WORDS if at + CHUNK_WORDS < counts[low] else None
-                    pooled[low] = np.maximum(pooled[low], self._pool(part, np.array([len(part)]), own)[0])
+                    pooled[low] = np.maximum(pooled[low], self._pool(part, np.array([part.shape[1]]), own)[0])
             else:
-                pooled[low:high] = self._pool(hashes[base : ends[high - 1]], counts[low:high])
+                pooled[low:high] = self._pool(hashes[:, base : ends[high - 1]], counts[low:high])
             low = high
         return pooled @ self.output + self.bias
 
     def _pool(self, hashes: np.ndarray, counts: np.ndarray, places_used: int | None = None) -> np.ndarray:
         places, starts, size = padded(counts)
-        x = np.zeros((size, 2 * ROW), np.float32)
-        rows = rows_of(hashes)
-        x[places, :ROW], x[places, ROW:] = self.tables[0][rows[0]], self.tables[1][rows[1]]
+        x = np.zeros((size, DEPTH), np.float32)
+        x[places] = np.hstack([t[r] for t, r in zip(self.tables, rows_of(hashes))])
         found = responses(x, self.filters, self.biases)
         return np.hstack([np.maximum.reduceat(r[:places_used], starts) for r in found])
 
@@ -137,7 +141,7 @@ def near_live(hashes: np.ndarray, counts: np.ndarray, live: list[np.ndarray]) ->
     rows = rows_of(hashes)
     places, starts, size = padded(counts)
     keep = np.zeros(size, bool)
-    keep[places] = live[0][rows[0]] | live[1][rows[1]]
+    keep[places] = np.logical_or.reduce([mask[r] for mask, r in zip(live, rows)])
     reach = max(WIDTHS) - 1
     around = keep.copy()
     for k in range(1, reach + 1):
@@ -145,7 +149,7 @@ def near_live(hashes: np.ndarray, counts: np.ndarray, live: list[np.ndarray]) ->
         around[:-k] |= keep[k:]
     text = np.repeat(np.arange(len(counts)), counts)
     kept = around[places]
-    return hashes[kept], np.bincount(text[kept], minlength=len(counts))
+    return hashes[:, kept], np.bincount(text[kept], minlength=len(counts))
 
 
 def padded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -174,8 +178,8 @@ def fit(hashes: np.ndarray, counts: np.ndarray, labels: np.ndarray, weights: np.
     """Train on texts given as word hashes. Without both classes every text scores the one label seen."""
     rng = np.random.default_rng(7)
     size = 1 << TABLE_BITS
-    tables = [np.zeros((size, ROW), np.float32) for _ in range(2)]
-    filters = [rng.normal(0, 0.1, (w, 2 * ROW, FILTERS)).astype(np.float32) for w in WIDTHS]
+    tables = [np.zeros((size, ROW), np.float32) for _ in range(DEPTH // ROW)]
+    filters = [rng.normal(0, 0.1, (w, DEPTH, FILTERS)).astype(np.float32) for w in WIDTHS]
     biases = [np.full(FILTERS, 0.0, np.float32) for _ in WIDTHS]
     output = rng.normal(0, 0.1, FILTERS * len(WIDTHS)).astype(np.float32)
     thresholds = np.zeros(len(LANGUAGES), np.float32)
@@ -197,7 +201,7 @@ def fit(hashes: np.ndarray, counts: np.ndarray, labels: np.ndarray, weights: np.
     hashes, counts, whole = *near_live(hashes, counts, [t.any(axis=1) for t in tables]), (hashes, counts)
     rows, ends = rows_of(hashes), np.cumsum(counts)
     for f in filters:
-        f[:, 0, 0] = f[:, ROW, 0] = 0.5
+        f[:, ::ROW, 0] = 0.5
     output[::FILTERS] = 0.5
     grads = {id(a): np.full_like(a, 1e-6) for a in (*tables, *filters, *biases, output)}
     bias, bias_g = 0.0, 1e-6
@@ -215,11 +219,11 @@ def fit(hashes: np.ndarray, counts: np.ndarray, labels: np.ndarray, weights: np.
             own = counts[chosen]
             words = np.concatenate([np.arange(ends[k] - counts[k], ends[k]) for k in chosen]).astype(np.int64)
             places, starts, total = padded(own)
-            ids = np.zeros((2, total), np.int64)
+            ids = np.zeros((len(tables), total), np.int64)
             real = np.zeros(total, bool)
             ids[:, places], real[places] = rows[:, words], True
-            x = np.zeros((total, 2 * ROW), np.float32)
-            x[places, :ROW], x[places, ROW:] = tables[0][ids[0, places]], tables[1][ids[1, places]]
+            x = np.zeros((total, DEPTH), np.float32)
+            x[places] = np.hstack([t[ids[k, places]] for k, t in enumerate(tables)])
             answers = responses(x, filters, biases)
             limits = np.append(starts[1:], total)
             best = np.stack([np.hstack([a[s:e].argmax(axis=0) + s for a in answers]) for s, e in zip(starts, limits)])
@@ -234,7 +238,7 @@ def fit(hashes: np.ndarray, counts: np.ndarray, labels: np.ndarray, weights: np.
                 for k in range(len(f)):
                     at = np.minimum(p + k, total - 1)
                     df[k] = np.einsum("bf,bfd->df", g, x[at])
-                    changes.append((at.ravel(), (g[:, :, None] * f[k].T[None]).reshape(-1, 2 * ROW)))
+                    changes.append((at.ravel(), (g[:, :, None] * f[k].T[None]).reshape(-1, DEPTH)))
                 step(f, df + 1e-4 * f, rate)
                 step(biases[i], g.sum(axis=0), rate)
             at = np.concatenate([c[0] for c in changes])
@@ -296,7 +300,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches):
             found, counts = word_hashes(batch.column("text").to_pylist())
-            cuts = np.split(found, np.cumsum(counts)[:-1])
+            cuts = np.split(found, np.cumsum(counts)[:-1], axis=1)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id").cast(pa.int64()),
                 "toxic": batch.column("toxic").cast(pa.int64()),
@@ -309,9 +313,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     share = {t: sizes.get(t, 0) / max(1, int((y == t).sum())) for t in (0, 1)}
     weights = np.array([share[int(t)] for t in y], np.float32)
     weights = weights / weights.mean() if len(y) else weights
-    words = [np.frombuffer(w, np.uint64) for _, _, w in sample]
-    counts = np.array([len(w) for w in words], np.int64)
-    return fit(np.concatenate(words) if words else np.empty(0, np.uint64), counts, y, weights)
+    words = [np.frombuffer(w, np.uint32).reshape(1 + len(STEMS), -1) for _, _, w in sample]
+    counts = np.array([w.shape[1] for w in words], np.int64)
+    return fit(np.hstack(words) if words else np.empty((1 + len(STEMS), 0), np.uint32), counts, y, weights)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
