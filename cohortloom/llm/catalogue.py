@@ -69,5 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_hyperminhash_dedup": hyperminhash.OP1_SQL,
     "op4_rotation_code_dedup": rotation_codes.OP4_SQL,
+    "op7_trigram_secret_scan": trigram_secrets.OP7_SQL,
     "op8_benchmark_windows": decontaminate.OP8_SQL,
 }

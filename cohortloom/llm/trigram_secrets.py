@@ -187,3 +187,35 @@ def report(scanned: DataFrame) -> DataFrame:
     base = F.filter("found", lambda s: s["kind"].isin(kinds))
     counts = [F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
     return scanned.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
+
+
+def _sql(rules: tuple[Rule, ...]) -> str:
+    """The scan of ``documents`` in SQL: between the matches lie the pieces of a split by the same expression."""
+    parts = []
+    for rank, rule in enumerate(rules):
+        pattern = "'" + rule.pattern.replace("'", "''") + "'"
+        parts.append(f"""
+  SELECT r, {rank} AS rank, '{rule.kind}' AS kind, s AS start, s + length(m) AS stop FROM (
+    SELECT r, f[i] AS m, g[i] AS g,
+      coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0)
+        + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS s
+    FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM (
+      SELECT r, string_split_regex(t, {pattern}) AS p, regexp_extract_all(t, {pattern}) AS f,
+        regexp_extract_all(t, {pattern}, {rule.group}) AS g
+      FROM d)))
+  WHERE length(g) >= {rule.least}""")
+    spans = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
+    base = len(BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), hit AS ({" UNION ALL ".join(parts)}
+)
+SELECT any_value(doc_id) AS doc_id, {counts},
+  sha256(coalesce({spans} FILTER (rank < {base}), '')) AS base_sha256,
+  coalesce({spans} FILTER (rank IS NOT NULL), '') AS spans
+FROM d LEFT JOIN hit USING (r) GROUP BY r
+"""
+
+
+OP7_SQL = _sql(RULES)
