@@ -66,10 +66,11 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([(piece_hashes(joined, first, e) >> np.uint64(32)).astype(np.uint32) for e in ends]), counts
 
 
-def rows_of(hashes: np.ndarray) -> np.ndarray:
-    """Row numbers in the tables: two for the word, one for each beginning."""
-    top = hashes >> np.uint32(32 - TABLE_BITS)
-    return np.concatenate([top[:1], hashes[:1] & np.uint32((1 << TABLE_BITS) - 1), top[1:]]).astype(np.int64)
+def rows_in(table: int, hashes: np.ndarray) -> np.ndarray:
+    """Row numbers in one of the tables: the first two are for words, the others for their beginnings."""
+    if table == 1:
+        return (hashes[0] & np.uint32((1 << TABLE_BITS) - 1)).astype(np.int32)
+    return (hashes[max(table - 1, 0)] >> np.uint32(32 - TABLE_BITS)).astype(np.int32)
 
 
 def language_hashes() -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +129,7 @@ class Model:
     def _pool(self, hashes: np.ndarray, counts: np.ndarray, places_used: int | None = None) -> np.ndarray:
         places, starts, size = padded(counts)
         x = np.zeros((size, DEPTH), np.float32)
-        x[places] = np.hstack([t[r] for t, r in zip(self.tables, rows_of(hashes))])
+        x[places] = np.hstack([t[rows_in(k, hashes)] for k, t in enumerate(self.tables)])
         found = responses(x, self.filters, self.biases)
         return np.hstack([np.maximum.reduceat(r[:places_used], starts) for r in found])
 
@@ -138,10 +139,12 @@ def near_live(hashes: np.ndarray, counts: np.ndarray, live: list[np.ndarray]) ->
 
     All other windows hold zeros only, and so do those on the empty places after each text.
     """
-    rows = rows_of(hashes)
-    places, starts, size = padded(counts)
+    places, _, size = padded(counts)
+    held = np.zeros(hashes.shape[1], bool)
+    for k, mask in enumerate(live):
+        held |= mask[rows_in(k, hashes)]
     keep = np.zeros(size, bool)
-    keep[places] = np.logical_or.reduce([mask[r] for mask, r in zip(live, rows)])
+    keep[places] = held
     reach = max(WIDTHS) - 1
     around = keep.copy()
     for k in range(1, reach + 1):
@@ -186,11 +189,10 @@ def fit(hashes: np.ndarray, counts: np.ndarray, labels: np.ndarray, weights: np.
     if not len(labels) or labels.min() == labels.max():
         seen = 0.0 if not len(labels) else 4.0 * (labels[0] - 0.5) * 2
         return Model(tables, filters, biases, np.zeros_like(output), float(seen) - (0.0 if len(labels) else 2.0), thresholds)
-    rows = rows_of(hashes)
     text = np.repeat(np.arange(len(counts)), counts)
-    for t, r in zip(tables, rows):
+    for k, t in enumerate(tables):
         # Start from smoothed log odds of the texts that hold the row's words.
-        pairs = np.unique(text * size + r)
+        pairs = np.unique(text * size + rows_in(k, hashes))
         held = np.bincount(pairs % size, minlength=size)
         toxic = np.bincount(pairs % size, labels[pairs // size], minlength=size)
         odds = np.log((toxic + 0.5) / (labels.sum() + 1)) - np.log((held - toxic + 0.5) / (len(labels) - labels.sum() + 1))
@@ -199,7 +201,7 @@ def fit(hashes: np.ndarray, counts: np.ndarray, labels: np.ndarray, weights: np.
         t[use] = rng.normal(0, 0.02, (int(use.sum()), ROW))
         t[use, 0] = odds[use] / 3
     hashes, counts, whole = *near_live(hashes, counts, [t.any(axis=1) for t in tables]), (hashes, counts)
-    rows, ends = rows_of(hashes), np.cumsum(counts)
+    rows, ends = np.stack([rows_in(k, hashes) for k in range(len(tables))]), np.cumsum(counts)
     for f in filters:
         f[:, ::ROW, 0] = 0.5
     output[::FILTERS] = 0.5
