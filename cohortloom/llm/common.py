@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -33,6 +34,21 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return where
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Delete each query's shuffle files when it ends, instead of when the driver collects its garbage.
+
+    For queries that store their result; a lost executor during a query still repeats its part.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_file(folder: str, name: str, parts: list[bytes]) -> None:
     """Write a whole file under its final name in one step, so that a repeated task replaces it."""
     system, path = fs.FileSystem.from_uri(folder)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import by_size, partitions
+from cohortloom.llm.common import by_size, partitions, shuffles_dropped, sorted_groups
 from cohortloom.llm.hyperminhash import mixed
 from cohortloom.llm.tokens import FACTOR, powers
 from cohortloom.session import stage
@@ -83,40 +83,59 @@ def in_groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else order
 
 
-def packed(columns: dict[str, np.ndarray], by: np.ndarray, extra: dict[str, int], schema: pa.Schema) -> pa.RecordBatch:
-    """One row of packed arrays for each value of ``by``."""
-    order, starts = in_groups(by)
-    ends = np.append(starts[1:], len(order))
-    out = {schema.names[0]: [int(by[order[s]]) for s in starts]}
-    for name in schema.names[1:]:
-        if name in columns:
-            held = np.ascontiguousarray(columns[name][order])
-            out[name] = [held[s:e].tobytes() for s, e in zip(starts, ends)]
-        else:
-            out[name] = [extra.get(name, b"" if pa.types.is_binary(schema.field(name).type) else 0)] * len(starts)
-    return pa.RecordBatch.from_pydict({f.name: pa.array(out[f.name], f.type) for f in schema})
-
-
-TYPES = {"key": "<u8", "doc": "<i8", "tag": "<u4", "home": "<u4", "pos": "<u4", "n": "<u4", "left": "u1", "right": "u1", "at": "u1", "end": "<u4"}
-
-
-def unpacked(batch: pa.RecordBatch | pa.Table, names: tuple[str, ...]) -> dict[str, np.ndarray]:
-    return {k: np.frombuffer(b"".join(batch.column(k).to_pylist()), TYPES[k]) for k in names}
+TYPES = {
+    "key": "<u8", "doc": "<i8", "tag": "<u4", "home": "<u4", "pos": "<u4", "n": "<u4", "left": "u1", "right": "u1",
+    "at": "u1", "end": "<u4", "around": f"({AROUND},)u1",
+}
+# The columns that rows of each kind carry.
+GRAM_COLUMNS = {TEST: ("key", "doc", "tag", "home", "pos"), SURE: ("doc", "tag", "home", "pos"), WITNESS: ("key", "doc", "n")}
+KEPT_COLUMNS = {0: ("doc", "tag", "pos"), 1: ("key",)}
+STRING_COLUMNS = {
+    CONTEXT: ("doc", "tag", "home", "pos", "left", "right", "around"),
+    STRING: ("key", "doc", "tag", "home", "pos", "at"),
+    SETTLED: ("doc", "tag", "home", "pos", "end"),
+}
+SPAN_COLUMNS = {0: ("doc", "tag", "pos", "end")}
+PACKED = "place long, kind int, n int, data binary"
+PACKED_SCHEMA = pa.schema([("place", pa.int64()), ("kind", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
 
 
-def packed_schema(first: str, *names: str) -> pa.Schema:
-    kinds = [(first, pa.int64()), ("kind", pa.int32())]
-    return pa.schema(kinds + [(n, pa.binary()) for n in names])
+def packed(columns: dict[str, np.ndarray], names: tuple[str, ...], by: np.ndarray, kind: int) -> pa.RecordBatch:
+    """One row for each value of ``by``, holding the named columns of its rows, compressed.
 
-
-def ddl(schema: pa.Schema) -> str:
-    return ", ".join(f"`{f.name}` {'long' if f.type == pa.int64() else 'int' if f.type == pa.int32() else 'binary'}" for f in schema)
-
-
-GRAMS = packed_schema("bucket", "key", "doc", "tag", "home", "pos", "n")
-KEPT = packed_schema("home", "key", "doc", "tag", "pos")
-STRINGS = packed_schema("bucket", "key", "doc", "tag", "home", "pos", "left", "right", "at", "around", "end")
-SPANS = packed_schema("home", "doc", "tag", "pos", "end")
+    Numbers are laid out byte by byte, so that their equal high bytes lie together.
+    """
+    order, starts = in_groups(by)
+    ends = np.append(starts[1:], len(order))
+    out: dict[str, list] = {"place": by[order[starts]].tolist(), "kind": [kind] * len(starts), "n": (ends - starts).tolist(), "data": []}
+    held = [np.ascontiguousarray(columns[k], TYPES[k] if k != "around" else "u1")[order] for k in names]
+    for s, e in zip(starts.tolist(), ends.tolist()):
+        parts = [
+            h[s:e].tobytes() if h.ndim > 1 else h[s:e].view("u1").reshape(e - s, -1).T.tobytes() for h in held
+        ]
+        out["data"].append(pa.compress(b"".join(parts), codec="zstd", asbytes=True))
+    return pa.RecordBatch.from_pydict({f.name: pa.array(out[f.name], f.type) for f in PACKED_SCHEMA})
+
+
+def unpacked(rows: pa.RecordBatch | pa.Table, kind: int, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """The named columns of all rows of a kind, one after another."""
+    out: dict[str, list[np.ndarray]] = {k: [np.empty(0, TYPES[k])] for k in names}
+    width = sum(np.dtype(TYPES[k]).itemsize for k in names)
+    kinds, counts = rows.column("kind").to_pylist(), rows.column("n").to_pylist()
+    for own, n, data in zip(kinds, counts, rows.column("data")):
+        if own != kind:
+            continue
+        raw = np.frombuffer(pa.decompress(data.as_py(), n * width, codec="zstd", asbytes=True), "u1")
+        at = 0
+        for k in names:
+            size = np.dtype(TYPES[k]).itemsize
+            part = raw[at : at + n * size]
+            at += n * size
+            if k == "around":
+                out[k].append(part.reshape(n, size))
+            else:
+                out[k].append(np.ascontiguousarray(part.reshape(size, n).T).view(TYPES[k]).ravel())
+    return {k: np.concatenate(v) for k, v in out.items()}
 
 
 def loaded(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
@@ -146,71 +165,53 @@ def bucket_grams(docs: DataFrame, buckets: int) -> DataFrame:
                 "home": batch.column("home").to_numpy().astype("<u4")[which], "pos": (places - starts[which]).astype("<u4"),
             }
             order, runs = in_groups(key)
-            own = {k: v[order] for k, v in own.items()}
             sizes = np.diff(np.append(runs, len(order)))
-            several = np.minimum.reduceat(own["doc"], runs) != np.maximum.reduceat(own["doc"], runs)
-            sure = np.repeat(several, sizes)
-            test = {k: v[~sure] for k, v in own.items()} | {"n": np.ones(int((~sure).sum()), "<u4")}
+            docs_in = own["doc"][order]
+            several = np.minimum.reduceat(docs_in, runs) != np.maximum.reduceat(docs_in, runs)
+            sure = np.empty(len(order), bool)
+            sure[order] = np.repeat(several, sizes)
+            # Rows stay in the order of the documents, where they are compressed best.
+            test = {k: v[~sure] for k, v in own.items()}
             if len(test["key"]):
-                yield packed(test, (test["key"] % np.uint64(buckets)).astype(np.int64), {"kind": TEST}, GRAMS)
+                yield packed(test, GRAM_COLUMNS[TEST], (test["key"] % np.uint64(buckets)).astype(np.int64), TEST)
             if several.any():
-                one = {k: v[runs[several]] for k, v in own.items()} | {"n": sizes[several].astype("<u4")}
-                one = {k: one[k] for k in ("key", "doc", "n")}
-                yield packed(one, (one["key"] % np.uint64(buckets)).astype(np.int64), {"kind": WITNESS}, GRAMS)
+                one = {k: own[k][order[runs[several]]] for k in ("key", "doc")} | {"n": sizes[several]}
+                yield packed(one, GRAM_COLUMNS[WITNESS], (one["key"] % np.uint64(buckets)).astype(np.int64), WITNESS)
                 rest = {k: v[sure] for k, v in own.items()}
-                yield packed(rest, np.full(int(sure.sum()), int(key[0] % np.uint64(buckets))), {"kind": SURE}, GRAMS)
-
-    return docs.mapInArrow(run, ddl(GRAMS))
+                yield packed(rest, GRAM_COLUMNS[SURE], np.full(int(sure.sum()), int(key[0] % np.uint64(buckets))), SURE)
 
-
-def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each bucket of a partition sorted by bucket."""
-    waiting: list[pa.RecordBatch] = []
-    for batch in batches:
-        buckets = batch.column("bucket").to_numpy()
-        cuts = np.flatnonzero(np.diff(buckets)) + 1
-        for low, high in zip([0, *cuts], [*cuts, len(buckets)]):
-            if high == low:
-                continue
-            if waiting and waiting[-1].column("bucket")[0].as_py() != buckets[low]:
-                yield pa.Table.from_batches(waiting)
-                waiting = []
-            waiting.append(batch.slice(low, high - low))
-    if waiting:
-        yield pa.Table.from_batches(waiting)
+    return docs.mapInArrow(run, PACKED)
 
 
 def shared_grams(grams: DataFrame, parts: int, hot_rows: int) -> DataFrame:
-    """Rows of q-grams that several documents hold, packed by home; home -1 lists the hot q-grams."""
+    """Rows of q-grams that several documents hold, packed by home; kind 1 lists the hot q-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket in whole_buckets(batches):
-            kinds = bucket.column("kind").to_numpy()
-            passed = [unpacked(bucket.filter(pa.array(kinds == SURE)), ("key", "doc", "tag", "home", "pos"))]
-            asked = bucket.filter(pa.array(kinds == TEST))
-            test = unpacked(asked, ("key", "doc", "tag", "home", "pos", "n"))
-            seen = unpacked(bucket.filter(pa.array(kinds == WITNESS)), ("key", "doc", "n"))
-            key, doc, n = (np.concatenate([test[k], seen[k]]) for k in ("key", "doc", "n"))
+        for bucket in sorted_groups(batches, ("place",)):
+            passed = [unpacked(bucket, SURE, GRAM_COLUMNS[SURE])]
+            test = unpacked(bucket, TEST, GRAM_COLUMNS[TEST])
+            seen = unpacked(bucket, WITNESS, GRAM_COLUMNS[WITNESS])
+            key, doc = (np.concatenate([test[k], seen[k]]) for k in ("key", "doc"))
+            n = np.concatenate([np.ones(len(test["key"]), np.int64), seen["n"].astype(np.int64)])
             known = np.arange(len(key)) >= len(test["key"])
             if len(key):
                 order, runs = in_groups(key)
                 held = doc[order]
                 # A witness stands for several documents.
                 good = (np.minimum.reduceat(held, runs) != np.maximum.reduceat(held, runs)) | np.logical_or.reduceat(known[order], runs)
-                many = np.add.reduceat(n[order].astype(np.int64), runs) > hot_rows
+                many = np.add.reduceat(n[order], runs) > hot_rows
                 if many.any():
                     hot = key[order][runs[many]]
-                    yield packed({"key": hot}, np.full(len(hot), -1), {"kind": 0}, KEPT)
+                    yield packed({"key": hot}, KEPT_COLUMNS[1], np.full(len(hot), -1), 1)
                 keep = np.zeros(len(key), bool)
                 keep[order] = np.repeat(good, np.diff(np.append(runs, len(order))))
                 keep = keep[: len(test["key"])]
-                passed.append({k: test[k][keep] for k in ("key", "doc", "tag", "home", "pos")})
-            both = {k: np.concatenate([p[k] for p in passed]) for k in ("key", "doc", "tag", "home", "pos")}
-            if len(both["key"]):
-                yield packed(both, both.pop("home").astype(np.int64), {"kind": 0}, KEPT)
+                passed.append({k: test[k][keep] for k in GRAM_COLUMNS[SURE]})
+            both = {k: np.concatenate([p[k] for p in passed]) for k in GRAM_COLUMNS[SURE]}
+            if len(both["doc"]):
+                yield packed(both, KEPT_COLUMNS[0], both["home"].astype(np.int64), 0)
 
-    dealt = grams.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, ddl(KEPT))
+    return grams.repartition(parts, "place").sortWithinPartitions("place").mapInArrow(run, PACKED)
 
 
 def strings_around(rows: np.ndarray) -> np.ndarray:
@@ -243,24 +244,54 @@ def spans_of(columns: dict[str, np.ndarray], first: np.ndarray, last: np.ndarray
     }
 
 
+def named(doc_ids: list[int | None], raw: list[bytes]) -> list[tuple[int | None, int]]:
+    """A name for each row of a home: its id and the number of its text among the texts of the id."""
+    sums = [zlib.crc32(r) for r in raw]
+    texts: dict[int | None, set[int]] = {}
+    for d, c in zip(doc_ids, sums):
+        texts.setdefault(d, set()).add(c)
+    several = {d: sorted(c) for d, c in texts.items() if len(c) > 1}
+    return [(d, several[d].index(c) if d in several else 0) for d, c in zip(doc_ids, sums)]
+
+
+def own_strings(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far left of a q-gram the strings begin in which it is least, the furthest and the nearest."""
+    furthest, nearest = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    for low in range(0, len(at), 1 << 15):
+        part = at[low : low + (1 << 15)]
+        back = hashes[np.maximum(part[:, None] - np.arange(1, REACH + 1), 0)] < hashes[part, None]
+        ahead = hashes[np.minimum(part[:, None] + np.arange(1, REACH + 1), len(hashes) - 1)] < hashes[part, None]
+        furthest[low : low + (1 << 15)] = np.where(back.any(axis=1), back.argmax(axis=1), REACH)
+        nearest[low : low + (1 << 15)] = REACH - np.where(ahead.any(axis=1), ahead.argmax(axis=1), REACH)
+    return furthest, nearest
+
+
 def refine(docs: DataFrame, kept: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """For each kept q-gram the bytes around it, packed by bucket of the q-gram; hot ones string by string."""
+    """For each kept q-gram the strings in which it is least, packed by bucket of the q-gram; hot ones one by one."""
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(hot))
 
     def run(texts: pa.Table, grams: pa.Table) -> pa.Table:
         out = []
-        own = unpacked(grams, ("key", "doc", "tag", "pos"))
+        own = unpacked(grams, 0, KEPT_COLUMNS[0])
         if texts.num_rows and len(own["doc"]):
-            home = np.uint32(texts.column("home")[0].as_py())
+            order = np.lexsort((own["pos"], own["tag"], own["doc"]))
+            own = {k: v[order] for k, v in own.items()}
+            home = texts.column("home")[0].as_py()
+            doc_ids = texts.column("doc_id").to_pylist()
             raw, text, starts, ends = loaded(texts.column("text").to_pylist())
-            place = {(d, zlib.crc32(r)): k for k, (d, r) in enumerate(zip(texts.column("doc_id").to_pylist(), raw))}
-            pairs = np.stack([own["doc"], own["tag"].astype(np.int64)], axis=1)
-            names, back = np.unique(pairs, axis=0, return_inverse=True)
-            which = np.array([place[tuple(p)] for p in names.tolist()], np.int64)[back.ravel()]
+            place = {(d, zlib.crc32(r)): k for k, (d, r) in enumerate(zip(doc_ids, raw))}
+            number = np.array([n for _, n in named(doc_ids, raw)])
+            new = np.concatenate([[True], (np.diff(own["doc"]) != 0) | (np.diff(own["tag"].astype(np.int64)) != 0)])
+            rows = np.array([place[d, t] for d, t in zip(own["doc"][new].tolist(), own["tag"][new].tolist())], np.int64)
+            which = rows[np.cumsum(new) - 1]
+            own["tag"] = number[which].astype("<u4")
             at = starts[which] + own["pos"]
+            hashes = gram_hashes(text)
+            own["key"] = hashes[at]
+            furthest, nearest = own_strings(hashes, at)
             own["home"] = np.full(len(at), home, "<u4")
-            own["left"] = np.minimum(REACH, own["pos"]).astype("u1")
-            own["right"] = np.minimum(REACH, ends[which] - at - GRAM).astype("u1")
+            own["left"] = np.minimum(furthest, own["pos"]).astype("u1")
+            own["right"] = np.clip(np.minimum(REACH - nearest, ends[which] - at - GRAM), 0, REACH).astype("u1")
             text = np.concatenate([np.zeros(REACH, np.uint8), text, np.zeros(REACH, np.uint8)])
             step = 1 << 16
             for low in range(0, len(at), step):
@@ -269,7 +300,7 @@ def refine(docs: DataFrame, kept: DataFrame, hot: np.ndarray, buckets: int) -> D
                 number = np.arange(AROUND)
                 around[(number < REACH - part["left"][:, None]) | (number >= REACH + GRAM + part["right"][:, None].astype(np.int64))] = 0
                 out += settle(part, around)
-        return pa.Table.from_batches(out, STRINGS)
+        return pa.Table.from_batches(out, PACKED_SCHEMA)
 
     def settle(part: dict[str, np.ndarray], around: np.ndarray) -> list[pa.RecordBatch]:
         out = []
@@ -288,29 +319,29 @@ def refine(docs: DataFrame, kept: DataFrame, hot: np.ndarray, buckets: int) -> D
         inside = done & (first <= last)
         if inside.any():
             held = spans_of({k: v[inside] for k, v in part.items()}, first[inside], last[inside])
-            out.append(packed(held, (held["home"] % buckets).astype(np.int64), {"kind": SETTLED}, STRINGS))
-        frequent = np.isin(part["key"], sent.value) & ~done
-        plain = ~done & ~frequent
+            out.append(packed(held, STRING_COLUMNS[SETTLED], (held["home"] % buckets).astype(np.int64), SETTLED))
+        usable = ~done & (first <= last)
+        frequent = np.isin(part["key"], sent.value) & usable
+        plain = usable & ~frequent
         if plain.any():
             held = {k: v[plain] for k, v in part.items()} | {"around": around[plain]}
-            out.append(packed(held, (held["key"] % np.uint64(buckets)).astype(np.int64), {"kind": CONTEXT}, STRINGS))
+            out.append(packed(held, STRING_COLUMNS[CONTEXT], (held["key"] % np.uint64(buckets)).astype(np.int64), CONTEXT))
         if frequent.any():
             rows = np.flatnonzero(frequent)
             ids = strings_around(around[rows])
-            good = (np.arange(REACH + 1) >= first[rows, None]) & (np.arange(REACH + 1) <= last[rows, None])
-            r, number = np.nonzero(good)
-            held = {k: v[rows[r]] for k, v in part.items()} | {"key": ids[r, number], "at": number.astype("u1")}
-            if len(r):
-                over = covered(held["key"], held["doc"])
-                if over.any():
-                    mine = {k: v[over] for k, v in held.items()}
-                    spans = spans_of(mine, mine["at"].astype(np.int64), mine["at"].astype(np.int64))
-                    out.append(packed(spans, (spans["home"] % buckets).astype(np.int64), {"kind": SETTLED}, STRINGS))
-                rest = {k: v[~over] for k, v in held.items()}
-                out.append(packed(rest, (rest["key"] % np.uint64(buckets)).astype(np.int64), {"kind": STRING}, STRINGS))
+            number = np.arange(REACH + 1)
+            r, number = np.nonzero((number >= first[rows, None]) & (number <= last[rows, None]))
+            held = {k: v[rows[r]] for k, v in part.items()} | {"key": ids[r, number], "at": number}
+            over = covered(held["key"], held["doc"])
+            if over.any():
+                mine = {k: v[over] for k, v in held.items()}
+                spans = spans_of(mine, mine["at"], mine["at"])
+                out.append(packed(spans, STRING_COLUMNS[SETTLED], (spans["home"] % buckets).astype(np.int64), SETTLED))
+            rest = {k: v[~over] for k, v in held.items()}
+            out.append(packed(rest, STRING_COLUMNS[STRING], (rest["key"] % np.uint64(buckets)).astype(np.int64), STRING))
         return out
 
-    return docs.groupBy("home").cogroup(kept.groupBy("home")).applyInArrow(run, ddl(STRINGS))
+    return docs.groupBy("home").cogroup(kept.groupBy("place")).applyInArrow(run, PACKED)
 
 
 def covered(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -328,18 +359,15 @@ def repeated(strings: DataFrame, parts: int) -> DataFrame:
     """Spans of strings that a smaller document holds, packed by home."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket in whole_buckets(batches):
-            kinds = bucket.column("kind").to_numpy()
-            settled = bucket.filter(pa.array(kinds == SETTLED))
-            found = [unpacked(settled, ("doc", "tag", "home", "pos", "end"))]
-            single = unpacked(bucket.filter(pa.array(kinds == STRING)), ("key", "doc", "tag", "home", "pos", "at"))
+        for bucket in sorted_groups(batches, ("place",)):
+            found = [unpacked(bucket, SETTLED, STRING_COLUMNS[SETTLED])]
+            single = unpacked(bucket, STRING, STRING_COLUMNS[STRING])
             over = covered(single["key"], single["doc"])
             single = {k: v[over] for k, v in single.items()}
             found.append(spans_of(single, single["at"].astype(np.int64), single["at"].astype(np.int64)))
-            rows = bucket.filter(pa.array(kinds == CONTEXT))
-            own = unpacked(rows, ("key", "doc", "tag", "home", "pos", "left", "right"))
-            if len(own["key"]):
-                around = np.frombuffer(b"".join(rows.column("around").to_pylist()), np.uint8).reshape(-1, AROUND)
+            own = unpacked(bucket, CONTEXT, STRING_COLUMNS[CONTEXT])
+            around = own.pop("around")
+            if len(around):
                 ids = strings_around(around)
                 first, last = reach_of(own)
                 low, high = np.full(len(around), REACH + 1), np.full(len(around), -1)
@@ -350,11 +378,11 @@ def repeated(strings: DataFrame, parts: int) -> DataFrame:
                     high[hit] = k
                 hit = high >= 0
                 found.append(spans_of({k: v[hit] for k, v in own.items()}, low[hit], high[hit]))
-            both = {k: np.concatenate([f[k] for f in found]) for k in ("doc", "tag", "home", "pos", "end")}
+            both = {k: np.concatenate([f[k] for f in found]) for k in STRING_COLUMNS[SETTLED]}
             if len(both["doc"]):
-                yield packed(both, both.pop("home").astype(np.int64), {"kind": 0}, SPANS)
+                yield packed(both, SPAN_COLUMNS[0], both["home"].astype(np.int64), 0)
 
-    return strings.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, ddl(SPANS))
+    return strings.repartition(parts, "place").sortWithinPartitions("place").mapInArrow(run, PACKED)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -364,16 +392,17 @@ def cut_out(docs: DataFrame, spans: DataFrame, keep_bytes: bool = False) -> Data
     """What is left of each text, digested or, with ``keep_bytes``, also in full as binary."""
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        own = unpacked(found, ("doc", "tag", "pos", "end"))
+        own = unpacked(found, 0, SPAN_COLUMNS[0])
         raw, _, _, _ = loaded(texts.column("text").to_pylist())
+        doc_ids = texts.column("doc_id").to_pylist()
         order = np.lexsort((own["pos"], own["tag"], own["doc"]))
         own = {k: v[order] for k, v in own.items()}
         names = np.stack([own["doc"], own["tag"].astype(np.int64)], axis=1)
         new = np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]).any(axis=1)])) if len(names) else np.empty(0, int)
         held = {tuple(names[s].tolist()): (s, e) for s, e in zip(new, np.append(new[1:], len(names)))}
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        for doc, data in zip(texts.column("doc_id").to_pylist(), raw):
-            s, e = held.get((doc, zlib.crc32(data)), (0, 0))
+        for (doc, number), data in zip(named(doc_ids, raw), raw):
+            s, e = held.get((doc, number), (0, 0))
             low, reach = own["pos"][s:e].astype(np.int64), np.maximum.accumulate(own["end"][s:e].astype(np.int64))
             # Spans that touch are one run.
             starts = np.concatenate([[True], low[1:] > reach[:-1]]) if e > s else np.zeros(0, bool)
@@ -391,7 +420,7 @@ def cut_out(docs: DataFrame, spans: DataFrame, keep_bytes: bool = False) -> Data
             columns["kept"] = pa.array(out["kept"], pa.binary())
         return pa.table(columns)
 
-    grouped = docs.groupBy("home").cogroup(spans.groupBy("home"))
+    grouped = docs.groupBy("home").cogroup(spans.groupBy("place"))
     return grouped.applyInArrow(run, RESULT + (", kept binary" if keep_bytes else ""))
 
 
@@ -412,8 +441,10 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False, hot_rows: int = HO
     expected = size // 17
     buckets = max(parts, -(-expected // (4 * BUCKET_ROWS)))
     grams = bucket_grams(docs.where("doc_id is not null"), buckets)
-    kept = stage(shared_grams(grams, parts, max(hot_rows, expected // HOT_KEYS)), "shared-grams")
-    hot = np.frombuffer(b"".join(r[0] for r in kept.where("home = -1").select("key").collect()), "<u8")
-    strings = refine(docs, kept.where("home >= 0"), hot, max(parts, -(-expected // BUCKET_ROWS)))
-    spans = stage(repeated(strings, parts), "repeated-spans")
+    with shuffles_dropped(spark):
+        kept = stage(shared_grams(grams, parts, max(hot_rows, expected // HOT_KEYS)), "shared-grams")
+        listed = pa.Table.from_pylist([r.asDict() for r in kept.where("kind = 1").collect()], PACKED_SCHEMA)
+        hot = unpacked(listed, 1, KEPT_COLUMNS[1])["key"]
+        strings = refine(docs, kept.where("kind = 0"), hot, max(parts, -(-expected // BUCKET_ROWS)))
+        spans = stage(repeated(strings, parts), "repeated-spans")
     return cut_out(docs, spans, keep_bytes)
