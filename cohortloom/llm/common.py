@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.session import shared_folder, stage_measured
 
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 19
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 
 END_ID = 2
 CACHED_PIECES = 1_200_000
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 LONGEST_PIECE = 255
 SLOTS = 1 << 21
 FACTOR = 0x9E3779B97F4A7C15
