@@ -5,8 +5,8 @@ leading zeros of the bucket's least hash and the bits after the first one. Bands
 registers bring documents together, estimates of the Jaccard index corrected for
 accidental register collisions discard hopeless pairs, and full shingle sets decide.
 
-Documents with equal sets are one node. Inside a band group two bits of each register
-rule most pairs out before any pair leaves the task. Of the rest each node is first
+Documents with equal sets are one node. Inside a band group two bits of some registers,
+then all registers rule pairs out before any pair leaves the task. Of the rest each node is first
 compared with two others; when these links are known, with two outside its component;
 then all pairs between components are. So a large group of copies costs about its size.
 Groups are split into blocks, and each pair of blocks is a group of its own.
@@ -42,11 +42,13 @@ SLACK = 5.5
 #: Fields of the short sketch, two bits each.
 FIELDS = 64
 BLOCK_ROWS = 2048
+#: Rows of a group up to which pairs are formed for many groups at once.
+SMALL = 24
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
-SKETCH_SCHEMA = "doc_id long, n_shingles long, node long, registers binary, short binary, keys array<bigint>"
+SKETCH_SCHEMA = "doc_id long, n_shingles long, node long, registers binary, keys array<bigint>"
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -155,8 +157,8 @@ def band_keys(regs: np.ndarray, sizes: np.ndarray, percent: int) -> list[np.ndar
 def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Sketches by document; equal sets share a node, empty ones have none.
 
-    ``short`` has two bits of some registers; ``keys`` are those of the bands, for sets
-    that are large enough to reach the threshold with a different one.
+    ``keys`` are those of the bands, for sets that are large enough to reach the
+    threshold with a different one.
     """
     least = smallest_linked(percent)
 
@@ -171,7 +173,6 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                 "registers": pa.array([r.tobytes() for r in regs.astype("<u2")], pa.binary()),
-                "short": pa.array([r.tobytes() for r in short_sketches(regs).astype("<u8")], pa.binary()),
                 "keys": pa.array([k if n >= least else [] for k, n in zip(keys, sizes)], pa.list_(pa.int64())),
             })
 
@@ -202,29 +203,37 @@ def estimates(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tup
     return (same - chance) / (1 - chance), used
 
 
-def promising(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose estimate leaves a chance of reaching the threshold."""
-    held = pairs
-    for side in ("a", "b"):
-        held = held.join(
-            nodes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("registers").alias(f"r_{side}")),
-            side,
-        )
-    # Sets whose sizes differ too much cannot reach the threshold.
-    held = held.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+def hopeful(regs: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs ``a, b`` of rows may reach the threshold by their corrected estimates."""
     level = percent / 100
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("r_a", "r_b"))
-            n, m = (batch.column(c).to_numpy().astype(np.float64) for c in ("n_a", "n_b"))
-            found, used = estimates(a, b, n, m)
-            good = found >= level - SLACK * np.sqrt(level * (1 - level) / np.maximum(used, 1))
-            yield batch.filter(pa.array(good)).select(["a", "b"])
-
-    return held.mapInArrow(run, "a long, b long")
+    out = np.empty(len(a), bool)
+    for low in range(0, len(a), 1 << 14):
+        x, y = a[low : low + (1 << 14)], b[low : low + (1 << 14)]
+        found, used = estimates(regs[x], regs[y], n[x], n[y])
+        out[low : low + (1 << 14)] = found >= level - SLACK * np.sqrt(level * (1 - level) / np.maximum(used, 1))
+    # Sets whose sizes differ too much cannot reach it.
+    return out & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+
+
+def pairs_in_large(regs: np.ndarray, n: np.ndarray, apart: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs ``a < b`` of one group's rows that two bits of some registers leave open; ``apart``: classes, a row each."""
+    level, chance = percent / 100, 0.25
+    short = short_sketches(regs)
+    found = [np.empty((0, 2), np.int64)]
+    for at in range(0, len(n), 256):
+        mine = slice(at, at + 256)
+        differ = short[mine, None, :] ^ short[None, :, :]
+        other = np.bitwise_count((differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=2)
+        guess = ((1 - other / FIELDS) - chance) / (1 - chance)
+        small = np.minimum(n[mine, None], n[None, :])
+        good = guess >= level - SLACK * np.sqrt(level * (1 - level) / np.minimum(small, FIELDS)) / (1 - chance)
+        good &= 100 * small >= percent * np.maximum(n[mine, None], n[None, :])
+        for kind in apart:
+            good &= kind[mine, None] != kind[None, :]
+        good &= np.arange(len(n))[None, :] < np.arange(len(n))[mine, None]
+        found.append(np.argwhere(good)[:, ::-1] + [0, at])
+    both = np.concatenate(found)
+    return both[:, 0], both[:, 1]
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -258,69 +267,64 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
 
 
 def groups(nodes: DataFrame) -> DataFrame:
-    """Rows of band groups of several nodes: ``key, low, high, block, node, n_shingles, short``.
+    """Rows of band groups of several nodes: ``key, low, high, block, node``.
 
     A group is split into blocks by a hash of the node; a row goes to each pair of
     blocks ``low <= high`` that holds its own.
     """
-    keyed = nodes.select("node", "n_shingles", "short", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     own = keyed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
     own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return own.select(
-        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block",
-        "node", "n_shingles", "short",
-    )
+    return own.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node")
 
 
 def proposed(rows: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs ``(a, b)`` of ``groups`` rows with their ``component`` that the short sketches leave open.
+    """Pairs ``(a, b)`` of ``groups`` rows, with ``component, n_shingles, registers``, that estimates leave open.
 
     Only pairs of different components count. Without ``every`` a node names the first
     and the nearest of the nodes before it in its group, if there are such.
     """
-    level = percent / 100
-    chance = 0.25
-
-    def pairs_of(n: np.ndarray, short: np.ndarray, component: np.ndarray, block: np.ndarray, split: bool) -> tuple[np.ndarray, np.ndarray]:
-        found = []
-        for at in range(0, len(n), 512):
-            mine = slice(at, at + 512)
-            apart = short[mine, None, :] ^ short[None, :, :]
-            other = np.bitwise_count((apart | apart >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=2)
-            guess = ((1 - other / FIELDS) - chance) / (1 - chance)
-            small, large = np.minimum(n[mine, None], n[None, :]), np.maximum(n[mine, None], n[None, :])
-            spread = np.sqrt(level * (1 - level) / np.minimum(small, FIELDS)) / (1 - chance)
-            good = (100 * small >= percent * large) & (guess >= level - SLACK * spread)
-            good &= component[mine, None] != component[None, :]
-            if split:
-                good &= block[mine, None] != block[None, :]
-            good &= np.arange(len(n))[None, :] < np.arange(len(n))[mine, None]
-            if every:
-                found.append(np.argwhere(good) + [at, 0])
-                continue
-            some = np.flatnonzero(good.any(axis=1))
-            first, last = good[some].argmax(axis=1), len(n) - 1 - good[some][:, ::-1].argmax(axis=1)
-            found.append(np.stack([np.tile(some + at, 2), np.concatenate([first, last])], axis=1))
-        both = np.unique(np.concatenate(found), axis=0)
-        return both[:, 0], both[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ("key", "low", "high")):
-            n, node, component, block = (group.column(c).to_numpy() for c in ("n_shingles", "node", "component", "block"))
-            starts = np.concatenate([[0], np.flatnonzero((np.diff(group.column("key").to_numpy()) != 0) | (np.diff(group.column("low").to_numpy()) != 0) | (np.diff(group.column("high").to_numpy()) != 0)) + 1, [len(n)]])
-            short = np.frombuffer(b"".join(group.column("short").to_pylist()), "<u8").reshape(-1, 2)
-            split = group.column("low").to_numpy() != group.column("high").to_numpy()
-            a, b = [], []
-            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                if e - s > 1 and (component[s:e] != component[s]).any():
-                    x, y = pairs_of(n[s:e], short[s:e], component[s:e], block[s:e], bool(split[s]))
-                    a.append(node[s:e][x])
-                    b.append(node[s:e][y])
-            if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+            key, low, high, n, node, component, block = (
+                group.column(c).to_numpy() for c in ("key", "low", "high", "n_shingles", "node", "component", "block")
+            )
+            size = len(n)
+            starts = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)]))
+            ends = np.append(starts[1:], size)
+            regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
+            end_of = np.repeat(ends, ends - starts)
+            split = low != high
+            short = np.repeat(ends - starts <= SMALL, ends - starts)
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for gap in range(1, SMALL):
+                x = np.flatnonzero(short[: size - gap] & (np.arange(gap, size) < end_of[: size - gap]))
+                if not len(x):
+                    break
+                x = x[(component[x] != component[x + gap]) & (~split[x] | (block[x] != block[x + gap]))]
+                a.append(x)
+                b.append(x + gap)
+            for s, e in zip(starts.tolist(), ends.tolist()):
+                if e - s > SMALL and (component[s:e] != component[s]).any():
+                    apart = [component[s:e], block[s:e]] if split[s] else [component[s:e]]
+                    x, y = pairs_in_large(regs[s:e], n[s:e], apart, percent)
+                    a.append(x + s)
+                    b.append(y + s)
+            a, b = np.concatenate(a), np.concatenate(b)
+            good = hopeful(regs, n.astype(np.float64), a, b, percent)
+            a, b = a[good], b[good]
+            if not every and len(a):
+                order = np.lexsort((a, b))
+                a, b = a[order], b[order]
+                edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
+                chosen = np.unique(np.concatenate([edge[:-1], edge[1:] - 1]))
+                a, b = a[chosen], b[chosen]
+            if len(a):
+                x, y = node[a], node[b]
+                yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
 
     dealt = rows.repartition(partitions(rows.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -340,7 +344,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     nodes = stage(
         linked.groupBy("node").agg(
             F.min("doc_id").alias("first_id"),
-            *[F.first(c).alias(c) for c in ("n_shingles", "registers", "short", "keys")],
+            *[F.first(c).alias(c) for c in ("n_shingles", "registers", "keys")],
         ),
         "sketch-nodes",
     )
@@ -353,12 +357,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             # Groups within one component are settled.
             open_keys = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
             held = held.join(open_keys.select("key"), "key")
-        pairs = proposed(held, percent, every)
+        pairs = proposed(held.join(nodes.select("node", "n_shingles", "registers"), "node"), percent, every)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        found = verified(promising(pairs, nodes, percent), nodes, docs, size, percent)
+        found = verified(pairs, nodes, docs, size, percent)
         # The new links join components, so only these are walked again.
         ends = found
         for end in ("a", "b"):
