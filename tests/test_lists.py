@@ -171,6 +171,6 @@ def test_code_list_issues(spark):
     listed = ["1.23E+14", "12345678901234567", "12345678901234567", "", " ", None, "E00", "12E+3"]
     df = spark.createDataFrame([(c,) for c in listed], "code string")
     assert values(L.code_list_issues(df), "code", "issue", "n") == [
-        ("", "blank", 3), ("12E+3", "rounded", 1), ("12345678901234567", "duplicate", 2), ("1.23E+14", "rounded", 1),
+        ("", "blank", 3), ("1.23E+14", "rounded", 1), ("12345678901234567", "duplicate", 2), ("12E+3", "rounded", 1),
     ]
     assert not re.match(r"^[0-9]+$", "1.23E+14")
