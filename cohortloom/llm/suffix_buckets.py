@@ -33,8 +33,8 @@ LENGTH = 50
 GRAM = 16
 REACH = LENGTH - GRAM
 AROUND = GRAM + 2 * REACH
-BATCH_BYTES = 1 << 21
-GROUP_BYTES = 1 << 24
+BATCH_BYTES = 1 << 20
+GROUP_BYTES = 1 << 23
 BUCKET_ROWS = 1 << 18
 #: A q-gram with more rows than this, or than a millionth of all, is dealt out by whole strings;
 #: so at most a million q-grams are.
@@ -53,11 +53,18 @@ def slid(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 
 
 def gram_hashes(text: np.ndarray) -> np.ndarray:
-    n = 1 << max(21, len(text).bit_length())
-    sums = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum(powers(n, FACTOR)[: len(text)] * (text + np.uint64(1)), out=sums[1:])
-    count = len(text) - GRAM + 1
-    return mixed((sums[GRAM:] - sums[:count]) * powers(n, pow(FACTOR, -1, 1 << 64))[:count])
+    """A hash of the q-gram at each place, a megabyte at a time."""
+    count = max(0, len(text) - GRAM + 1)
+    out = np.empty(count, np.uint64)
+    step = 1 << 20
+    for low in range(0, count, step):
+        part = text[low : low + step + GRAM - 1]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(powers(2 * step, FACTOR)[: len(part)] * (part + np.uint64(1)), out=sums[1:])
+        size = len(part) - GRAM + 1
+        found = (sums[GRAM:] - sums[:size]) * powers(2 * step, pow(FACTOR, -1, 1 << 64))[:size]
+        out[low : low + size] = mixed(found)
+    return out
 
 
 def least_grams(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
