@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from cohortloom.llm.decontaminate import WORD_BYTES
 from cohortloom.llm.tokens import piece_hashes
 
 #: Labelled rows of each class that the model is fitted on, at most.
-FIT_ROWS = 2500
+FIT_ROWS = 2000
 TABLE_BITS = 17
 ROW = 8
 #: Bytes of the beginnings of words.
@@ -131,7 +132,11 @@ class Model:
         x = np.zeros((size, DEPTH), np.float32)
         x[places] = np.hstack([t[rows_in(k, hashes)] for k, t in enumerate(self.tables)])
         found = responses(x, self.filters, self.biases)
-        return np.hstack([np.maximum.reduceat(r[:places_used], starts) for r in found])
+        if places_used is not None:
+            return np.hstack([r[:places_used].max(axis=0, keepdims=True) for r in found])
+        # The windows that begin at a word, and one of empty places; those behind it reach into the next text.
+        edges = np.stack([starts, starts + counts + 1], axis=1).ravel()
+        return np.hstack([np.maximum.reduceat(r, edges)[::2] for r in found])
 
 
 def near_live(hashes: np.ndarray, counts: np.ndarray, live: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +232,7 @@ def fit(hashes: np.ndarray, counts: np.ndarray, labels: np.ndarray, weights: np.
             x = np.zeros((total, DEPTH), np.float32)
             x[places] = np.hstack([t[ids[k, places]] for k, t in enumerate(tables)])
             answers = responses(x, filters, biases)
-            limits = np.append(starts[1:], total)
+            limits = starts + own + 1
             best = np.stack([np.hstack([a[s:e].argmax(axis=0) + s for a in answers]) for s, e in zip(starts, limits)])
             pooled = np.hstack([a[best[:, i * FILTERS : (i + 1) * FILTERS], np.arange(FILTERS)] for i, a in enumerate(answers)])
             error = ((sigmoid(pooled @ output + bias) - labels[chosen]) * weights[chosen] / len(chosen)).astype(np.float32)
@@ -306,18 +311,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id").cast(pa.int64()),
                 "toxic": batch.column("toxic").cast(pa.int64()),
-                "words": pa.array([c.tobytes() for c in cuts], pa.binary()),
+                **{name: pa.array([c[k].tobytes() for c in cuts], pa.binary()) for k, name in enumerate(kinds)},
             })
 
-    sample = sorted(tuple(r) for r in texts.mapInArrow(hashed, "doc_id long, toxic long, words binary").collect())
-    y = np.array([t for _, t, _ in sample], np.float32)
+    kinds = [f"hashes_{k}" for k in range(1 + len(STEMS))]
+    columns = ", ".join(f"{name} binary" for name in kinds)
+    # Arrow keeps the sample in a few large buffers, which the driver gives back after the fit.
+    sample = texts.mapInArrow(hashed, f"doc_id long, toxic long, {columns}").toArrow()
+    sample = sample.sort_by([(c, "ascending") for c in ("doc_id", "toxic", "hashes_0")]).combine_chunks()
+    y = sample.column("toxic").to_numpy().astype(np.float32)
     # The classes weigh as many as there are labels of them.
     share = {t: sizes.get(t, 0) / max(1, int((y == t).sum())) for t in (0, 1)}
     weights = np.array([share[int(t)] for t in y], np.float32)
     weights = weights / weights.mean() if len(y) else weights
-    words = [np.frombuffer(w, np.uint32).reshape(1 + len(STEMS), -1) for _, _, w in sample]
-    counts = np.array([w.shape[1] for w in words], np.int64)
-    return fit(np.hstack(words) if words else np.empty((1 + len(STEMS), 0), np.uint32), counts, y, weights)
+    counts = pc.binary_length(sample.column("hashes_0")).to_numpy().astype(np.int64) // 4
+    hashes = np.stack([np.frombuffer(b"".join(memoryview(v.as_buffer()) for v in sample.column(name)), np.uint32) for name in kinds])
+    del sample
+    return fit(hashes, counts, y, weights)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
