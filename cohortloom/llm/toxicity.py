@@ -274,13 +274,20 @@ def fit(hashes: np.ndarray, counts: np.ndarray, labels: np.ndarray, weights: np.
 
 
 def best_threshold(found: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
-    """Middle of the gap between answers at which the weighted F1 of the toxic class is best."""
+    """Middle of the gap between answers at which the weighted F1 of the toxic class is best.
+
+    Equal answers are never parted; everything is toxic only if most of the weight is, and
+    nothing is if no gap is left.
+    """
     order = np.argsort(found)
     z, y, w = found[order], labels[order], weights[order]
     toxic_above = (y * w)[::-1].cumsum()[::-1]
     above = w[::-1].cumsum()[::-1]
     f1 = 2 * toxic_above / (above + (y * w).sum())
-    at = int(f1.argmax())
+    gap = np.concatenate([[(y * w).sum() > 0.5 * w.sum()], z[1:] > z[:-1] + 1e-6])
+    at = int(np.where(gap, f1, -1).argmax())
+    if not gap[at]:
+        return float(z[-1] + 1)
     return float((z[at] + z[at - 1]) / 2 if at else z[0] - 1)
 
 
