@@ -34,10 +34,8 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 EPOCHS = 6
 BATCH = 32
-#: Words of fewer labelled texts, or whose share of toxic texts is within so many standard
-#: deviations of the common share, keep the zero embedding.
-LEAST_TEXTS = 3
-DEVIATIONS = 5.0
+#: Texts of the common share that a row's first log odds take as seen beside its own.
+PRIOR_TEXTS = 10.0
 #: Labelled rows of a language below which its threshold leans on the common one.
 LANGUAGE_ROWS = 200
 CHUNK_WORDS = 1 << 17
@@ -125,7 +123,8 @@ class Model:
             else:
                 pooled[low:high] = self._pool(hashes[:, base : ends[high - 1]], counts[low:high])
             low = high
-        return pooled @ self.output + self.bias
+        # Not by BLAS, whose last bits depend on the number of rows.
+        return (pooled * self.output).sum(axis=1) + self.bias
 
     def _pool(self, hashes: np.ndarray, counts: np.ndarray, places_used: int | None = None) -> np.ndarray:
         places, starts, size = padded(counts)
@@ -196,16 +195,15 @@ def fit(hashes: np.ndarray, counts: np.ndarray, labels: np.ndarray, weights: np.
         return Model(tables, filters, biases, np.zeros_like(output), float(seen) - (0.0 if len(labels) else 2.0), thresholds)
     text = np.repeat(np.arange(len(counts)), counts)
     for k, t in enumerate(tables):
-        # Start from smoothed log odds of the texts that hold the row's words.
+        # Start from the log odds of the texts that hold the row's words, drawn to 0 where these are few.
         pairs = np.unique(text * size + rows_in(k, hashes))
         held = np.bincount(pairs % size, minlength=size)
         toxic = np.bincount(pairs % size, labels[pairs // size], minlength=size)
-        odds = np.log((toxic + 0.5) / (labels.sum() + 1)) - np.log((held - toxic + 0.5) / (len(labels) - labels.sum() + 1))
         share = labels.mean()
-        use = (held >= LEAST_TEXTS) & (np.abs(toxic - held * share) > DEVIATIONS * np.sqrt(held * share * (1 - share)))
+        odds = np.log((toxic + PRIOR_TEXTS * share) / (held - toxic + PRIOR_TEXTS * (1 - share)) * (1 - share) / share)
+        use = held > 0
         t[use] = rng.normal(0, 0.02, (int(use.sum()), ROW))
         t[use, 0] = odds[use] / 3
-    hashes, counts, whole = *near_live(hashes, counts, [t.any(axis=1) for t in tables]), (hashes, counts)
     rows, ends = np.stack([rows_in(k, hashes) for k in range(len(tables))]), np.cumsum(counts)
     for f in filters:
         f[:, ::ROW, 0] = 0.5
@@ -256,15 +254,14 @@ def fit(hashes: np.ndarray, counts: np.ndarray, labels: np.ndarray, weights: np.
                 touched, back_to = np.unique(ids[k, at], return_inverse=True)
                 g = np.zeros((len(touched), ROW), np.float32)
                 np.add.at(g, back_to, dx[:, k * ROW : (k + 1) * ROW])
-                known = t[touched].any(axis=1)
-                step(t, g[known], rate * 0.5, touched[known])
+                step(t, g, rate * 0.5, touched)
             step(output, error @ pooled + 1e-4 * output, rate)
             bias_g += float(error.sum()) ** 2
             bias -= rate * float(error.sum()) / bias_g**0.5
     model = Model(tables, filters, biases, output, float(bias), thresholds)
-    found = model.logits(*whole)
+    found = model.logits(hashes, counts)
     common = best_threshold(found, labels, weights)
-    spoken = languages(*whole)
+    spoken = languages(hashes, counts)
     for k in range(len(LANGUAGES)):
         own = spoken == k
         share = min(1.0, own.sum() / LANGUAGE_ROWS)

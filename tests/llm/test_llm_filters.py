@@ -221,6 +221,24 @@ def test_classifier_on_held_out_rows(spark):
     assert again == pytest.approx(got)
 
 
+@pytest.mark.parametrize("n,kinds", [(300, 20), (1200, 50), (2000, 40)])
+def test_words_of_few_labelled_texts_are_learned(spark, n, kinds):
+    # Each insult stands in 3 to 10 training texts.
+    rng = random.Random(n)
+    bad = ["".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(kinds)]
+    rows = []
+    for k in range(n):
+        words = [f"word{rng.randrange(400)}" for _ in range(rng.randint(3, 80))]
+        if k % 5 == 0:
+            words.insert(rng.randrange(len(words)), bad[k // 5 % kinds])
+        rows.append((k, " ".join(words), int(k % 5 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    got = X.score(docs, X.train(docs, docs.select("doc_id", "toxic"))).where(X.held_out())
+    said = [(r.toxic, r.toxic_score >= 0.5) for r in got.collect()]
+    assert sum(t and s for t, s in said) >= 0.8 * sum(t for t, _ in said)
+    assert sum(s and not t for t, s in said) <= 0.05 * len(said)
+
+
 def test_scores_of_odd_rows_and_labels(spark):
     rows = [(1, "idiot " * 200_000), (2, None), (3, ""), (3, ""), (None, "x"), (4, "\n")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
