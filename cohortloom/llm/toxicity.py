@@ -38,6 +38,9 @@ BATCH = 32
 PRIOR_TEXTS = 10.0
 #: Labelled rows of a language below which its threshold leans on the common one.
 LANGUAGE_ROWS = 200
+#: Bins of the logit by unit, and the size from which logits count as equal, when thresholds are chosen.
+LOGIT_BINS = 256
+LOGIT_LIMIT = 32
 CHUNK_WORDS = 1 << 17
 
 # Frequent function words by language.
@@ -258,34 +261,42 @@ def fit(hashes: np.ndarray, counts: np.ndarray, labels: np.ndarray, weights: np.
             step(output, error @ pooled + 1e-4 * output, rate)
             bias_g += float(error.sum()) ** 2
             bias -= rate * float(error.sum()) / bias_g**0.5
-    model = Model(tables, filters, biases, output, float(bias), thresholds)
-    found = model.logits(hashes, counts)
-    common = best_threshold(found, labels, weights)
-    spoken = languages(hashes, counts)
+    return Model(tables, filters, biases, output, float(bias), thresholds)
+
+
+def calibrated(model: Model, counts: pa.Table) -> Model:
+    """``model`` with thresholds by language from ``counts (language, bin, n, toxic)``: labelled rows by binned logit."""
+    language, at, n, toxic = (counts.column(c).to_numpy() for c in ("language", "bin", "n", "toxic"))
+    if not 0 < toxic.sum() < n.sum():
+        return model
+    common = best_threshold(at, n, toxic)
     for k in range(len(LANGUAGES)):
-        own = spoken == k
-        share = min(1.0, own.sum() / LANGUAGE_ROWS)
-        mine = best_threshold(found[own], labels[own], weights[own]) if labels[own].any() else common
-        thresholds[k] = share * mine + (1 - share) * common
+        own = language == k
+        share = min(1.0, n[own].sum() / LANGUAGE_ROWS)
+        mine = best_threshold(at[own], n[own], toxic[own]) if toxic[own].any() else common
+        model.thresholds[k] = share * mine + (1 - share) * common
     return model
 
 
-def best_threshold(found: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
-    """Middle of the gap between answers at which the weighted F1 of the toxic class is best.
+def logit_bins(logits: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(logits, -LOGIT_LIMIT, LOGIT_LIMIT).astype(np.float64) * LOGIT_BINS).astype(np.int32)
+
 
-    Equal answers are never parted; everything is toxic only if most of the weight is, and
+def best_threshold(at: np.ndarray, n: np.ndarray, toxic: np.ndarray) -> float:
+    """Middle of the gap between bins of answers at which the F1 of the toxic class is best.
+
+    A bin is never parted; everything is toxic only if most of the rows are, and
     nothing is if no gap is left.
     """
-    order = np.argsort(found)
-    z, y, w = found[order], labels[order], weights[order]
-    toxic_above = (y * w)[::-1].cumsum()[::-1]
-    above = w[::-1].cumsum()[::-1]
-    f1 = 2 * toxic_above / (above + (y * w).sum())
-    gap = np.concatenate([[(y * w).sum() > 0.5 * w.sum()], z[1:] > z[:-1] + 1e-6])
-    at = int(np.where(gap, f1, -1).argmax())
-    if not gap[at]:
-        return float(z[-1] + 1)
-    return float((z[at] + z[at - 1]) / 2 if at else z[0] - 1)
+    bins, back_to = np.unique(at, return_inverse=True)
+    n, toxic = np.bincount(back_to, n), np.bincount(back_to, toxic)
+    toxic_above, above = toxic[::-1].cumsum()[::-1], n[::-1].cumsum()[::-1]
+    f1 = 2 * toxic_above / (above + toxic.sum())
+    gap = np.concatenate([[toxic.sum() > 0.5 * n.sum()], np.ones(len(bins) - 1, bool)])
+    best = int(np.where(gap, f1, -1).argmax())
+    if not gap[best]:
+        return float(bins[-1] + 1) / LOGIT_BINS + 1
+    return float(bins[best] + bins[best - 1] + 1) / (2 * LOGIT_BINS) if best else float(bins[0]) / LOGIT_BINS - 1
 
 
 def held_out(doc_id="doc_id"):
@@ -296,6 +307,7 @@ def held_out(doc_id="doc_id"):
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Fit on at most ``rows`` labelled documents of each class, chosen by a hash of their id.
 
+    Thresholds come from the scores of all labelled documents, as counts by binned logit.
     ``docs``: ``doc_id, text``; ``labels``: ``doc_id, toxic``. Of several labels of a
     document the largest counts; null labels, ids and held-out documents do not.
     """
@@ -331,7 +343,31 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     counts = pc.binary_length(sample.column("hashes_0")).to_numpy().astype(np.int64) // 4
     hashes = np.stack([np.frombuffer(b"".join(memoryview(v.as_buffer()) for v in sample.column(name)), np.uint32) for name in kinds])
     del sample
-    return fit(hashes, counts, y, weights)
+    model = fit(hashes, counts, y, weights)
+    if not len(y) or y.min() == y.max():
+        return model
+    del hashes, counts
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_size(batches):
+            found, counts = word_hashes(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id").cast(pa.int64()),
+                "language": pa.array(languages(found, counts), pa.int32()),
+                "bin": pa.array(logit_bins(sent.value.logits(found, counts)), pa.int32()),
+            })
+
+    # Texts are scored where they lie; only bins meet the labels.
+    own = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text")
+    scored = own.mapInArrow(binned, "doc_id long, language int, bin int").groupBy("doc_id", "language", "bin").count()
+    label = F.col("toxic").cast("int")
+    cells = (
+        scored.join(known.where(label.isin(0, 1)), "doc_id").groupBy("language", "bin")
+        .agg(F.sum("count").alias("n"), F.sum(F.col("count") * label).alias("toxic"))
+    ).toArrow()
+    sent.unpersist()
+    return calibrated(model, cells)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

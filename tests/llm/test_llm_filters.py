@@ -239,6 +239,51 @@ def test_words_of_few_labelled_texts_are_learned(spark, n, kinds):
     assert sum(s and not t for t, s in said) <= 0.05 * len(said)
 
 
+def test_thresholds_rest_on_all_labelled_rows(spark):
+    # Few rows of the second language are in the sample of the fit, 600 in the table; a tenth of the labels is wrong.
+    rng = random.Random(11)
+    rows = []
+    for k in range(4000):
+        german = k % 5 == 0
+        words = [f"word{rng.randrange(300)}" for _ in range(rng.randint(5, 40))]
+        words += ["der", "die", "und", "nicht"] if german else ["the", "of", "and", "to"]
+        toxic = rng.random() < (0.1 if german else 0.4)
+        words[:0] = ["scum"] * (toxic or rng.random() < 0.2) + ["Trottel"] * (toxic and rng.random() < 0.7)
+        rows.append((k, " ".join(words), int(toxic ^ (rng.random() < 0.1))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = X.train(docs, docs.select("doc_id", "toxic"), rows=60)
+    known = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    hashes, counts = X.word_hashes([t for _, t, _ in known])
+    z, spoken, y = model.logits(hashes, counts), X.languages(hashes, counts), np.array([v for _, _, v in known])
+    bins = X.logit_bins(z)
+
+    def f1(said, own):
+        return 2 * (y[own] & said[own]).sum() / max(1, said[own].sum() + y[own].sum())
+
+    for k in (0, 1):
+        own = spoken == k
+        assert own.sum() >= X.LANGUAGE_ROWS
+        # Logits may differ in their last bits by batch.
+        assert f1(z >= model.thresholds[k], own) >= max(f1(bins >= b, own) for b in np.unique(bins[own])) - 0.005
+
+
+def test_best_threshold_over_counts_equals_brute_force():
+    rng = np.random.default_rng(12)
+    for _ in range(50):
+        z = rng.normal(0, 1, 300).astype(np.float32)
+        y = (z + rng.normal(0, 1, 300) > rng.normal(1, 0.5)).astype(np.int64)
+        bins = X.logit_bins(z)
+        cells, back_to = np.unique(np.stack([bins, y], axis=1), axis=0, return_inverse=True)
+        n = np.bincount(back_to.ravel())
+        cut = X.best_threshold(cells[:, 0], n, n * cells[:, 1])
+
+        def f1(said):
+            return 2 * (y & said).sum() / max(1, y.sum() + said.sum())
+
+        want = max(f1(bins >= b) for b in np.unique(bins)[1:])
+        assert f1(z >= cut) == want or 2 * y.sum() > len(y)
+
+
 def test_scores_of_odd_rows_and_labels(spark):
     rows = [(1, "idiot " * 200_000), (2, None), (3, ""), (3, ""), (None, "x"), (4, "\n")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
