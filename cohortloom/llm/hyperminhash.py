@@ -48,7 +48,7 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
-SKETCH_SCHEMA = "doc_id long, n_shingles long, node long, registers binary, keys array<bigint>"
+SKETCH_SCHEMA = "doc_id long, text_key long, n_shingles long, node long, registers binary, keys array<bigint>"
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -154,6 +154,11 @@ def band_keys(regs: np.ndarray, sizes: np.ndarray, percent: int) -> list[np.ndar
     return [np.concatenate(f) if f else np.empty(0, np.int64) for f in found]
 
 
+def text_keys(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_key, text``: the key tells the texts of one id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+
+
 def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Sketches by document; equal sets share a node, empty ones have none.
 
@@ -170,13 +175,14 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
             keys = band_keys(regs, np.where(sizes >= least, sizes, 0), percent)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"),
+                "text_key": batch.column("text_key"),
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                 "registers": pa.array([r.tobytes() for r in regs.astype("<u2")], pa.binary()),
                 "keys": pa.array([k if n >= least else [] for k, n in zip(keys, sizes)], pa.list_(pa.int64())),
             })
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH_SCHEMA)
+    return text_keys(docs).mapInArrow(run, SKETCH_SCHEMA)
 
 
 def smallest_linked(percent: int) -> int:
@@ -240,9 +246,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
     """The pairs ``(a, b)`` with ``100 * intersection >= percent * union`` of their full sets."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = (
-        nodes.select("node", F.col("first_id").alias("doc_id")).join(wanted, "node")
-        .join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
+        nodes.select("node", F.col("first_id").alias("doc_id"), "text_key").join(wanted, "node")
+        .join(text_keys(docs), ["doc_id", "text_key"])
         .select("node", "text")
+        # Equal rows of one id are one text.
+        .dropDuplicates(["node"])
     )
     both = pairs.join(texts.toDF("a", "t_a"), "a").join(texts.toDF("b", "t_b"), "b")
 
@@ -256,7 +264,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
                 good = []
                 for a, b in zip(ids["a"], ids["b"]):
                     one, two = sets[a], sets[b]
-                    # Of rows that share an id only the text of this node counts.
+                    # Only the text of this node counts, should two of one id share a key.
                     shared = len(np.intersect1d(one, two, assume_unique=True))
                     good.append(
                         100 * shared >= percent * (len(one) + len(two) - shared) and node_of(one) == a and node_of(two) == b
@@ -343,9 +351,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     linked = known.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
     nodes = stage(
         linked.groupBy("node").agg(
-            F.min("doc_id").alias("first_id"),
+            F.min(F.struct("doc_id", "text_key")).alias("first"),
             *[F.first(c).alias(c) for c in ("n_shingles", "registers", "keys")],
-        ),
+        ).select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("text_key"), "n_shingles", "registers", "keys"),
         "sketch-nodes",
     )
     rows = stage(groups(nodes), "bands")

@@ -111,6 +111,24 @@ def test_near_duplicates_of_odd_rows(spark):
     assert H.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_different_texts_of_one_id_link_by_their_own_text(spark):
+    rng = random.Random(13)
+    rows, want = [], {}
+    for k in range(10):
+        for j in range(4):
+            text = " ".join(rng.choice(WORDS) for _ in range(100))
+            rows += [(k, text)] * (1 + j % 2) + [(100 + 10 * k + j, text + " end")]
+            want[100 + 10 * k + j] = k
+    rows += [(500, rows[0][1] + " other words")]
+    want[500] = 0
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = H.near_duplicates(df).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got} == {(k, k) for k in range(10)} | set(want.items())
+    assert {r.doc_id for r in H.remove(df).collect()} == set(range(10))
+
+
 def test_estimates_follow_the_index():
     rng = np.random.default_rng(6)
     for share in (0.2, 0.5, 0.8, 0.95):
