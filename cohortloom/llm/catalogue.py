@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import decontaminate, hyperminhash, packing, pii, rotation_codes, separators, suffix_buckets, toxicity, trigram_secrets, wavelet
+from cohortloom.llm import decontaminate, hyperminhash, merkle, packing, pii, rotation_codes, separators, suffix_buckets, swap_packing, toxicity, trigram_secrets, wavelet, whitening
 from cohortloom.llm.common import table
 
 
@@ -58,12 +58,24 @@ def op10_convolutional_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_bidiagonal_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_swap_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return swap_packing.pack(table(spark, folder, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_hyperminhash_dedup, op2_weak_supervision_pii, op3_separator_token_counts,
         op4_rotation_code_dedup, op5_suffix_bucket_dedup, op6_order_preserving_packing, op7_trigram_secret_scan, op8_benchmark_windows,
-        op9_wavelet_token_index, op10_convolutional_toxicity,
+        op9_wavelet_token_index, op10_convolutional_toxicity, op11_bidiagonal_whitening, op12_swap_packing, op13_merkle_manifest,
     )
 }
 ORACLE: dict[str, str] = {
@@ -71,4 +83,5 @@ ORACLE: dict[str, str] = {
     "op4_rotation_code_dedup": rotation_codes.OP4_SQL,
     "op7_trigram_secret_scan": trigram_secrets.OP7_SQL,
     "op8_benchmark_windows": decontaminate.OP8_SQL,
+    "op13_merkle_manifest": merkle.OP13_SQL,
 }
