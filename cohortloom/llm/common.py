@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +14,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.session import shared_folder, stage_measured
+from cohortloom.session import discard, shared_folder, stage, stage_measured
 
 BATCH_CHARS = 1 << 19
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,6 +36,46 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return where
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Have the session send rows to Python in batches of at most ``ARROW_BYTES``; a smaller bound of the user stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(name, f"{ARROW_BYTES}b")
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def giving_back(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``, after which the worker, which later tasks use too, gives its free memory back to the system."""
+
+    def whole(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
+class Workbench:
+    """Stages tables and deletes their files at the end of a ``with`` block, after a failure too."""
+
+    def __init__(self):
+        self.held: list[DataFrame] = []
+
+    def __enter__(self) -> Workbench:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for df in self.held:
+            discard(df)
+
+    def stage(self, df: DataFrame, label: str) -> DataFrame:
+        self.held.append(stage(df, label))
+        return self.held[-1]
+
+
 @contextlib.contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Delete each query's shuffle files when it ends, instead of when the driver collects its garbage.
@@ -121,9 +163,11 @@ def smallest_reachable(nodes: DataFrame, links: DataFrame, label: str = "compone
     edges, seen = first, None
     while True:
         smaller = _star(_star(edges, keep_larger_only=True), keep_larger_only=False)
+        old = edges
         edges, now = stage_measured(
             smaller, f"{label}-star", n=F.count("*"), h=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         )
+        discard(old)
         if now == seen:
             break
         seen = now

@@ -6,10 +6,14 @@ registers bring documents together, estimates of the Jaccard index corrected for
 accidental register collisions discard hopeless pairs, and full shingle sets decide.
 
 Documents with equal sets are one node. Inside a band group two bits of some registers,
-then all registers rule pairs out before any pair leaves the task. Of the rest each node is first
-compared with two others; when these links are known, with two outside its component;
-then all pairs between components are. So a large group of copies costs about its size.
-Groups are split into blocks, and each pair of blocks is a group of its own.
+then all registers rule pairs out before any pair leaves the task. Of the rest each node is
+first compared with two others, chosen over all of its bands; when these links are known,
+with two outside its component. What is then left open lies between components: the texts
+of these nodes, one of each in a band group, meet in a task, which compares the pairs of
+different components on their full sets. Lists of pairs are never written.
+
+Large groups are dealt into blocks. The first two rounds look inside blocks, dealt anew
+each time; the last one takes pairs of blocks, but none within a group's largest component.
 """
 
 from __future__ import annotations
@@ -20,10 +24,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import by_size, partitions, smallest_reachable, sorted_groups
+from cohortloom.llm.common import Workbench, bounded_batches, by_size, giving_back, partitions, smallest_reachable, sorted_groups
 from cohortloom.llm.tokens import FACTOR, piece_hashes
 from cohortloom.session import stage
 
@@ -41,7 +45,11 @@ SMALLEST = 4
 SLACK = 5.5
 #: Fields of the short sketch, two bits each.
 FIELDS = 64
+#: Rows, and hashes of their sets, that a block has on average at most.
 BLOCK_ROWS = 2048
+BLOCK_HASHES = 1 << 19
+#: The low bits of a band's key: its level and number.
+SLOT_BITS = 8
 #: Rows of a group up to which pairs are formed for many groups at once.
 SMALL = 24
 WHITE = np.zeros(256, bool)
@@ -148,6 +156,8 @@ def band_keys(regs: np.ndarray, sizes: np.ndarray, percent: int) -> list[np.ndar
         for part in np.array_split(rows, -(-len(rows) // 1024)):
             held = regs[part][:, columns]
             keys = mixed((mixed(held.astype(np.uint64)) * factors).sum(axis=2, dtype=np.uint64))
+            slots = level * BANDS + np.arange(BANDS, dtype=np.uint64)
+            keys = keys >> np.uint64(SLOT_BITS) << np.uint64(SLOT_BITS) | slots
             live = (held != EMPTY).any(axis=2)
             for r, k, ok in zip(part.tolist(), keys.view(np.int64), live):
                 found[r].append(k[ok])
@@ -182,7 +192,7 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 "keys": pa.array([k if n >= least else [] for k, n in zip(keys, sizes)], pa.list_(pa.int64())),
             })
 
-    return text_keys(docs).mapInArrow(run, SKETCH_SCHEMA)
+    return text_keys(docs).mapInArrow(giving_back(run), SKETCH_SCHEMA)
 
 
 def smallest_linked(percent: int) -> int:
@@ -209,16 +219,17 @@ def estimates(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tup
     return (same - chance) / (1 - chance), used
 
 
-def hopeful(regs: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the pairs ``a, b`` of rows may reach the threshold by their corrected estimates."""
+def hopeful(regs: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs ``a, b`` of rows may reach the threshold by their corrected estimates, and these."""
     level = percent / 100
-    out = np.empty(len(a), bool)
+    out, guesses = np.empty(len(a), bool), np.empty(len(a))
     for low in range(0, len(a), 1 << 14):
         x, y = a[low : low + (1 << 14)], b[low : low + (1 << 14)]
         found, used = estimates(regs[x], regs[y], n[x], n[y])
+        guesses[low : low + (1 << 14)] = found
         out[low : low + (1 << 14)] = found >= level - SLACK * np.sqrt(level * (1 - level) / np.maximum(used, 1))
     # Sets whose sizes differ too much cannot reach it.
-    return out & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+    return out & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])), guesses
 
 
 def pairs_in_large(regs: np.ndarray, n: np.ndarray, apart: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,100 +253,261 @@ def pairs_in_large(regs: np.ndarray, n: np.ndarray, apart: np.ndarray, percent:
     return both[:, 0], both[:, 1]
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` with ``100 * intersection >= percent * union`` of their full sets."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = (
-        nodes.select("node", F.col("first_id").alias("doc_id"), "text_key").join(wanted, "node")
-        .join(text_keys(docs), ["doc_id", "text_key"])
-        .select("node", "text")
-        # Equal rows of one id are one text.
-        .dropDuplicates(["node"])
+def first_shared(regs: np.ndarray, a: np.ndarray, b: np.ndarray, slot: int) -> np.ndarray:
+    """Whether the band of ``slot`` is the first of its level that the rows of each pair share."""
+    columns, band = band_columns(slot // BANDS)[: slot % BANDS], slot % BANDS
+    out = np.ones(len(a), bool)
+    for low in range(0, len(a) if band else 0, 1 << 12):
+        x, y = regs[a[low : low + (1 << 12)]][:, columns], regs[b[low : low + (1 << 12)]][:, columns]
+        out[low : low + (1 << 12)] = ~((x == y).all(axis=2) & (x != EMPTY).any(axis=2)).any(axis=1)
+    return out
+
+
+def open_pairs(group: pa.RecordBatch, percent: int, once: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs ``a < b`` of rows in equal groups that the registers leave open, and their estimates.
+
+    Only pairs of different components and, in a pair of blocks, of different blocks
+    count. With ``once`` a pair is left to the first of the bands it shares.
+    """
+    key, low, high, n, component, block = (group.column(c).to_numpy() for c in ("key", "low", "high", "n_shingles", "component", "block"))
+    size = len(n)
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)]))
+    ends = np.append(starts[1:], size)
+    regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
+    end_of = np.repeat(ends, ends - starts)
+    split = low != high
+    short = np.repeat(ends - starts <= SMALL, ends - starts)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for gap in range(1, SMALL):
+        x = np.flatnonzero(short[: size - gap] & (np.arange(gap, size) < end_of[: size - gap]))
+        if not len(x):
+            break
+        x = x[(component[x] != component[x + gap]) & (~split[x] | (block[x] != block[x + gap]))]
+        a.append(x)
+        b.append(x + gap)
+    for s, e in zip(starts.tolist(), ends.tolist()):
+        if e - s > SMALL and (component[s:e] != component[s]).any():
+            apart = [component[s:e], block[s:e]] if split[s] else [component[s:e]]
+            x, y = pairs_in_large(regs[s:e], n[s:e], apart, percent)
+            a.append(x + s)
+            b.append(y + s)
+    a, b = np.concatenate(a), np.concatenate(b)
+    good, guess = hopeful(regs, n.astype(np.float64), a, b, percent)
+    a, b, guess = a[good], b[good], guess[good]
+    if once and len(a):
+        slots = key[a] & ((1 << SLOT_BITS) - 1)
+        own = np.empty(len(a), bool)
+        for slot in np.unique(slots).tolist():
+            at = np.flatnonzero(slots == slot)
+            own[at] = first_shared(regs, a[at], b[at], slot)
+        a, b, guess = a[own], b[own], guess[own]
+    return a, b, guess
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` of groups, each group together and in the order of its nodes' ``place``."""
+    return rows.repartition(partitions(rows.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high", "place", "node")
+
+
+def partners(rows: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: for each node the first and the likeliest of the nodes before it, chosen over all of its bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ("key", "low", "high")):
+            a, b, guess = open_pairs(group, percent, once=False)
+            if not len(a):
+                continue
+            node = group.column("node").to_numpy()
+            place = group.column("place").to_numpy()
+            chosen = []
+            for order in (np.lexsort((a, b)), np.lexsort((a, -guess, b))):
+                chosen.append(order[np.flatnonzero(np.diff(b[order], prepend=-1))])
+            at = np.unique(np.concatenate(chosen))
+            yield pa.RecordBatch.from_pydict({
+                "node": pa.array(node[b[at]]), "other": pa.array(node[a[at]]), "place": pa.array(place[a[at]]), "guess": pa.array(guess[at]),
+            })
+
+    named = dealt(rows).mapInArrow(giving_back(run), "node long, other long, place long, guess double")
+    best = named.groupBy("node").agg(
+        F.min(F.struct("place", "other")).alias("first"), F.max(F.struct("guess", "other")).alias("likeliest")
     )
-    both = pairs.join(texts.toDF("a", "t_a"), "a").join(texts.toDF("b", "t_b"), "b")
+    pairs = best.select("node", F.explode(F.array_distinct(F.array("first.other", "likeliest.other"))).alias("other"))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+class Texts:
+    """The texts of nodes, fetched from the documents once for each node asked for."""
+
+    def __init__(self, bench: Workbench, nodes: DataFrame, docs: DataFrame):
+        self.bench, self.docs = bench, docs
+        self.names = nodes.select("node", F.col("first_id").alias("doc_id"), "text_key")
+        self.held: DataFrame | None = None
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """``node, text`` of at least the ``wanted`` nodes."""
+        missing = wanted.select("node").distinct()
+        if self.held is not None:
+            missing = self.bench.stage(missing.join(self.held, "node", "left_anti"), "missing")
+            if missing.isEmpty():
+                return self.held
+        more = self.bench.stage(
+            self.names.join(missing, "node").join(text_keys(self.docs), ["doc_id", "text_key"])
+            # Equal rows of one id are one text.
+            .select("node", "text").dropDuplicates(["node"]),
+            "texts",
+        )
+        self.held = more if self.held is None else self.held.unionByName(more)
+        return self.held
+
+
+def checked_sets(nodes: list[int], texts: list[str | None], size: int) -> list[np.ndarray]:
+    """The sets of texts; empty where a text is not that of its node, should two texts of one id share a key."""
+    return [s if len(s) and node_of(s) == n else np.empty(0, np.uint64) for n, s in zip(nodes, shingle_sets(texts, size))]
+
+
+def verified(pairs: DataFrame, texts: Texts, size: int, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` with ``100 * intersection >= percent * union`` of their full sets."""
+    known = texts.of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+    both = pairs.join(known.toDF("a", "t_a"), "a").join(known.toDF("b", "t_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in by_size(iter([big]), "t_b"):
-                ids = {c: batch.column(c).to_pylist() for c in ("a", "b")}
-                texts = {**dict(zip(ids["a"], batch.column("t_a").to_pylist())), **dict(zip(ids["b"], batch.column("t_b").to_pylist()))}
-                keys = list(texts)
-                sets = dict(zip(keys, shingle_sets([texts[k] for k in keys], size)))
+                one, two = (
+                    checked_sets(batch.column(c).to_pylist(), batch.column(f"t_{c}").to_pylist(), size) for c in ("a", "b")
+                )
                 good = []
-                for a, b in zip(ids["a"], ids["b"]):
-                    one, two = sets[a], sets[b]
-                    # Only the text of this node counts, should two of one id share a key.
-                    shared = len(np.intersect1d(one, two, assume_unique=True))
-                    good.append(
-                        100 * shared >= percent * (len(one) + len(two) - shared) and node_of(one) == a and node_of(two) == b
-                    )
+                for x, y in zip(one, two):
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    good.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
                 yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(giving_back(run), "a long, b long")
 
 
-def groups(nodes: DataFrame) -> DataFrame:
-    """Rows of band groups of several nodes: ``key, low, high, block, node``.
+def listed(rows: DataFrame, percent: int) -> DataFrame:
+    """The nodes of each group that are in an open pair, a row each, with the nodes before them that they must meet."""
 
-    A group is split into blocks by a hash of the node; a row goes to each pair of
-    blocks ``low <= high`` that holds its own.
-    """
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    own = keyed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
-    own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return own.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ("key", "low", "high")):
+            a, b, _ = open_pairs(group, percent, once=True)
+            if not len(a):
+                continue
+            node = group.column("node").to_numpy()
+            order = np.lexsort((a, b))
+            a, b = a[order], b[order]
+            later, counts = np.unique(b, return_counts=True)
+            only_first = np.setdiff1d(a, later)
+            rows_of = pa.array(np.concatenate([later, only_first]))
+            borders = np.concatenate([[0], np.cumsum(counts), np.full(len(only_first), len(a))]).astype(np.int32)
+            columns = {c: group.column(c).take(rows_of) for c in ("key", "low", "high", "node", "component")}
+            yield pa.RecordBatch.from_pydict({**columns, "others": pa.ListArray.from_arrays(pa.array(borders), pa.array(node[a]))})
+
+    return dealt(rows).mapInArrow(giving_back(run), "key long, low int, high int, node long, component long, others array<bigint>")
+
+
+def links_between(
+    nodes: list[int], components: list[int], sets: list[np.ndarray], others: list[list[int]], percent: int
+) -> list[tuple[int, int]]:
+    """Pairs of linked nodes, each joining two components that no earlier one joined."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    if not sizes.sum():
+        return []
+    _, hashes = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(hashes, kind="stable")
+    holders, start = owner[order], np.searchsorted(hashes[order], np.arange(hashes.max() + 2))
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    place = {n: k for k, n in enumerate(nodes)}
+    root = {c: c for c in components}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    found = []
+    for k, listed in enumerate(others):
+        want = [place[n] for n in listed if find(components[place[n]]) != find(components[k])]
+        if not want or not sizes[k]:
+            continue
+        mine = hashes[cuts[k] : cuts[k + 1]]
+        low, count = start[mine], start[mine + 1] - start[mine]
+        ends = np.cumsum(count)
+        met = holders[np.arange(ends[-1]) + np.repeat(low - (ends - count), count)]
+        shared = np.bincount(met, minlength=len(sets))[want]
+        good = (shared > 0) & (100 * shared >= percent * (sizes[want] + sizes[k] - shared))
+        for j in np.array(want)[good].tolist():
+            x, y = find(components[j]), find(components[k])
+            if x != y:
+                root[x] = y
+                found.append((min(nodes[j], nodes[k]), max(nodes[j], nodes[k])))
+    return found
+
+
+def links_of(rows: DataFrame, texts: Texts, size: int, percent: int) -> DataFrame:
+    """``a, b``: links between components among the pairs ``listed``."""
+    met = rows.join(texts.of(rows), "node")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sorted_groups(batches, ("key", "low", "high")):
+            names = np.stack([batch.column(c).to_numpy() for c in ("key", "low", "high")], axis=1)
+            edges = np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]).any(axis=1), [True]]))
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                group = batch.slice(low, high - low)
+                nodes = group.column("node").to_pylist()
+                sets = checked_sets(nodes, group.column("text").to_pylist(), size)
+                found = links_between(nodes, group.column("component").to_pylist(), sets, group.column("others").to_pylist(), percent)
+                if found:
+                    yield pa.RecordBatch.from_pydict({"a": pa.array([f[0] for f in found]), "b": pa.array([f[1] for f in found])})
 
-def proposed(rows: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs ``(a, b)`` of ``groups`` rows, with ``component, n_shingles, registers``, that estimates leave open.
+    ordered = met.repartition(partitions(rows.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    return ordered.mapInArrow(giving_back(run), "a long, b long")
 
-    Only pairs of different components count. Without ``every`` a node names the first
-    and the nearest of the nodes before it in its group, if there are such.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ("key", "low", "high")):
-            key, low, high, n, node, component, block = (
-                group.column(c).to_numpy() for c in ("key", "low", "high", "n_shingles", "node", "component", "block")
-            )
-            size = len(n)
-            starts = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)]))
-            ends = np.append(starts[1:], size)
-            regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
-            end_of = np.repeat(ends, ends - starts)
-            split = low != high
-            short = np.repeat(ends - starts <= SMALL, ends - starts)
-            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for gap in range(1, SMALL):
-                x = np.flatnonzero(short[: size - gap] & (np.arange(gap, size) < end_of[: size - gap]))
-                if not len(x):
-                    break
-                x = x[(component[x] != component[x + gap]) & (~split[x] | (block[x] != block[x + gap]))]
-                a.append(x)
-                b.append(x + gap)
-            for s, e in zip(starts.tolist(), ends.tolist()):
-                if e - s > SMALL and (component[s:e] != component[s]).any():
-                    apart = [component[s:e], block[s:e]] if split[s] else [component[s:e]]
-                    x, y = pairs_in_large(regs[s:e], n[s:e], apart, percent)
-                    a.append(x + s)
-                    b.append(y + s)
-            a, b = np.concatenate(a), np.concatenate(b)
-            good = hopeful(regs, n.astype(np.float64), a, b, percent)
-            a, b = a[good], b[good]
-            if not every and len(a):
-                order = np.lexsort((a, b))
-                a, b = a[order], b[order]
-                edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
-                chosen = np.unique(np.concatenate([edge[:-1], edge[1:] - 1]))
-                a, b = a[chosen], b[chosen]
-            if len(a):
-                x, y = node[a], node[b]
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
-
-    dealt = rows.repartition(partitions(rows.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def bands(nodes: DataFrame) -> DataFrame:
+    """``key, node`` of the bands that several nodes share, and how large the group of the key is."""
+    keyed = nodes.select("node", "n_shingles", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("hashes")).where("n > 1")
+    return keyed.drop("n_shingles").join(sizes, "key")
+
+
+def blocks_for(n: Column, hashes: Column) -> Column:
+    return F.ceil(F.greatest(n / BLOCK_ROWS, hashes / BLOCK_HASHES)).cast("int")
+
+
+def in_blocks(held: DataFrame, turn: int) -> DataFrame:
+    """``key, low, high, block, place`` for rows of ``bands`` with ``component``: each in one block, which the turn chooses."""
+    block = F.pmod(F.xxhash64("node", F.lit(turn)), blocks_for(F.col("n"), F.col("hashes"))).cast("int")
+    return held.withColumn("block", block).select(
+        "key", F.col("block").alias("low"), F.col("block").alias("high"), "block", F.xxhash64("node", F.lit(-turn)).alias("place"), "node", "component"
+    )
+
+
+def between_components(held: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows in all pairs of blocks that may hold nodes of different components.
+
+    The largest component of a group has blocks of its own, which meet the other blocks only.
+    """
+    sized = held.join(nodes.select("node", "n_shingles"), "node")
+    parts = sized.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("hashes"))
+    whole = parts.groupBy("key").agg(
+        F.max(F.struct("n", "hashes", "component")).alias("main"), F.sum("n").alias("all_n"), F.sum("hashes").alias("all_hashes")
+    )
+    shape = whole.select(
+        "key", F.col("main.component").alias("main"),
+        blocks_for(F.col("all_n") - F.col("main.n"), F.col("all_hashes") - F.col("main.hashes")).alias("strays"),
+        blocks_for(F.col("main.n"), F.col("main.hashes")).alias("mains"),
+    )
+    is_main, dice = F.col("component") == F.col("main"), F.xxhash64("node")
+    own = held.drop("n", "hashes").join(shape, "key").withColumn(
+        "block", F.when(is_main, F.col("strays") + F.pmod(dice, F.col("mains"))).otherwise(F.pmod(dice, F.col("strays"))).cast("int")
+    )
+    last = F.when(is_main, F.col("strays")).otherwise(F.col("strays") + F.col("mains"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), (last - 1).cast("int"))))
+    return met.select(
+        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", F.col("node").alias("place"), "node", "component"
+    )
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -347,50 +519,58 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     ``component_id`` is the smallest id reachable. Rows of one id are judged by their
     own text; rows without an id link with nothing, have no component and are kept.
     """
-    known = stage(sketches(docs, size, percent), "sketches")
-    linked = known.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
-    nodes = stage(
-        linked.groupBy("node").agg(
-            F.min(F.struct("doc_id", "text_key")).alias("first"),
-            *[F.first(c).alias(c) for c in ("n_shingles", "registers", "keys")],
-        ).select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("text_key"), "n_shingles", "registers", "keys"),
-        "sketch-nodes",
-    )
-    rows = stage(groups(nodes), "bands")
-    labels = nodes.select("node", F.col("node").alias("component"))
-    tested = None
-    for every in (False, False, True):
-        held = rows.join(labels, "node")
-        if tested is not None:
-            # Groups within one component are settled.
-            open_keys = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-            held = held.join(open_keys.select("key"), "key")
-        pairs = proposed(held.join(nodes.select("node", "n_shingles", "registers"), "node"), percent, every)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = verified(pairs, nodes, docs, size, percent)
-        # The new links join components, so only these are walked again.
-        ends = found
-        for end in ("a", "b"):
-            ends = ends.join(labels.toDF(end, f"c_{end}"), end)
-        joined = stage(ends.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct(), "links")
-        moved = smallest_reachable(
-            joined.select(F.col("a").alias("id")).union(joined.select("b")), joined, "labels"
-        ).toDF("component", "new")
-        labels = stage(
-            labels.join(moved, "component", "left").select("node", F.coalesce("new", "component").alias("component")), "labels"
+    bounded_batches(docs.sparkSession)
+    with Workbench() as bench:
+        known = bench.stage(sketches(docs, size, percent), "sketches")
+        linked = known.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
+        nodes = bench.stage(
+            linked.groupBy("node").agg(
+                F.min(F.struct("doc_id", "text_key")).alias("first"),
+                *[F.first(c).alias(c) for c in ("n_shingles", "registers", "keys")],
+            ).select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("text_key"), "n_shingles", "registers", "keys"),
+            "sketch-nodes",
+        )
+        rows = bench.stage(bands(nodes), "bands")
+        texts = Texts(bench, nodes, docs)
+        labels = nodes.select("node", F.col("node").alias("component"))
+        tested = None
+        for turn in (1, 2, 3):
+            held = rows.join(labels, "node")
+            if turn > 1:
+                # Groups within one component are settled.
+                open_keys = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+                held = held.join(open_keys.select("key"), "key")
+            placed = in_blocks(held, turn) if turn < 3 else between_components(held, nodes)
+            sketched = placed.join(nodes.select("node", "n_shingles", "registers"), "node")
+            if turn < 3:
+                pairs = partners(sketched, percent)
+                if tested is not None:
+                    pairs = pairs.join(tested, ["a", "b"], "left_anti")
+                tested = bench.stage(pairs, "pairs")
+                found = verified(tested, texts, size, percent)
+            else:
+                found = links_of(bench.stage(listed(sketched, percent), "listed"), texts, size, percent)
+            # The new links join components, so only these are walked again.
+            ends = bench.stage(found, "found")
+            for end in ("a", "b"):
+                ends = ends.join(labels.toDF(end, f"c_{end}"), end)
+            joined = bench.stage(ends.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct(), "links")
+            moved = smallest_reachable(
+                joined.select(F.col("a").alias("id")).union(joined.select("b")), joined, "labels"
+            ).toDF("component", "new")
+            labels = bench.stage(
+                labels.join(moved, "component", "left").select("node", F.coalesce("new", "component").alias("component")), "labels"
+            )
+        spread = nodes.select("node", "first_id").join(labels, "node")
+        smallest = spread.groupBy("component").agg(F.min("first_id").alias("component_id"))
+        final = spread.join(smallest, "component").select("node", "component_id")
+        own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+        return stage(
+            known.select("doc_id", "n_shingles", "node").join(final, "node", "left")
+            .select("doc_id", "n_shingles", own.alias("component_id"))
+            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))),
+            "near-duplicates",
         )
-    spread = nodes.select("node", "first_id").join(labels, "node")
-    smallest = spread.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    final = spread.join(smallest, "component").select("node", "component_id")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return (
-        known.select("doc_id", "n_shingles", "node").join(final, "node", "left")
-        .select("doc_id", "n_shingles", own.alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
 
 
 def remove(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
