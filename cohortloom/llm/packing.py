@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import by_size, partitions
+from cohortloom.llm.common import bounded_batches, by_size, giving_back, partitions
 from cohortloom.llm.tokens import END_ID, crc32_ids, encoded, tokenizer_path, word_encoder
 
 WIDTH = 4096
@@ -179,6 +179,7 @@ def pack(docs: DataFrame, path: str | None = None, width: int = WIDTH, end_id: i
     ``keep_ids`` adds the piece's ids as little-endian unsigned 32-bit integers.
     """
     path = path or tokenizer_path()
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -195,7 +196,8 @@ def pack(docs: DataFrame, path: str | None = None, width: int = WIDTH, end_id: i
 
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(partitions(docs.sparkSession), "doc_id")
+        # The text parts the rows of one id, or of none.
+        .repartitionByRange(partitions(docs.sparkSession), F.asc_nulls_first("doc_id"), F.xxhash64("text"))
         .sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
     )
-    return ordered.mapInArrow(run, PIECES_SCHEMA + (", ids binary" if keep_ids else ""))
+    return ordered.mapInArrow(giving_back(run), PIECES_SCHEMA + (", ids binary" if keep_ids else ""))

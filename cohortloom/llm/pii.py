@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.llm.common import restored, shielded
-from cohortloom.llm.matches import masked, matches, none_found, overlaps, spans, written
+from cohortloom.llm.matches import apart_from, masked, matches, none_found, spans, written
 from cohortloom.session import stage
 
 KINDS = ("email", "ip", "card", "phone", "number", "name")
@@ -24,7 +24,6 @@ LABELERS = ("form", "gazetteer", "context", "border", "length")
 EM_ROUNDS = 25
 FIT_ROUNDS = 150
 FIT_RATE = 2.0
-CONTEXT = 30
 
 # The shapes of proposals. Possessive forms and lookbehinds keep long runs linear.
 PATTERNS = {
@@ -86,10 +85,9 @@ def base_found(text: Column, kind: str) -> Column:
     return F.when(F.contains(text, F.lit("+")), found).otherwise(none_found())
 
 
-def votes(text: Column, m: Column, kind: str) -> Column:
+def votes(m: Column, kind: str) -> Column:
     """One 0 or 1 by labeler, in the order of ``LABELERS``."""
-    found, left = m["found"], F.substring(text, F.greatest(m["start"] - CONTEXT + 1, F.lit(1)), F.least(m["start"], F.lit(CONTEXT)))
-    right = F.substring(text, m["end"] + 1, F.lit(1))
+    found, left, right = m["found"], m["left"], m["right"]
     size = F.length(found) if kind in ("email", "name") else F.length(digits(found))
     low, high = LENGTHS[kind]
     cast = [
@@ -114,12 +112,12 @@ def proposals(docs: DataFrame) -> DataFrame:
     own = [F.col(f"pii_{kind}") for kind in BASE]
     held = held.withColumn("pii_base", F.concat(*[spans(c, k, kind) for k, (c, kind) in enumerate(zip(own, BASE))]))
     for kind in KINDS[len(BASE):]:
-        held = held.withColumn(f"pii_{kind}", F.filter(matches(text, PATTERNS[kind]), lambda m: ~overlaps(F.col("pii_base"), m)))
+        held = held.withColumn(f"pii_{kind}", apart_from(matches(text, PATTERNS[kind]), F.col("pii_base")))
     seen = [
         F.transform(
             F.col(f"pii_{kind}"),
             lambda m: F.struct(
-                m["start"].alias("start"), F.lit(k).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end"), votes(text, m, kind).alias("votes")
+                m["start"].alias("start"), F.lit(k).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end"), votes(m, kind).alias("votes")
             ),
         )
         for k, kind in enumerate(KINDS)
@@ -238,7 +236,8 @@ def report(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of personal data replaced by its kind; ``n_chars``, if there, follows the text."""
     bare, names = shielded(docs, "text")
-    held = proposals(bare)
+    # Stored, or the proposals would be worked out for the training and again for the texts.
+    held = stage(proposals(bare), "pii-proposals")
     held = held.withColumn("pii_all", F.array_sort(F.concat("pii_base", added(train(held)))))
     done = held.withColumn("text", F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("pii_all"))))
     if "n_chars" in names:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import by_size, restored, shielded
+from cohortloom.llm.common import bounded_batches, by_size, giving_back, restored, shielded
 from cohortloom.llm.decontaminate import WORD_BYTES
 from cohortloom.llm.tokens import piece_hashes
 
@@ -311,6 +311,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     ``docs``: ``doc_id, text``; ``labels``: ``doc_id, toxic``. Of several labels of a
     document the largest counts; null labels, ids and held-out documents do not.
     """
+    bounded_batches(docs.sparkSession)
     known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -333,7 +334,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     kinds = [f"hashes_{k}" for k in range(1 + len(STEMS))]
     columns = ", ".join(f"{name} binary" for name in kinds)
     # Arrow keeps the sample in a few large buffers, which the driver gives back after the fit.
-    sample = texts.mapInArrow(hashed, f"doc_id long, toxic long, {columns}").toArrow()
+    sample = texts.mapInArrow(giving_back(hashed), f"doc_id long, toxic long, {columns}").toArrow()
     sample = sample.sort_by([(c, "ascending") for c in ("doc_id", "toxic", "hashes_0")]).combine_chunks()
     y = sample.column("toxic").to_numpy().astype(np.float32)
     # The classes weigh as many as there are labels of them.
@@ -360,13 +361,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
     # Texts are scored where they lie; only bins meet the labels.
     own = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text")
-    scored = own.mapInArrow(binned, "doc_id long, language int, bin int").groupBy("doc_id", "language", "bin").count()
+    scored = own.mapInArrow(giving_back(binned), "doc_id long, language int, bin int").groupBy("doc_id", "language", "bin").count()
     label = F.col("toxic").cast("int")
     cells = (
         scored.join(known.where(label.isin(0, 1)), "doc_id").groupBy("language", "bin")
         .agg(F.sum("count").alias("n"), F.sum(F.col("count") * label).alias("toxic"))
     ).toArrow()
-    sent.unpersist()
+    sent.destroy()
     return calibrated(model, cells)
 
 
@@ -376,6 +377,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     The score reads nothing but ``text``. Null and empty texts score what no word
     says. A column ``toxic_score`` of ``docs`` is replaced.
     """
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c != "toxic_score"])
     schema = docs.withColumn("toxic_score", F.lit(0.0)).schema
@@ -386,7 +388,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             logits = sent.value.logits(hashes, counts) - sent.value.thresholds[languages(hashes, counts)]
             yield batch.append_column("toxic_score", pa.array(sigmoid(logits.astype(np.float64)), pa.float64()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 def remove(docs: DataFrame, source: DataFrame, labels: DataFrame) -> DataFrame:

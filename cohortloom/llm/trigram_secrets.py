@@ -55,8 +55,7 @@ RULES = BASE_RULES + MORE_RULES
 def trigram_query(pattern: str) -> frozenset[frozenset[str]]:
     """Conjunctions of lower-case trigrams, one of which every matching text fulfils; empty if none is mandatory."""
     clauses: list[set[str]] = []
-    rest = _walk(re._parser.parse(pattern), {""}, clauses)
-    _close(rest, clauses)
+    _close(_walk(re._parser.parse(pattern), {""}, clauses), clauses)
     query: set[frozenset[str]] = {frozenset()}
     for clause in clauses:
         parts = {frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in clause}
@@ -73,46 +72,59 @@ def _close(strings: set[str], clauses: list[set[str]]) -> None:
 
 
 def _walk(parsed: Iterable, strings: set[str], clauses: list[set[str]]) -> set[str]:
-    """Follow a sequence: ``strings`` are all that may stand right before the next item."""
+    """Follow a sequence: one of ``strings`` stands right before the next item, and so on after it."""
+    for item in parsed:
+        options = _exact([item])
+        wider = {a + b for a in strings for b in options} if options is not None else set()
+        if options is not None and len(wider) <= WIDEST:
+            strings = wider
+            continue
+        name, value = str(item[0]), item[1]
+        if options is None and name in ("SUBPATTERN", "ATOMIC_GROUP"):
+            strings = _walk(value[3] if name == "SUBPATTERN" else value, strings, clauses)
+            continue
+        _close(strings, clauses)
+        if options is None and name.endswith("REPEAT") and value[0] >= 1:
+            # One turn at least: what it needs is mandatory, but not next to what stands around.
+            _close(_walk(value[2], {""}, clauses), clauses)
+        # Nothing is known of what stands before the next item, unless this one is one of a few strings.
+        strings = options if options is not None else {""}
+    return strings
+
+
+def _exact(parsed: Iterable) -> set[str] | None:
+    """All strings a sequence matches, if they are few; none if it may match others."""
+    out = {""}
     for op, value in parsed:
         name = str(op)
         if name == "LITERAL":
-            options = {chr(value)}
-        elif name == "IN" and (chars := _characters(value)) is not None:
-            options = chars
+            options = {chr(value)} if value < 128 else None
+        elif name == "IN":
+            options = _characters(value)
         elif name == "SUBPATTERN":
-            strings = _walk(value[3], strings, clauses)
-            continue
+            options = _exact(value[3])
+        elif name == "ATOMIC_GROUP":
+            options = _exact(value)
         elif name == "BRANCH":
-            options = set()
-            for branch in value[1]:
-                inner: list[set[str]] = []
-                found = _walk(branch, {""}, inner)
-                if inner or found is None:
-                    options = None
-                    break
-                options |= found
-        elif name.endswith("REPEAT") and value[1] == 1 and value[0] == 0:
-            inner = []
-            found = _walk(value[2], {""}, inner)
-            options = None if inner else found | {""}
+            branches = [_exact(b) for b in value[1]]
+            options = None if None in branches else set().union(*branches)
+        elif name.endswith("REPEAT") and int(value[1]) <= 8 and (body := _exact(value[2])) is not None:
+            options, turn = set(), {""}
+            for k in range(int(value[1]) + 1):
+                options |= turn if k >= value[0] else set()
+                turn = {a + b for a in turn for b in body}
+                if len(turn) > WIDEST:
+                    return None
         elif name == "AT" or name.startswith("ASSERT"):
-            continue
+            options = {""}
         else:
             options = None
-            if name.endswith("REPEAT") and value[0] >= 1:
-                # One turn at least: what it needs is mandatory, but not next to what stands around.
-                _close(strings, clauses)
-                _close(_walk(value[2], {""}, clauses), clauses)
-                strings = {""}
-                continue
-        wider = {a + b for a in strings for b in options} if options else set()
-        if options and len(wider) <= WIDEST:
-            strings = wider
-        else:
-            _close(strings, clauses)
-            strings = options if options and len(options) <= WIDEST else {""}
-    return strings
+        if options is None:
+            return None
+        out = {a + b for a in out for b in options}
+        if len(out) > WIDEST:
+            return None
+    return out
 
 
 def _characters(items: list) -> set[str] | None:
@@ -125,7 +137,7 @@ def _characters(items: list) -> set[str] | None:
             out |= {chr(c) for c in range(value[0], value[1] + 1)}
         else:
             return None
-    return out if len(out) <= 8 else None
+    return out if len(out) <= 8 and max(map(ord, out), default=128) < 128 else None
 
 
 def document_key() -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortloom.llm import decontaminate, hyperminhash, packing, pii, toxicity
-from cohortloom.session import stage
+from cohortloom.session import discard, stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -52,5 +52,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, folder), f"corpus-{name}")
+        before = docs
+        try:
+            docs = stage(step(spark, before, folder), f"corpus-{name}")
+        finally:
+            # What the stage before kept is read by this one alone.
+            discard(before)
     return STAGES[-1][1](spark, docs, folder)
