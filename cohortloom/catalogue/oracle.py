@@ -587,3 +587,7 @@ ORACLE: dict[str, str] = {
         WHERE date_diff('day', dob, coalesce(regenddate, {END})) >= {AGE}
           AND date_diff('day', dob, coalesce(emis_ddate, {END})) >= {AGE}"""),
 }
+
+# The same rows by another way of storing the inputs.
+ORACLE["stored_matched_outcomes"] = ORACLE["matched_outcomes"]
+ORACLE["events_stored_by_code"] = ORACLE["coded_outcomes"]

@@ -218,6 +218,9 @@ def _registered(s: Star) -> DataFrame:
     codesets.save_code_set(d, path, "condition", "01/01/2001", "med", "original_code", "concept_id")
     codesets.save_code_set(p, path, "drug", "01/01/2001", "prod", "prodcodeid", "term")
     codesets.save_code_set(d, path, "outcome", "02/02/2001", "med", "medcodeid", "term")
+    # A set that an empty list replaces is gone.
+    codesets.save_code_set(d, path, "withdrawn", "01/01/2001", "med", "medcodeid", "term")
+    codesets.retire_code_set(s.spark, path, "withdrawn", "01/01/2001", "med")
     return codesets.read_code_sets(s.spark, path)
 
 
@@ -244,9 +247,8 @@ def materialize_roundtrip(s: Star) -> DataFrame:
     place.cached("first_diagnosis", _exposed(s), cluster_by=["patid"], buckets=8)
     place.cached("first_diagnosis", _exposed(s), overwrite=True)
     place.cached("first_diagnosis", _diagnosed(s), cluster_by=["patid"], buckets=8, overwrite=True)
-    # The stored table is used, not what is given with its name.
-    place.cached("first_diagnosis", _exposed(s), cluster_by=["patid"], buckets=8)
-    return place.table("first_diagnosis")
+    # The stored table and its layout are used, not what is given with its name.
+    return place.cached("first_diagnosis", _exposed(s), cluster_by=["yob", "gender"], buckets=3)
 
 
 @query
@@ -563,6 +565,23 @@ def matched_outcomes(s: Star) -> DataFrame:
     )
 
 
+@query
+def stored_matched_outcomes(s: Star) -> DataFrame:
+    """The study on patients and events stored once, bucketed by patient."""
+    place = Workspace(s.spark, fresh_path(s.spark, "workspace"), "study")
+    patients, condition, exposure, outcome = study.stored_inputs(
+        place, s.patients(), s.condition_events(), s.exposure_events(), s.outcome_events(), buckets=8
+    )
+    return _rounded(study.run_study(patients, s.practices(), condition, exposure, outcome, RULES), "age", "weights", "distance")
+
+
+@query
+def events_stored_by_code(s: Star) -> DataFrame:
+    """Outcome events out of observations stored in the order of their code."""
+    stored = E.by_code(s.observations(with_practice=True), fresh_path(s.spark, "by-code"), "medcodeid", files=16)
+    return E.coded_events(stored, s.med_codes(OUTCOME, SECOND_OUTCOME), "medcodeid")
+
+
 @query
 def second_matched_outcomes(s: Star) -> DataFrame:
     """The study's second outcome; this variant leaves sex as recorded."""

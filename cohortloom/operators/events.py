@@ -8,16 +8,38 @@ from cohortloom.functions.dates import after_birth_year
 from cohortloom.operators.joins import lookup_join
 
 
+#: Codes of a set up to which they go to the reader of the events as a filter.
+PUSHED_CODES = 5_000
+
+
 def coded_events(events: DataFrame, codes: DataFrame, on: str, category: bool = False) -> DataFrame:
     """Events whose code is in the set, optionally with the set's category.
 
-    The codes are broadcast after a size check, so the event table is filtered
-    where it is read.
+    The codes of a set of at most ``PUSHED_CODES`` become a filter that Parquet readers
+    are given: over events stored by ``by_code``, row groups without a wanted code are not
+    read. Larger sets meet the events in a join after a size check.
     """
     wanted = codes.select(F.col("code").alias(on), *(["category"] if category else []))
+    listed = [r[0] for r in wanted.where(F.col(on).isNotNull()).select(on).distinct().limit(PUSHED_CODES + 1).collect()]
+    few = len(listed) <= PUSHED_CODES
+    found = events.where(F.col(on).isin(listed)) if few else events
     if category:
-        return lookup_join(events, wanted.dropDuplicates([on]), on, "inner")
-    return lookup_join(events, wanted, on, "left_semi")
+        found = lookup_join(found, wanted.dropDuplicates([on]), on, "inner")
+    elif not few:
+        found = lookup_join(found, wanted, on, "left_semi")
+    return found.select(*events.columns, *(["category"] if category else []))
+
+
+def by_code(events: DataFrame, path: str, on: str, files: int = 200, row_group_bytes: int = 16 << 20) -> DataFrame:
+    """Events stored in the order of their code, then patient, so that files and row groups hold few codes each.
+
+    A hot code spans many files: patients part its rows.
+    """
+    (
+        events.repartitionByRange(files, on, "patid").sortWithinPartitions(on, "patid")
+        .write.option("parquet.block.size", row_group_bytes).parquet(path)
+    )
+    return events.sparkSession.read.schema(events.schema).parquet(path)
 
 
 def acceptable(patients: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from cohortloom.operators.matching import assign_index, match_nearest, matched_m
 from cohortloom.operators.outcomes import outcome_table
 from cohortloom.operators.propensity import propensity_score
 from cohortloom.session import stage
+from cohortloom.sources.workspace import Workspace
 
 # Fixed value: placeholder index date of a control before matching.
 NO_INDEX = date(1900, 1, 1)
@@ -147,7 +148,8 @@ def attrition(
     return counted.unionByName(sums.select(F.inline(rows)))
 
 
-def study_arms(    patients: DataFrame,
+def study_arms(
+    patients: DataFrame,
     practices: DataFrame,
     condition_events: DataFrame,
     exposure_events: DataFrame,
@@ -215,6 +217,28 @@ def run_study(
     return outcome_table(cohort, patients, outcome_events, name=name)
 
 
+def stored_inputs(
+    place: Workspace,
+    patients: DataFrame,
+    condition_events: DataFrame,
+    exposure_events: DataFrame,
+    outcome_events: DataFrame,
+    buckets: int = 200,
+    overwrite: bool = False,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Patients and coded events as tables of a workspace, bucketed by patient.
+
+    Events move once, when they are stored. What is asked of them afterwards, any number of
+    times, is worked out bucket by bucket: first events, exposures and outcomes meet
+    the patients without a shuffle of event rows.
+    """
+    named = {
+        "patients": patients, "condition_events": condition_events,
+        "exposure_events": exposure_events, "outcome_events": outcome_events,
+    }
+    return tuple(place.cached(name, df, ["patid"], buckets, overwrite) for name, df in named.items())
+
+
 def study_report(
     patients: DataFrame,
     practices: DataFrame,

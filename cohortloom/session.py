@@ -66,12 +66,59 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return stored
 
 
+def _place(spark: SparkSession, path: str):
+    """A path and its file system, whichever Spark knows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def put_text(spark: SparkSession, folder: str, name: str, text: str) -> None:
+    """Write a small file under its final name in one step; it must not be there yet."""
+    place, system = _place(spark, folder)
+    system.mkdirs(place)
+    part = spark._jvm.org.apache.hadoop.fs.Path(place, f".{name}.{uuid.uuid4().hex}")
+    out = system.create(part, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if not system.rename(part, spark._jvm.org.apache.hadoop.fs.Path(place, name)):
+        system.delete(part, False)
+        raise FileExistsError(f"{folder}/{name}")
+
+
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, hidden ones left out; none if it is absent."""
+    place, system = _place(spark, folder)
+    if not system.exists(place):
+        return []
+    return [n for s in system.listStatus(place) if not (n := s.getPath().getName()).startswith((".", "_"))]
+
+
+def read_texts(spark: SparkSession, folder: str, names: list[str]) -> list[str]:
+    """The contents of small files, in the order of their names."""
+    out = []
+    for name in names:
+        place, system = _place(spark, f"{folder}/{name}")
+        stream = system.open(place)
+        try:
+            out.append(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+    return out
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a file or a folder with all it holds; an absent one is no error."""
+    place, system = _place(spark, path)
+    system.delete(place, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more; other tables stay."""
     path = getattr(df, "_staged_at", None)
     if path is not None:
-        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+        remove_folder(df.sparkSession, path)
 
 
 def stage_measured(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:

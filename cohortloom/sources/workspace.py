@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 import uuid
 
-from py4j.java_gateway import JavaObject
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import StructType
+
+from cohortloom.session import list_names, put_text, read_texts, remove_folder
 
 ROWS_PER_KEY = 1_000_000
+#: Seconds for which a replaced version is kept for those who read it.
+RETAINED = 7 * 24 * 3600
+MANIFESTS = "manifests"
 PLAIN, CLUSTERED = "plain", "clustered"
 
 
@@ -17,29 +23,23 @@ class Workspace:
     """Computes a named table once and reads it back afterwards.
 
     Tables live below ``root/prefix`` on shared storage, so later sessions find
-    them. Every write goes to a folder of its own, named by time and form; the
-    newest complete one is the table, and older ones are deleted once it is.
+    them. Every write is a version: a folder of its own, which becomes the table when
+    its manifest, a small JSON file, is put in place in one step. The manifest names the
+    bucketing keys, the number of buckets, the schema and the rows, and a version is
+    always read by its manifest, whatever a later caller asks for. Replaced versions stay
+    for ``retained`` seconds, so that running readers end on what they opened.
     ``cluster_by`` buckets a table: later joins and groupings on the same columns
     and bucket count need no shuffle.
     """
 
-    def __init__(self, spark: SparkSession, root: str, prefix: str):
-        self.spark = spark
-        self.prefix = prefix
+    def __init__(self, spark: SparkSession, root: str, prefix: str, retained: float = RETAINED):
+        self.spark, self.prefix, self.retained = spark, prefix, retained
         self.folder = f"{root}/{prefix}"
 
-    def _path(self, place: str) -> tuple[JavaObject, JavaObject]:
-        """A path and its file system."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _versions(self, name: str) -> list[str]:
-        """Folders of complete writes of ``name``, oldest first."""
-        path, system = self._path(f"{self.folder}/{name}")
-        if not system.exists(path):
-            return []
-        found = [s.getPath() for s in system.listStatus(path)]
-        return sorted(p.getName() for p in found if system.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    def manifests(self, name: str) -> list[dict]:
+        """What is known of each version of ``name``, oldest first."""
+        place = f"{self.folder}/{name}/{MANIFESTS}"
+        return [json.loads(t) for t in read_texts(self.spark, place, sorted(list_names(self.spark, place)))]
 
     def cached(
         self,
@@ -52,69 +52,89 @@ class Workspace:
     ) -> DataFrame:
         """The stored table ``name``; ``df`` runs only if it is absent or to be replaced.
 
-        A bucket is read by one task. A table with a key of more than
-        ``rows_per_key`` rows is therefore written once more, unbucketed, and its
-        joins are left to the adaptive skew join. ``df`` may read the table it replaces.
+        A table that is there keeps the layout of its manifest: other keys or another
+        number of buckets take effect when it is written anew. A bucket is read by one task.
+        A table with a key of more than ``rows_per_key`` rows is therefore written once more,
+        unbucketed, and its joins are left to the adaptive skew join. ``df`` may read the
+        table it replaces.
         """
-        known = self._versions(name)
+        known = self.manifests(name)
         if known and not overwrite:
-            return self._open(name, known[-1], df, cluster_by, buckets)
-        if cluster_by:
-            version = self._new(CLUSTERED)
-            place = f"{self.folder}/{name}/{version}"
-            # One writer per bucket, or every task would write a file per bucket.
-            (
-                df.repartition(buckets, *cluster_by)
-                .write.bucketBy(buckets, *cluster_by)
-                .sortBy(*cluster_by)
-                .option("path", place)
-                .saveAsTable(self._table(name, version))
-            )
-            stored = self.spark.table(self._table(name, version))
-            # Buckets hold whole keys, so this count needs no shuffle.
-            sizes = stored.groupBy(*cluster_by).agg(F.count(F.lit(1)).alias("n"))
-            if (sizes.agg(F.max("n")).first()[0] or 0) <= rows_per_key:
-                self._forget(name, known)
-                return stored
-            df, known = self.spark.read.schema(df.schema).parquet(place), [*known, version]
-        version = self._new(PLAIN)
-        df.write.parquet(f"{self.folder}/{name}/{version}")
-        self._forget(name, known)
-        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}/{version}")
-
-    def table(self, name: str) -> DataFrame:
-        """A stored table by name, as plain files."""
-        known = self._versions(name)
+            return self._open(name, known[-1])
+        manifest = self._clustered(name, df, cluster_by, buckets, rows_per_key) if cluster_by else self._plain(name, df)
+        put_text(self.spark, f"{self.folder}/{name}/{MANIFESTS}", f"{manifest['version']}.json", json.dumps(manifest))
+        self._expire(name, [*known, manifest])
+        return self._open(name, manifest)
+
+    def table(self, name: str, version: str | None = None) -> DataFrame:
+        """A stored table by name: its newest version, or the one named."""
+        known = [m for m in self.manifests(name) if version in (None, m["version"])]
         if not known:
             raise KeyError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}/{known[-1]}")
-
-    def _new(self, form: str) -> str:
-        return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}-{form}"
+        return self._open(name, known[-1])
+
+    def _place(self, name: str, version: str) -> str:
+        return f"{self.folder}/{name}/{version}"
+
+    def _plain(self, name: str, df: DataFrame) -> dict:
+        version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}-{PLAIN}"
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(self._place(name, version))
+        return self._manifest(version, df, seen.get["rows"])
+
+    def _clustered(self, name: str, df: DataFrame, keys: list[str], buckets: int, rows_per_key: int) -> dict:
+        version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}-{CLUSTERED}"
+        seen = Observation()
+        # One writer per bucket, or every task would write a file per bucket.
+        (
+            df.observe(seen, F.count(F.lit(1)).alias("rows")).repartition(buckets, *keys)
+            .write.bucketBy(buckets, *keys)
+            .sortBy(*keys)
+            .option("path", self._place(name, version))
+            .saveAsTable(self._table(name, version))
+        )
+        manifest = self._manifest(version, df, seen.get["rows"], keys, buckets)
+        # Buckets hold whole keys, so this count needs no shuffle.
+        sizes = self._open(name, manifest).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        if (sizes.agg(F.max("n")).first()[0] or 0) <= rows_per_key:
+            return manifest
+        plain = self._plain(name, self.spark.read.schema(df.schema).parquet(self._place(name, version)))
+        self._forget(name, version)
+        return plain
+
+    def _manifest(self, version: str, df: DataFrame, rows: int, keys: list[str] | None = None, buckets: int = 0) -> dict:
+        return {"version": version, "keys": keys or [], "buckets": buckets, "rows": rows, "schema": json.loads(df.schema.json())}
 
     def _table(self, name: str, version: str) -> str:
         # Workspaces of one prefix under different roots share a catalogue.
         root = hashlib.sha256(self.folder.encode()).hexdigest()[:12]
         return f"{self.prefix}_{name}_{root}_{version.replace('-', '_')}"
 
-    def _forget(self, name: str, versions: list[str]) -> None:
-        for version in versions:
-            self.spark.sql(f"DROP TABLE IF EXISTS `{self._table(name, version)}`")
-            path, system = self._path(f"{self.folder}/{name}/{version}")
-            system.delete(path, True)
-
-    def _open(
-        self, name: str, version: str, df: DataFrame, cluster_by: list[str] | None, buckets: int
-    ) -> DataFrame:
-        place = f"{self.folder}/{name}/{version}"
-        if not cluster_by or not version.endswith(CLUSTERED):
-            return self.spark.read.schema(df.schema).parquet(place)
+    def _expire(self, name: str, known: list[dict]) -> None:
+        """Delete versions that were replaced long ago, and what failed writes of that time left."""
+        limit = time.time_ns() - int(self.retained * 1e9)
+        replaced = {m["version"] for m, after in zip(known, known[1:]) if int(after["version"][:20]) <= limit}
+        named = {m["version"] for m in known}
+        for version in list_names(self.spark, f"{self.folder}/{name}"):
+            if version in replaced or version != MANIFESTS and version not in named and int(version[:20]) < limit:
+                remove_folder(self.spark, f"{self.folder}/{name}/{MANIFESTS}/{version}.json")
+                self._forget(name, version)
+
+    def _forget(self, name: str, version: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS `{self._table(name, version)}`")
+        remove_folder(self.spark, self._place(name, version))
+
+    def _open(self, name: str, manifest: dict) -> DataFrame:
+        schema = StructType.fromJson(manifest["schema"])
+        place = self._place(name, manifest["version"])
+        if not manifest["keys"]:
+            return self.spark.read.schema(schema).parquet(place)
         # Tell a session that has not seen the table how its files are bucketed.
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-        keys = ", ".join(f"`{c}`" for c in cluster_by)
-        table = self._table(name, version)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        keys = ", ".join(f"`{c}`" for c in manifest["keys"])
+        table = self._table(name, manifest["version"])
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS `{table}` ({columns}) USING parquet "
-            f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{place}'"
+            f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {manifest['buckets']} BUCKETS LOCATION '{place}'"
         )
         return self.spark.table(table)

@@ -70,6 +70,29 @@ def test_code_sets_by_version_and_replacement(spark, tmp_path):
     assert values(codesets.all_code_sets(sets, "03/08/2023"), "name", "code", "kind") == [("two", "b", "prod")]
 
 
+def test_an_empty_list_replaces_and_readers_see_whole_sets(spark, tmp_path):
+    path = str(tmp_path / "sets")
+    assert codesets.read_code_sets(spark, path).count() == 0
+    first = spark.createDataFrame([("a", "x"), ("b", "y")], "code string, term string")
+    for name in ("one", "two"):
+        codesets.save_code_set(first, path, name, "19/06/2023", "med", "code", "term")
+    opened = codesets.read_code_sets(spark, path)
+    codesets.save_code_set(first.limit(0), path, "one", "19/06/2023", "med", "code", "term")
+    codesets.retire_code_set(spark, path, "two", "never", "med")
+    sets = codesets.read_code_sets(spark, path)
+    assert codesets.code_set(sets, "one", "19/06/2023").count() == 0
+    assert values(codesets.code_set(sets, "two", "19/06/2023"), "code") == [("a",), ("b",)]
+    # What was opened before stays what it was.
+    assert opened.count() == 4
+    # A write that fails half way is not seen.
+    bad = spark.range(4000).repartition(4).selectExpr("CAST(IF(id = 3999, raise_error('stop'), id) AS STRING) AS code")
+    with pytest.raises(Exception, match="stop"):
+        codesets.save_code_set(bad, path, "two", "19/06/2023", "med", "code")
+    assert values(codesets.code_set(codesets.read_code_sets(spark, path), "two", "19/06/2023"), "code") == [("a",), ("b",)]
+    codesets.save_code_set(first.where("code = 'b'"), path, "one", "19/06/2023", "med", "code", "term")
+    assert values(codesets.code_set(codesets.read_code_sets(spark, path), "one", "19/06/2023"), "code", "category") == [("b", "y")]
+
+
 def test_term_search_looks_into_both_columns(spark):
     df = spark.createDataFrame(
         [("1", "ALPHA tab", None), ("2", "brand", "alpha"), ("3", None, "beta"), ("4", "gamma", "x")],

@@ -11,6 +11,7 @@ from cohortloom.operators.joins import lookup_join
 from cohortloom.operators.matching import assign_index, matched_members
 from cohortloom.operators.numbering import number_rows, running_total
 from cohortloom.operators.propensity import NotConverged, propensity_score
+from cohortloom.plans import study
 from cohortloom.session import shared_folder, stage, stage_measured
 from cohortloom.sources import tables as T
 from cohortloom.sources.workspace import Workspace
@@ -91,6 +92,128 @@ def test_clustered_tables_join_and_group_without_a_shuffle(spark, tmp_path):
         place.table("absent")
 
 
+def test_stored_tables_keep_their_layout(spark, tmp_path):
+    place = Workspace(spark, str(tmp_path), "layout")
+    people = spark.range(2000).select(F.col("id").alias("patid"), (F.col("id") % 7).alias("other"))
+    a = place.cached("a", people, ["patid"], buckets=4)
+    place.cached("b", people, ["patid"], buckets=8)
+    manifest = place.manifests("a")[-1]
+    assert (manifest["keys"], manifest["buckets"], manifest["rows"]) == (["patid"], 4, 2000)
+    for table in spark.catalog.listTables():
+        if table.name.startswith("layout_"):
+            spark.sql(f"DROP TABLE {table.name}")
+    # A session that knows nothing of the table, asked for other buckets and other keys.
+    b = place.cached("b", people.limit(1), ["patid"], buckets=8)
+    for keys, buckets in ((["patid"], 8), (["other"], 4), (["other", "patid"], 3), (None, 0)):
+        again = place.cached("a", people.limit(1), keys, buckets)
+        assert again.dtypes == people.dtypes and again.count() == 2000
+        for hint in ("merge", "shuffle_hash"):
+            assert again.hint(hint).join(b, "patid").count() == 2000
+        assert again.groupBy("other").count().count() == 7
+    # An overwrite leaves those alone who read the version before.
+    new = place.cached("a", people.where("patid < 10"), ["patid"], buckets=2, overwrite=True)
+    assert new.count() == place.table("a").count() == 10 and a.join(b, "patid").count() == 2000
+    assert place.table("a", manifest["version"]).count() == 2000
+    # A write that fails is no version.
+    bad = people.selectExpr("IF(patid = 1999, raise_error('stop'), patid) AS patid")
+    for keys in (None, ["patid"]):
+        with pytest.raises(Exception, match="stop"):
+            place.cached("a", bad, keys, buckets=2, overwrite=True)
+    assert place.table("a").count() == 10
+    # Versions go some time after they were replaced.
+    brief = Workspace(spark, str(tmp_path), "layout", retained=0)
+    brief.cached("a", people.where("patid < 20"), overwrite=True)
+    assert len(brief.manifests("a")) == 1 and brief.table("a").count() == 20
+
+
+def exchanged_tables(df):
+    """Paths or names of scans that lie below a shuffle of the executed plan."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    found, depths = [], []
+    for line in text.splitlines():
+        depth = len(re.match(r"[\s:|+\-*()0-9]*", line).group())
+        depths = [d for d in depths if d < depth]
+        if "Exchange hashpartitioning" in line:
+            depths.append(depth)
+        if "FileScan" in line and depths:
+            found.append(line)
+    return found
+
+
+def test_the_study_on_stored_events_moves_no_event(spark, tmp_path):
+    rng = random.Random(4)
+    day = lambda: F.to_date(F.lit(f"{rng.randint(1990, 2020)}-0{rng.randint(1, 9)}-11"))
+    patients = spark.range(200).select(
+        F.col("id").alias("patid"), (F.col("id") % 3).cast("int").alias("pracid"), F.lit(1).alias("acceptable"), (F.col("id") % 2).cast("int").alias("gender"),
+        F.lit(1930).alias("yob"), F.lit(None).cast("int").alias("mob"), F.lit(None).cast("date").alias("regenddate"), F.lit(None).cast("date").alias("emis_ddate"),
+    )
+    practices = spark.range(3).select(F.col("id").cast("int").alias("pracid"), F.lit(None).cast("date").alias("lcd"))
+    condition = spark.range(400).select((F.col("id") % 200).alias("patid"), day().alias("obsdate"))
+    exposure = spark.range(40).select((F.col("id") % 30).alias("patid"), day().alias("issuedate"))
+    outcome = spark.range(300).select((F.col("id") % 150).alias("patid"), day().alias("obsdate"))
+    place = Workspace(spark, str(tmp_path), "moved")
+    stored = study.stored_inputs(place, patients, condition, exposure, outcome, buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rules = study.Rules(ratio=2)
+        arms = study.study_arms(stored[0], practices, *stored[1:3], rules)
+        assert not [line for line in exchanged_tables(arms) if "_events" in line]
+        assert exchanged_tables(study.study_arms(patients, practices, stage(condition), stage(exposure), rules))
+        cohort = place.cached("cohort", arms.withColumn("new_index_date", F.to_date(F.lit("2005-01-01"))), ["patid"], buckets=4)
+        outcomes = study.outcome_table(cohort, stored[0], stored[3])
+        assert not exchanged_tables(outcomes) and "SortMergeJoin" in plan(outcomes)
+        plain = study.outcome_table(stage(cohort), patients, outcome)
+        assert sorted(map(str, outcomes.collect())) == sorted(map(str, plain.collect())) and outcomes.count() > 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def rows_scanned(df):
+    """Rows that the scan of a plan has put out."""
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan()
+    found = re.findall(r"FileScan.*", leaf.toString())
+    assert len(found) == 1, found
+    node = leaf
+    while node.children().size():
+        node = node.children().head()
+    if not node.metrics().contains("numOutputRows"):
+        node = node.executedPlan() if hasattr(node, "executedPlan") else node
+        while node.children().size():
+            node = node.children().head()
+    return node.metrics().apply("numOutputRows").value()
+
+
+def test_codes_reach_the_reader(spark, tmp_path):
+    events = spark.range(60_000).select(
+        (F.col("id") % 500).alias("patid"), F.format_string("%06d", F.pmod(F.xxhash64("id"), F.lit(3000))).alias("medcodeid")
+    )
+    stored = E.by_code(events, str(tmp_path / "by-code"), "medcodeid", files=12, row_group_bytes=8192)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        read = {}
+        for n in (1, 40, 2000):
+            codes = spark.createDataFrame([(f"{k:06d}",) for k in range(100, 100 + n)] + [("000100",), (None,)], "code string")
+            got = E.coded_events(stored, codes, "medcodeid")
+            assert re.search(r"PushedFilters: \[[^]]*(In\(medcodeid|EqualTo\(medcodeid)", plan(got)), plan(got)
+            want = events.join(codes.distinct(), F.col("medcodeid") == F.col("code"), "left_semi")
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+            read[n] = rows_scanned(got)
+        assert read[1] < 0.15 * 60_000 and read[1] < read[40] + 1 and read[40] < 0.3 * 60_000 < read[2000]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_larger_code_sets_are_joined(spark, monkeypatch):
+    events = spark.range(300).select("id", (F.col("id") % 50).cast("string").alias("medcodeid"))
+    codes = spark.createDataFrame([(str(k), f"c{k}") for k in range(20)] + [(None, "n")], "code string, category string")
+    near = [sorted(map(str, E.coded_events(events, codes, "medcodeid", category=c).collect())) for c in (False, True)]
+    monkeypatch.setattr(E, "PUSHED_CODES", 5)
+    far = [sorted(map(str, E.coded_events(events, codes, "medcodeid", category=c).collect())) for c in (False, True)]
+    assert near == far and len(near[0]) == len(near[1]) == 120
+    assert E.coded_events(events, codes.limit(0), "medcodeid").count() == 0
+
+
 def test_record_tables_are_read_with_their_schemas(spark, tmp_path):
     rows = {
         T.read_patients: ("SELECT 1L patid, 2 pracid, 1 acceptable, 1 gender, 1930 yob, CAST(NULL AS INT) mob, "
