@@ -21,7 +21,7 @@ needs_data = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test table
 
 def test_queries_are_registered():
     assert [q for q in queries() if q.startswith("op")] == list(QUERIES)
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in queries() and set(ORACLE) <= set(oracle_sql())
 
 
