@@ -10,6 +10,9 @@ from cohortloom.functions.text import normal_name, undotted, words
 from cohortloom.operators.joins import lookup_join
 from cohortloom.session import stage
 
+#: Distinct beginnings of names of one length up to which runs of words are tested for them.
+FIRST_WORDS = 5_000
+
 
 def shortest_headings(prefixes: DataFrame, group: list[str], column: str = "icd10") -> DataFrame:
     """Headings of each group not covered by a shorter one, so an event meets at most one."""
@@ -72,22 +75,57 @@ def classify_products(
     """Brand, generic and class of each product from the names its text contains.
 
     Names match on whole words. The longest name wins, then the earliest in the
-    text, then the first in name, generic and class order. A text's word runs of
-    the lengths that names have meet the lookup by equality, and the best run is
-    picked within its partition before the one shuffle by key.
+    text, then the first in name, generic and class order. A text's runs that can
+    begin a name meet the lookup by equality, and the best run is picked within its
+    partition before the one shuffle by key.
     """
+    known = product_names(lookup, exclude_generics)
+    best = (
+        lookup_join(name_runs(products, known, key, text), known, "brand_name")
+        .groupBy(key)
+        .agg(F.min(F.struct(-F.col("length"), "start", "brand_name", "meaning")).alias("best"))
+    )
+    return best.select(
+        key,
+        F.col("best.brand_name").alias("brand_name"),
+        F.col("best.meaning.generic_name").alias("generic_name"),
+        F.col("best.meaning.class").alias("class"),
+    )
+
+
+def product_names(lookup: DataFrame, exclude_generics: Iterable[str] = ()) -> DataFrame:
+    """Each name once as ``brand_name``, with its first generic and class as ``meaning``; stored."""
     names = lookup.select(
         normal_name(F.col("brand_name")).alias("brand_name"), "generic_name", "class"
     ).where(F.col("brand_name") != "")
     excluded = list(exclude_generics)
     if excluded:
         names = names.where(~F.col("generic_name").isin(excluded))
-    known = stage(
+    return stage(
         names.groupBy("brand_name").agg(F.min(F.struct("generic_name", "class")).alias("meaning")), "names"
     )
+
+def name_runs(products: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:
+    """Runs of a text's words that can begin a name: ``key, start, length, brand_name``.
+
+    A run is kept if a name of its number of words begins with its first word, and, of
+    names with more words, one begins with its first two. Each such test is a set of at
+    most ``FIRST_WORDS`` strings inside the expression that makes the runs; where names
+    have more beginnings, the test is left out and the join alone decides.
+    """
+    split = F.split("brand_name", " ")
+    heads = known.select(
+        F.size(split).alias("n"), split[0].alias("first"), F.array_join(F.slice(split, 1, 2), " ").alias("two")
+    )
     # Numbers of words that names have: a handful, however long the lookup.
-    sizes = known.select(F.size(F.split("brand_name", " ")).alias("n")).distinct()
-    lengths = sorted(r.n for r in sizes.collect())
+    counts = heads.groupBy("n").agg(F.countDistinct("first").alias("firsts"), F.countDistinct("two").alias("twos")).collect()
+    sizes = {r.n: r for r in counts}
+    few = {c: [n for n, r in sizes.items() if r[f"{c}s"] <= FIRST_WORDS] for c in ("first", "two")}
+    held: dict = {(c, n): [] for c, ns in few.items() for n in ns}
+    for c, ns in few.items():
+        # At most FIRST_WORDS strings of each length.
+        for r in heads.where(F.col("n").isin(ns)).select("n", c).distinct().collect() if ns else []:
+            held[c, r.n].append(r[c])
 
     # All runs of a text are made in one expression, so its words are not copied from row to row.
     listed = F.col("words")
@@ -96,6 +134,10 @@ def classify_products(
         starts = F.when(F.size(listed) >= n, F.sequence(F.lit(0), F.size(listed) - n)).otherwise(
             F.array().cast("array<int>")
         )
+        if ("first", n) in held:
+            starts = F.filter(starts, lambda s: F.get(listed, s).isin(held["first", n]))
+        if n > 1 and ("two", n) in held:
+            starts = F.filter(starts, lambda s: F.concat_ws(" ", F.get(listed, s), F.get(listed, s + 1)).isin(held["two", n]))
         return F.transform(
             starts,
             lambda s: F.struct(
@@ -104,20 +146,9 @@ def classify_products(
         )
 
     nothing = F.array().cast("array<struct<start:int,length:int,brand_name:string>>")
-    every = F.concat(nothing, *[runs_of(n) for n in lengths])
+    every = F.concat(nothing, *[runs_of(n) for n in sorted(sizes)])
     worded = products.select(key, words(F.col(text)).alias("words"))
-    runs = worded.select(key, F.explode(every).alias("run")).select(key, "run.*")
-    best = (
-        lookup_join(runs, known, "brand_name")
-        .groupBy(key)
-        .agg(F.min(F.struct(-F.col("length"), "start", "brand_name", "meaning")).alias("best"))
-    )
-    return best.select(
-        key,
-        F.col("best.brand_name").alias("brand_name"),
-        F.col("best.meaning.generic_name").alias("generic_name"),
-        F.col("best.meaning.class").alias("class"),
-    )
+    return worded.select(key, F.explode(every).alias("run")).select(key, "run.*")
 
 
 def lookup_conflicts(lookup: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from cohortloom.functions.text import BYTE_ORDER_MARK, clean_code
 from cohortloom.sources.tables import LONG, TEXT, table
@@ -46,19 +46,122 @@ _HEADER = {
 NULL_TEXT = "NA"
 
 
-def _read_text(spark: SparkSession, path: str, sep: str, null_text: str) -> DataFrame:
-    # Without a schema and without inference every column is text. A quoted cell may hold
-    # line breaks, so a file is read by one task; lists and dictionaries are small.
-    df = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("nullValue", null_text)
-        .option("multiLine", True)
-        .csv(path)
+def _ends_in_quotes(sep: str) -> tuple[str, str]:
+    """Expressions for lines that end inside a quoted cell: begun outside of one, begun inside one.
+
+    A quote opens a cell only as its first character; after the closing quote the cell goes
+    on to the separator. Nothing is tried twice, so long lines take time with their length.
+    """
+    s = "\\x{%x}" % ord(sep)
+    quoted = '[^"]*+(?:""[^"]*+)*+'
+    rest = f'(?:(?:"{quoted}"[^{s}]*+|[^"{s}][^{s}]*+)?+{s})*+"{quoted}\\z'
+    return f"^{rest}", f'^{quoted}(?:\\z|"[^{s}]*+{s}{rest})'
+
+
+def _running(w, start: Column | None = None) -> Column:
+    """Whether the lines or blocks up to each row end inside a cell, from ``flip`` and ``fixed``.
+
+    ``fixed`` is how a row ends whatever came before, or NULL; ``flip`` tells that it turns
+    inside to outside and back. NULL where no row is fixed, unless ``start`` is given.
+    """
+    turns = F.sum("flip").over(w)
+    since = F.last(F.col("fixed") + F.col("_turns"), ignorenulls=True).over(w)
+    known = since if start is None else F.coalesce(since, start)
+    return F.pmod(known + turns, F.lit(2))
+
+
+def read_records(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """The records of delimited text, without each file's header, as ``record``, from any splits.
+
+    A line break inside a quoted cell belongs to its record. Each line either leaves things
+    as they are, ends outside or inside a cell by itself, or swaps the two; such steps compose,
+    so a block's lines become one row, a file's blocks are followed in order over one row a
+    block, and each block then knows how it begins. Only records of several lines are put
+    together by a grouping. Lines end in a line feed, or carriage return and line feed.
+    Empty lines outside of cells are no records. Rows come in no order.
+    """
+    outside, inside = _ends_in_quotes(sep)
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        F.regexp_replace("value", f"^{BYTE_ORDER_MARK}", "").alias("value"),
+    )
+    from_out, from_in = F.col("value").rlike(outside), F.col("value").rlike(inside)
+    lines = lines.select(
+        "*",
+        (from_out & ~from_in).cast("int").alias("flip"),
+        F.when(from_out == from_in, from_out.cast("int")).alias("fixed"),
+    )
+    in_block = Window.partitionBy("file", "block").orderBy("at")
+    upto = in_block.rowsBetween(Window.unboundedPreceding, 0)
+    stepped = lines.withColumn("_turns", F.sum("flip").over(upto))
+
+    # One row per block: as a step of its own.
+    last = F.max_by(F.struct("fixed", "_turns"), F.when(F.col("fixed").isNotNull(), F.col("at")))
+    blocks = stepped.groupBy("file", "block").agg(
+        F.sum("flip").alias("all_turns"), last.alias("last"), F.max("at").alias("_at")
+    ).select(
+        "file",
+        "block",
+        F.pmod(F.col("last.fixed") + F.col("last._turns") + F.col("all_turns"), F.lit(2)).alias("fixed"),
+        F.pmod("all_turns", F.lit(2)).alias("flip"),
     )
-    return df.toDF(*[c.strip(BYTE_ORDER_MARK + "\r ") for c in df.columns])
+    in_file = Window.partitionBy("file").orderBy("block")
+    blocks_upto = in_file.rowsBetween(Window.unboundedPreceding, 0)
+    begun = (
+        blocks.withColumn("_turns", F.sum("flip").over(blocks_upto))
+        .withColumn("ends", _running(blocks_upto, F.lit(0)))
+        .select("file", "block", F.coalesce(F.lag("ends").over(in_file), F.lit(0)).alias("begins"))
+    )
+    known = (
+        stepped.join(begun, ["file", "block"])
+        .withColumn("ends", _running(upto, F.col("begins")))
+        .withColumn("held", F.coalesce(F.lag("ends").over(in_block), F.col("begins")) == 1)
+        .withColumn("opens", ~F.col("held") & (F.col("ends") == 1))
+    )
+
+    # A line inside a cell belongs to the last line that opened one, here or in an earlier block.
+    opened = F.when(F.col("opens"), F.struct("block", "at"))
+    latest = known.groupBy("file", "block").agg(F.max(opened).alias("opened"))
+    earlier = latest.select(
+        "file",
+        "block",
+        F.last("opened", ignorenulls=True).over(in_file.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
+    )
+    text = F.regexp_replace("value", "\r\\z", "")
+    blank = ~F.col("held") & (text == "")
+    placed = (
+        known.withColumn("first", F.min(F.when(~blank, F.col("at"))).over(Window.partitionBy("file", "block")))
+        .withColumn("key", F.last(opened, ignorenulls=True).over(upto))
+        .where(~blank)
+    )
+    header = (F.col("key.block") == 0) & (F.col("key.at") == F.col("first"))
+    whole = placed.where(~F.col("held") & ~F.col("opens") & ~((F.col("block") == 0) & (F.col("at") == F.col("first"))))
+    parts = (
+        placed.where(F.col("held") | F.col("opens"))
+        .join(earlier, ["file", "block"])
+        .withColumn("key", F.coalesce("key", "earlier"))
+        .groupBy("file", "key")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("lines"),
+            F.bool_or(F.coalesce(header & (F.col("block") == 0), F.lit(False))).alias("header"),
+        )
+        .where(~F.col("header"))
+    )
+    joined = F.regexp_replace(F.array_join("lines.value", "\n"), "\r\\z", "")
+    return whole.select(text.alias("record")).unionByName(parts.select(joined.alias("record")))
+
+
+def _read_text(spark: SparkSession, path: str, sep: str, null_text: str) -> DataFrame:
+    """All columns as text. The header is read by the CSV reader, the records from any splits."""
+    options = {"sep": sep, "quote": '"', "escape": '"', "nullValue": null_text, "multiLine": True}
+    header = spark.read.options(header=True, **options).csv(path).columns
+    cells = [f"_{k}" for k in range(len(header))]
+    schema = ", ".join(f"{c} string" for c in cells)
+    parsed = F.from_csv("record", schema, {k: str(v).lower() if v is True else v for k, v in options.items()})
+    df = read_records(spark, path, sep).select(parsed.alias("cells")).select(*[f"cells.{c}" for c in cells])
+    return df.toDF(*[c.strip(BYTE_ORDER_MARK + "\r ") for c in header])
 
 
 def read_dictionary(

@@ -47,6 +47,70 @@ def test_round_trip_quotes_separators(spark, tmp_path):
     assert values(got, "code", "term") == rows
 
 
+def quoted_lines(rng, end):
+    """Lines of three cells, many of them quoted, with separators, quotes and line breaks inside."""
+
+    def cell():
+        if rng.random() < 0.4:
+            return rng.choice(["", "NA", '5" pipe', 'a"b', "é", " x y ", "z" * 40])
+        inside = "".join(rng.choice(["a", '"', '"', ",", "\n", end, " ", "é", "\t", "NA"]) for _ in range(rng.randint(0, 7)))
+        return '"' + inside.replace('"', '""') + '"' + rng.choice(["", "", "", "x", ' "y"'])
+
+    lines = []
+    for k in range(80):
+        lines.append(",".join([str(k), cell(), cell()]) + end)
+        if rng.random() < 0.1:
+            lines.append(end)
+    return "".join(lines)
+
+
+@pytest.fixture
+def small_splits(spark):
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"]
+
+    def cut(size):
+        for name, value in zip(names, (size, 1, 1)):
+            spark.conf.set(name, value)
+
+    yield cut
+    for name in names:
+        spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("end, header", [("\n", "code,term,more"), ("\r\n", "code,term,more"), ("\n", 'code,"te\nrm",more')])
+def test_quoted_text_reads_alike_from_any_split(spark, tmp_path, small_splits, end, header):
+    rng = random.Random(len(end + header))
+    folder = tmp_path / "lists"
+    folder.mkdir()
+    for k in range(2):
+        write(folder / f"{k}.csv", header + end + quoted_lines(rng, end))
+    whole = spark.read.csv(str(folder), header=True, sep=",", quote='"', escape='"', nullValue="NA", multiLine=True)
+
+    def told(df):
+        # Where text follows a closing quote, the reader of whole files turns breaks of the cell into line feeds; here they stay.
+        return sorted(str(r).replace("\\r\\n", "\\n") for r in df.toDF("code", "term", "more").collect())
+
+    want = told(whole)
+    assert len(want) == 160
+    for size in (1 << 27, 400, 61):
+        small_splits(size)
+        assert told(text._read_text(spark, str(folder), ",", "NA")) == want
+    assert spark.read.text(str(folder)).select("_metadata.file_block_start").distinct().count() > 16
+
+
+def test_a_cell_over_many_splits_and_an_open_quote(spark, tmp_path, small_splits):
+    long = "\n".join(f"line {k}, of \"\"many\"\"" for k in range(40))
+    path = write(tmp_path / "long.csv", f'code,term\n1,a\n2,"{long}"\n3,b\n\n4,"open\nto the end\n')
+    small_splits(64)
+    got = dict(values(text.read_code_list(spark, path, ",", "code", keep=["term"]), "code", "term"))
+    assert got["1"] == "a" and got["2"] == long.replace('""', '"') and got["3"] == "b"
+    assert got["4"].startswith("open\nto the end") and len(got) == 4
+    kept = write(tmp_path / "kept.csv", 'code,term\r\n1,"p\r\nq"\r\n2,"p\nq"\r\n')
+    assert values(text.read_code_list(spark, kept, ",", "code", keep=["term"]), "term") == [("p\nq",), ("p\r\nq",)]
+    nothing = write(tmp_path / "none.csv", "code,term\n")
+    assert text.read_code_list(spark, nothing, ",", "code", keep=["term"]).count() == 0
+
+
 def test_dictionary_ids_stay_text(spark, tmp_path):
     path = write(
         tmp_path / "product.txt",
@@ -159,6 +223,31 @@ def test_longest_name_wins_on_whole_words(spark):
     assert L.classify_products(products, lookup.where("false"), "prodcodeid", "text").count() == 0
 
 
+def test_only_runs_that_can_begin_a_name_are_made(spark, monkeypatch):
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(30)]
+    names = {" ".join(rng.choices(vocabulary[:8], k=rng.randint(1, 4))) for _ in range(12)}
+    lookup = spark.createDataFrame([(n, n[:2], "c") for n in names], "brand_name string, generic_name string, class string")
+    texts = [(str(k), " ".join(rng.choices(vocabulary, k=rng.randint(0, 40)))) for k in range(200)]
+    texts += [(f"n{k}", f"x {n} y") for k, n in enumerate(sorted(names))] + [("null", None)]
+    products = spark.createDataFrame(texts, "id string, text string")
+
+    def best(t):
+        w = (t or "").split()
+        found = [(-n, s, " ".join(w[s : s + n])) for n in range(1, 5) for s in range(len(w) - n + 1)]
+        return min((f for f in found if f[2] in names), default=(0, 0, None))[2]
+
+    want = {k: best(t) for k, t in texts if best(t)}
+    known = L.product_names(lookup)
+    made = {}
+    for bound in (L.FIRST_WORDS, 1, 0):
+        monkeypatch.setattr(L, "FIRST_WORDS", bound)
+        assert dict(values(L.classify_products(products, lookup, "id", "text"), "id", "brand_name")) == want
+        made[bound] = L.name_runs(products, known, "id", "text").count()
+    hits = L.name_runs(products, known, "id", "text").join(known, "brand_name").count()
+    assert hits <= made[5_000] < 4 * hits and made[5_000] < made[0] / 5
+
+
 def test_lookup_conflicts(spark):
     lookup = spark.createDataFrame(
         [(1, "a", "g", "typical"), (1, "a", "h", "typical"), (2, "b", "k", "typical"),
