@@ -101,6 +101,69 @@ def test_shard_files_answer_without_decoding(spark):
     assert seen == 8
 
 
+class Counted:
+    """A file that counts the bytes read from it."""
+
+    def __init__(self, data):
+        self.data, self.read = data, 0
+
+    def read_at(self, n, offset):
+        self.read += n
+        return self.data[offset : offset + n]
+
+
+@pytest.mark.parametrize("size", [0, 1, 511, 32_767, 32_768, 32_769, 200_000])
+def test_shard_reader_answers_from_chunks(size):
+    rng = np.random.default_rng(size)
+    values = np.minimum(rng.zipf(1.3, size), 65_535)
+    lengths = [size // 3, 0, size - size // 3]
+    data = b"".join(wavelet.shard_bytes(2, 1, 5, [4, None, 9], lengths, values))
+    reader = wavelet.ShardReader(Counted(data))
+    assert (reader.part, reader.shard, reader.first, reader.doc_ids.to_pylist()) == (2, 1, 5, [4, None, 9])
+    for v in (0, 1, 2, 3, 77, 65_535, 65_536, -1):
+        places = np.flatnonzero(values == v)
+        assert reader.count(v) == len(places)
+        assert reader.locate(v).tolist() == places.tolist()
+        for end in (-1, 0, size // 2, size, size + 5):
+            assert reader.rank(v, end) == (values[: max(end, 0)] == v).sum()
+    for i in range(0, size, 9_973):
+        assert reader.access(i) == values[i]
+    assert (wavelet.read_shard(data)[5].values() == values).all()
+
+
+def test_lookups_read_a_part_of_a_shard():
+    values = np.minimum(np.random.default_rng(0).zipf(1.3, 1 << 20), 65_535)
+    data = b"".join(wavelet.shard_bytes(0, 0, 0, [1], [len(values)], values))
+    assert len(data) < 2 * len(values)
+    file = Counted(data)
+    reader = wavelet.ShardReader(file)
+    assert reader.count(60_000) == (values == 60_000).sum() and reader.access(12_345) == values[12_345]
+    assert file.read < len(data) / 4
+
+
+def test_counts_and_places_through_spark(spark, monkeypatch):
+    monkeypatch.setattr(wavelet, "SHARD_TOKENS", 50)
+    folder = new_folder(spark, "lookups")
+    df = messy(spark).where("text is null or length(text) < 1000")
+    wavelet.write_tokens(df, folder)
+    texts = [(r.doc_id, [*ids(r.text), 2]) for r in df.collect()]
+    wanted = sorted({texts[0][1][0], 2, 40_000, ids("a # b #")[1]})
+    got = wavelet.locate_tokens(spark, folder, wanted).select("token_id", "doc_id", "place").collect()
+    want = [(t, doc, k) for doc, own in texts for k, t in enumerate(own) if t in wanted]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    counts = {r.token_id: r.n for r in wavelet.count_tokens(spark, folder, wanted).collect()}
+    assert counts == {t: sum(x[0] == t for x in want) for t in wanted}
+
+
+def test_rows_of_one_id_share_no_single_task(spark):
+    rows = [(None if k % 2 else 7, f"text number {k} of many") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = new_folder(spark, "one-id")
+    parts = wavelet.write_tokens(df, folder).groupBy("part").agg(F.sum("n_docs").alias("n")).collect()
+    assert len(parts) == 4 and max(r.n for r in parts) < 250
+    assert sorted(map(tuple, wavelet.token_index(df).collect()), key=str) == expected(df)
+
+
 @pytest.mark.parametrize("block", [3, 64, 1 << 20])
 def test_separator_scan_counts_every_document(spark, block):
     df = messy(spark)
