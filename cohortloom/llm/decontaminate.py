@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from cohortloom.llm.common import by_size, restored, shielded
 from cohortloom.llm.tokens import FACTOR, powers
+from cohortloom.operators.numbering import running_total
 from cohortloom.session import stage
 
 WINDOW = 13
@@ -151,20 +152,36 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice
     benchmark hits nothing.
     """
     spark = docs.sparkSession
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(1, -(-total // slice_bytes))
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    parts = benchmark_slices(benchmark, slice_bytes)
     schema = T.StructType([f for f in docs.schema.fields if f.name != "hits"] + [T.StructField("hits", HITS)])
     out = docs.select(*[f"`{f.name}`" for f in docs.schema.fields if f.name != "hits"], F.lit(None).cast(HITS).alias("hits"))
-    for k in range(slices):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
+    for k, part in enumerate(parts):
         known = spark.sparkContext.broadcast(window_set([tuple(r) for r in part.collect()], window))
         out = out.mapInArrow(_scanner(known), schema)
-        if (k + 1) % SLICES_PER_JOB == 0 and k + 1 < slices:
+        if (k + 1) % SLICES_PER_JOB == 0 and k + 1 < len(parts):
             out = stage(out, "decontaminate")
     return out
 
 
+def benchmark_slices(benchmark: DataFrame, slice_bytes: int) -> list[DataFrame]:
+    """The distinct items ``(item_id, text)`` that have a text, in slices by a running sum of bytes.
+
+    A slice has less than ``slice_bytes`` before its last item, so it is no larger than that
+    and one item, however often an item is repeated. A benchmark of one slice is not stored.
+    """
+    size = F.octet_length("text").cast("long")
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).distinct()
+    if (rows.agg(F.sum(size)).first()[0] or 0) <= slice_bytes:
+        return [rows]
+    summed = running_total(rows, [], ["item_id", "text"], size, "before")
+    cut = summed.select("item_id", "text", F.floor(F.col("before") / slice_bytes).alias("slice"))
+    # In order of their slice, so that reading one skips the files and row groups of others.
+    held = stage(cut.repartitionByRange("slice").sortWithinPartitions("slice"), "benchmark")
+    # A few bytes per slice_bytes of benchmark.
+    found = sorted(r.slice for r in held.select("slice").distinct().collect())
+    return [held.where(F.col("slice") == k).select("item_id", "text") for k in found]
+
+
 def _scanner(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches):

@@ -178,6 +178,19 @@ def test_benchmark_windows_equal_brute_force(spark, slice_bytes):
         assert not brute_hits(r.text, [(1, b) for _, b in items if b and len(b.split()) >= 13])[1] or r.text in dict(kept).values()
 
 
+def test_slices_of_a_benchmark_are_bounded_however_often_items_repeat(spark):
+    items = [(k % 7, f"item number {k % 7} " + "w " * (k % 7)) for k in range(700)] + [(None, "no id " * 3), (8, None), (9, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    distinct = {i for i in items if i[1] is not None}
+    for size in (10, 60, 1 << 20):
+        slices = [[tuple(r) for r in part.collect()] for part in D.benchmark_slices(bench, size)]
+        assert sorted((r for part in slices for r in part), key=str) == sorted(distinct, key=str)
+        longest = max(len(t) for _, t in distinct)
+        assert all(sum(len(t) for _, t in part) < size + longest for part in slices)
+        assert (len(slices) == 1) == (size == 1 << 20)
+    assert [part.collect() for part in D.benchmark_slices(bench.limit(0), 10)] == [[]]
+
+
 def test_hit_words_are_cut_out(spark):
     item = "One two three four five six seven eight nine ten eleven twelve thirteen"
     rest = " ".join(f"w{k}" for k in range(400))
