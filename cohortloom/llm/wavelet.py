@@ -10,7 +10,6 @@ needs. In memory a plane has the running number of ones at every 512th bit.
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,8 +157,7 @@ class WaveletMatrix:
 
 
 def squeezed(raw: bytes) -> bytes:
-    packer = zlib.compressobj(6, zlib.DEFLATED, -15, 8, zlib.Z_RLE)
-    return packer.compress(raw) + packer.flush()
+    return pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
 class Directory:
@@ -184,7 +182,7 @@ class Directory:
 
     def unpacked(self, level: int, chunk: int, stored: bytes | memoryview) -> np.ndarray:
         full = min(CHUNK, -(-self.size // BLOCK) * BLOCK - chunk * CHUNK) // 8
-        return np.frombuffer(stored if len(stored) == full else zlib.decompress(stored, -15), np.uint8)
+        return np.frombuffer(stored if len(stored) == full else pa.Codec("zstd").decompress(stored, full, asbytes=True), np.uint8)
 
 
 class ShardReader:
