@@ -296,6 +296,9 @@ ORACLE: dict[str, str] = {
     ),
     "materialize_roundtrip": _study(f"SELECT {_COHORT} FROM diagnosed"),
     "patient_subset": _study("SELECT patid, obsdate, medcodeid FROM observation WHERE patid % 10 = 3"),
+    "stored_patient_subsets": _study(
+        "SELECT patid, count(*) AS events, min(obsdate) AS first_event FROM observation GROUP BY patid"
+    ),
     "cohort_report_cols": _study("""
         SELECT patid, first_exposure AS index_date, end_date, round(age, 6) AS age, gender AS sex,
           case_control FROM cases"""),
@@ -426,6 +429,10 @@ ORACLE: dict[str, str] = {
         f"SELECT '{c}' AS variable, count(*) FILTER ({c} = 1) AS n FROM result"
         for c in ("outcome_beforeindex", "outcome_in12monthsafterindex", "outcome_anyafterindex")
     ),
+    "report_flag_levels": REPORTED + " UNION ALL ".join(
+        f"SELECT '{c}' AS variable, CAST({c} AS INTEGER) AS level, count(*) AS n FROM result GROUP BY 2"
+        for c in ("outcome_beforeindex", "outcome_in12monthsafterindex", "outcome_anyafterindex")
+    ),
     "report_ages": REPORTED + """
         SELECT case_control, round(stddev_samp(age), 6) AS sd, round(avg(age), 6) AS mean,
           printf('%.2f - %.2f', min(age), max(age)) AS range, count(age) AS n

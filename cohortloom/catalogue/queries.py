@@ -256,6 +256,20 @@ def patient_subset(s: Star) -> DataFrame:
     return E.patient_modulus(s.observations(), "patid", 10, 3)
 
 
+@query
+def stored_patient_subsets(s: Star) -> DataFrame:
+    """Observations stored by patient and read as four subsets, each out of its own buckets."""
+    place = Workspace(s.spark, fresh_path(s.spark, "workspace"), "subsets")
+    place.cached("observations", s.observations(), ["patid"], buckets=8)
+    parts = [place.subset("observations", ["patid"], 4, [k]) for k in range(4)]
+    # A patient is in one subset alone.
+    whole = None
+    for part in parts:
+        one = part.groupBy("patid").agg(F.count(F.lit(1)).alias("events"), F.min("obsdate").alias("first_event"))
+        whole = one if whole is None else whole.unionByName(one)
+    return whole
+
+
 # Projections, filters, predicates
 
 
@@ -610,6 +624,11 @@ def report_flags(s: Star) -> DataFrame:
     return _report(s)["flags"]
 
 
+@query
+def report_flag_levels(s: Star) -> DataFrame:
+    return _report(s)["flag_levels"]
+
+
 @query
 def report_ages(s: Star) -> DataFrame:
     return _rounded(_report(s)["ages"], "sd", "mean")

@@ -48,6 +48,13 @@ def flag_counts(df: DataFrame, name: str = "outcome") -> DataFrame:
     return df.agg(*counted).select(F.inline(F.array(*pairs)))
 
 
+def flag_levels(df: DataFrame, name: str = "outcome") -> DataFrame:
+    """Members over both arms by each level of each outcome flag; NULL is a level. One pass."""
+    flags = [f"{name}_beforeindex", f"{name}_in12monthsafterindex", f"{name}_anyafterindex"]
+    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("int").alias("level")) for c in flags])
+    return count_by(df.select(F.inline(pairs)), ["variable", "level"])
+
+
 def sample_sizes(everyone: DataFrame, members: DataFrame, treatment: str, weights: str) -> DataFrame:
     """Per arm: all, matched and unmatched people, and the matched ones' effective number."""
     matched = arm_sizes(members, treatment, weights).withColumnRenamed("n", "matched")

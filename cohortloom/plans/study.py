@@ -252,6 +252,7 @@ def study_report(
     """The tables reported on the matched study, from one stored outcome table.
 
     ``crosstabs``: arm by sex and by flag; ``flags``: members with each flag;
+    ``flag_levels``: members by each level of each flag;
     ``ages``: age per arm; ``balance``: of the score and the covariates after
     matching; ``sizes``: all, matched and unmatched people per arm; ``counts``:
     sets, members, and members left by the follow-up rule.
@@ -273,6 +274,7 @@ def study_report(
     return {
         "crosstabs": S.summary_tables(outcomes, name),
         "flags": S.flag_counts(outcomes, name),
+        "flag_levels": S.flag_levels(outcomes, name),
         "ages": S.describe_by(outcomes, "case_control", "age"),
         "balance": S.balance(
             members, "case_control", ["distance", "age", "sex"], "weights", reference=scored

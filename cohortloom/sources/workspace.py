@@ -6,8 +6,9 @@ import hashlib
 import json
 import time
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from cohortloom.session import list_names, put_text, read_texts, remove_folder
@@ -19,6 +20,11 @@ MANIFESTS = "manifests"
 PLAIN, CLUSTERED = "plain", "clustered"
 
 
+def in_slots(keys: list[str], slots: int, wanted: Iterable[int]) -> Column:
+    """Whether a row's keys, null ones too, fall into one of ``wanted`` of ``slots`` slots, as buckets are dealt."""
+    return F.pmod(F.hash(*[F.col(f"`{k}`") for k in keys]), F.lit(slots)).isin(sorted(set(wanted)))
+
+
 class Workspace:
     """Computes a named table once and reads it back afterwards.
 
@@ -73,6 +79,25 @@ class Workspace:
             raise KeyError(name)
         return self._open(name, known[-1])
 
+    def subset(self, name: str, keys: list[str], slots: int, wanted: Iterable[int], version: str | None = None) -> DataFrame:
+        """The rows of a stored table whose ``keys`` fall into the ``wanted`` of ``slots`` slots.
+
+        The same keys are kept in every table, stored or not: ``in_slots`` is the test. Of a
+        table bucketed by ``keys`` into a multiple of ``slots``, only the files of the wanted
+        slots' buckets are read, and it is still read as bucketed.
+        """
+        known = [m for m in self.manifests(name) if version in (None, m["version"])]
+        if not known:
+            raise KeyError(name)
+        manifest, chosen = known[-1], sorted(set(wanted))
+        held = self._open(name, manifest)
+        columns = [F.col(f"`{c}`") for c in held.columns]
+        if manifest["keys"] == list(keys) and manifest["buckets"] % slots == 0:
+            # A bucket is the same hash by the number of buckets, and ends the name of its files.
+            bucket = F.regexp_extract(F.col("_metadata.file_name"), r"_(\d+)(?:\..*)?$", 1).cast("int")
+            held = held.where(F.pmod(bucket, F.lit(slots)).isin(chosen))
+        return held.where(in_slots(keys, slots, chosen)).select(*columns)
+
     def _place(self, name: str, version: str) -> str:
         return f"{self.folder}/{name}/{version}"
 

@@ -14,7 +14,7 @@ from cohortloom.operators.propensity import NotConverged, propensity_score
 from cohortloom.plans import study
 from cohortloom.session import shared_folder, stage, stage_measured
 from cohortloom.sources import tables as T
-from cohortloom.sources.workspace import Workspace
+from cohortloom.sources.workspace import Workspace, in_slots
 
 
 def plan(df):
@@ -168,6 +168,51 @@ def test_the_study_on_stored_events_moves_no_event(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_a_subset_reads_its_own_buckets_only(spark, tmp_path):
+    place = Workspace(spark, str(tmp_path), "subset")
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 50 > 0, F.col("id") % 170).alias("patid"), F.col("id").alias("event"), F.lit("x").alias("file_name")
+    )
+    place.cached("events", rows, ["patid"], buckets=8)
+    place.cached("plain", rows)
+
+    def told(df):
+        return sorted(map(str, df.collect()))
+
+    slots = [told(place.subset("events", ["patid"], 4, [k])) for k in range(4)]
+    assert sorted(sum(slots, [])) == told(rows) and all(slots)
+    for k in range(4):
+        assert told(place.subset("plain", ["patid"], 4, [k])) == told(rows.where(in_slots(["patid"], 4, [k]))) == slots[k]
+    # Slots that are no part of the buckets are a filter; so are other keys.
+    assert sorted(sum([told(place.subset("events", ["patid"], 3, [k])) for k in range(3)], [])) == told(rows)
+    assert told(place.subset("events", ["event"], 2, [1])) == told(rows.where(in_slots(["event"], 2, [1])))
+    assert told(place.subset("events", ["patid"], 4, [])) == [] and told(place.subset("events", ["patid"], 4, [0, 1, 2, 3])) == told(rows)
+    with pytest.raises(KeyError):
+        place.subset("none", ["patid"], 4, [0])
+    # Files of other buckets are not even opened, and the groups need no exchange.
+    spoiled = 0
+    for file in tmp_path.rglob("part-*.parquet"):
+        found = re.search(r"_(\d+)(?:\.|$)", file.name)
+        if found and int(found.group(1)) % 4 != 2:
+            file.write_bytes(b"spoiled")
+            spoiled += 1
+    assert spoiled == 6
+    own = place.subset("events", ["patid"], 4, [2])
+    assert told(own) == slots[2]
+    assert "Exchange" not in plan(own.groupBy("patid").count())
+    with pytest.raises(Exception):
+        place.subset("events", ["patid"], 4, [1]).collect()
+
+
+def test_levels_of_flags(spark):
+    rows = [(1, 0, 1), (1, 0, 0), (0, 0, None)]
+    df = spark.createDataFrame(rows, "o_beforeindex int, o_in12monthsafterindex int, o_anyafterindex int")
+    assert sorted(map(tuple, S.flag_levels(df, "o").collect()), key=str) == sorted([
+        ("o_beforeindex", 0, 1), ("o_beforeindex", 1, 2), ("o_in12monthsafterindex", 0, 3),
+        ("o_anyafterindex", 0, 1), ("o_anyafterindex", 1, 1), ("o_anyafterindex", None, 1),
+    ], key=str)
+
+
 def rows_scanned(df):
     """Rows that the scan of a plan has put out."""
     df.collect()
