@@ -219,13 +219,13 @@ def _binned(rows: DataFrame, block_rows: int, most: int) -> tuple[DataFrame, int
     )
     within = Window.partitionBy("_slice").orderBy(*order)
     so_far = within.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = within.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy("_slice")
+    # Taken backwards: Spark works a frame up to the last row out anew for every row.
+    ahead = Window.partitionBy("_slice").orderBy(F.desc("_down"), F.desc("is_slot")).rowsBetween(Window.unboundedPreceding, 0)
     # A queue is the running sum less its least value so far, or less what came in.
     walked = (
         sliced.withColumn("_sum", F.sum("asks").over(so_far))
         .withColumn("_low", F.min("_sum").over(so_far))
-        .withColumn("_rest", F.sum("asks").over(whole) - F.col("_sum") + F.col("asks"))
+        .withColumn("_rest", F.sum("asks").over(ahead))
         .withColumn("_rest_low", F.min("_rest").over(ahead))
         .withColumn("_no", F.row_number().over(within))
     )
@@ -254,7 +254,13 @@ def _binned(rows: DataFrame, block_rows: int, most: int) -> tuple[DataFrame, int
     )
     begins = F.when(F.col("_no") == 1, F.col("_top")).otherwise((F.col("_before") == 0) & (F.col("_queue_up") == 0))
     place = F.col("_offset") + F.col("_no") - 1
-    begun = marked.withColumn("_segment", F.max(F.when(begins, place)).over(so_far))
+    # Stored, or the windows would be worked out for each of the three uses below.
+    begun = stage(
+        marked.withColumn("_segment", F.max(F.when(begins, place)).over(so_far))
+        .select("score", "is_slot", "asks", "units", "start", "_slice", "_segment"),
+        "walked",
+    )
+    discard(sliced)
     last, carried = 0, []
     for s, most_recent in begun.groupBy("_slice").agg(F.max("_segment")).orderBy("_slice").collect():
         carried.append((s, last))
@@ -265,7 +271,7 @@ def _binned(rows: DataFrame, block_rows: int, most: int) -> tuple[DataFrame, int
     asked = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("is_slot").alias("_idle")).where("_idle = 0")
     longest = asked.agg(F.max("n")).first()[0] or 0
     kept = binned.join(asked.select("bin"), "bin", "left_semi")
-    return kept.select("bin", "score", "is_slot", "asks", "units", "start"), longest, sliced
+    return kept.select("bin", "score", "is_slot", "asks", "units", "start"), longest, begun
 
 
 def _sweep(pdf: pd.DataFrame, first: int, last: int, round_units: int, caliper: float | None) -> pd.DataFrame:

@@ -1,6 +1,8 @@
 """Matching against a plain sequential greedy matcher on small random arms."""
 
+import bisect
 import random
+import time
 
 import pytest
 
@@ -31,6 +33,35 @@ def greedy(cases, controls, ratio, caliper=None, fill="rounds"):
     return pairs
 
 
+def nearest_free(cases, controls, ratio):
+    """``greedy`` in rounds for distinct scores and many people: links jump over controls that are taken."""
+    scores = sorted((s, i) for i, s in controls)
+    n = len(scores)
+    up, down = list(range(n + 2)), list(range(n + 2))
+
+    def free(links, k):
+        root = k
+        while links[root] != root:
+            root = links[root]
+        while links[k] != root:
+            links[k], k = root, links[k]
+        return root
+
+    order = [(s, i, bisect.bisect_right(scores, (s, float("inf")))) for i, s in sorted(cases, key=lambda c: -c[1])]
+    pairs = set()
+    for _ in range(ratio):
+        for score, case, place in order:
+            low, high = free(down, place), free(up, place + 1)
+            if low == 0 and high == n + 1:
+                return pairs
+            gap_low = score - scores[low - 1][0] if low else float("inf")
+            gap_high = scores[high - 1][0] - score if high <= n else float("inf")
+            k = low if gap_low <= gap_high else high
+            up[k], down[k] = k + 1, k - 1
+            pairs.add((case, scores[k - 1][1]))
+    return pairs
+
+
 def random_arms(rng, n_cases, n_controls, spread):
     ids = rng.sample(range(1, 10_000), n_cases + n_controls)
     people = [(i, rng.randint(0, spread) / 8) for i in ids]
@@ -80,6 +111,21 @@ def test_turns_stay_few_whether_controls_suffice_or_not(spark, blocks, n_control
     assert len(turns) <= 20 and sum(turns) == min(600, n_controls)
 
 
+def test_one_segment_of_many_blocks_takes_time_with_its_rows(spark):
+    """Too few controls: nearly all rows are one segment, which took minutes when it was walked with the square of its rows."""
+    rng = random.Random(3)
+    scores = rng.sample(range(10**9), 27_000)
+    cases = [(i, round((s / 1e9) ** 0.7, 12)) for i, s in enumerate(scores[:2_500])]
+    controls = [(10_000 + i, s / 1e9) for i, s in enumerate(scores[2_500:])]
+    assert len({s for _, s in cases + controls}) == len(scores)
+    small = greedy(cases[:40], controls[:300], 10)
+    assert nearest_free(cases[:40], controls[:300], 10) == small
+    turns, began = [], time.monotonic()
+    got = run(spark, cases, controls, ratio=10, block_rows=2_500, turns=turns)
+    assert got == nearest_free(cases, controls, 10)
+    assert len(turns) > 1 and time.monotonic() - began < 120
+
+
 def test_a_score_that_is_no_number_is_left_out(spark):
     nan = float("nan")
     assert run(spark, [(1, nan), (2, 0.5)], [(3, nan), (4, 0.4)], ratio=2) == {(2, 4)}
