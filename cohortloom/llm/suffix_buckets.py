@@ -1,16 +1,18 @@
-"""Removal of long repeated byte strings by bucket-pointer refinement.
-
-Suffixes are sorted into buckets of equal beginnings, and a bucket is refined by the
-bucket identifiers of its suffixes' later offsets: the identifier for 2 k bytes at a
-place is made of those for k bytes there and k bytes further on, and each is used
-again for the places before it. Two identifiers for 32 bytes, 18 apart, name a string of 50.
-
-Not every suffix takes part. Each string of ``LENGTH`` bytes has a least q-gram, which
-equal strings share at the same place, so only those q-grams are bucketed first; the
-buckets of one document drop out, and the suffixes around the others are refined. All
-steps exchange packed arrays between numbered buckets of bounded size. What a batch can
+"""Removal of long repeated byte strings by buckets of q-grams and hashes of what lies around them.
+
+Dealt was bucket-pointer refinement: buckets of equal beginnings are sorted by the bucket
+identifiers of later offsets. Sorting every suffix that way would send each text many times
+over, so two things stand in for it. Each string of ``LENGTH`` bytes has a least q-gram,
+which equal strings share at the same place, so only those q-grams are bucketed; the
+buckets of one document drop out. Around the others the identifier for 2 k bytes at a
+place is made, inside the row, of those for k bytes there and k bytes further on; two
+identifiers for 32 bytes, 18 apart, name a string of 50. No identifier of one bucket is
+looked up for another.
+
+All steps exchange packed arrays between numbered buckets of bounded size. What a batch can
 settle by itself is not sent: of rows that agree in everything that matters the smallest
 document speaks for all. Buckets of very frequent q-grams are dealt out by whole strings.
+Rows of one id are spread by their texts; rows without an id meet no others.
 """
 
 from __future__ import annotations
@@ -431,6 +433,16 @@ def cut_out(docs: DataFrame, spans: DataFrame, keep_bytes: bool = False) -> Data
     return grouped.applyInArrow(run, RESULT + (", kept binary" if keep_bytes else ""))
 
 
+def whole(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
+    """The rows of ``cut_out`` for texts that nothing is removed from."""
+    raw, none = F.coalesce("text", F.lit("")).cast("binary"), F.lit(0).cast("long")
+    kept = [raw.alias("kept")] if keep_bytes else []
+    return docs.select(
+        "doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"),
+        F.sha2(raw, 256).alias("kept_sha256"), *kept,
+    )
+
+
 def remove_repeats(docs: DataFrame, keep_bytes: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``, a row for each of ``docs (doc_id, text)``.
 
@@ -442,16 +454,17 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False, hot_rows: int = HO
     parts = partitions(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     homes = max(parts, -(-size // GROUP_BYTES))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs = docs.withColumn("home", F.pmod(F.xxhash64("doc_id"), F.lit(homes)))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = every.where("doc_id is not null")
+    docs = docs.withColumn("home", F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(homes)))
     # About one place in eighteen is the least of some string.
     expected = size // 17
     buckets = max(parts, -(-expected // (4 * BUCKET_ROWS)))
-    grams = bucket_grams(docs.where("doc_id is not null"), buckets)
+    grams = bucket_grams(docs, buckets)
     with shuffles_dropped(spark):
         kept = stage(shared_grams(grams, parts, max(hot_rows, expected // HOT_KEYS)), "shared-grams")
         listed = pa.Table.from_pylist([r.asDict() for r in kept.where("kind = 1").collect()], PACKED_SCHEMA)
         hot = unpacked(listed, 1, KEPT_COLUMNS[1])["key"]
         strings = refine(docs, kept.where("kind = 0"), hot, max(parts, -(-expected // BUCKET_ROWS)))
         spans = stage(repeated(strings, parts), "repeated-spans")
-    return cut_out(docs, spans, keep_bytes)
+    return cut_out(docs, spans, keep_bytes).unionByName(whole(every.where("doc_id is null"), keep_bytes))

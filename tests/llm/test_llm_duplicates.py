@@ -260,3 +260,23 @@ def test_repeats_in_long_and_no_texts(spark, monkeypatch):
     assert (rows[1].n_removed, rows[3].n_removed, rows[2].n_spans) == (0, 0, 1) and rows[2].n_removed >= 8000
     assert bytes(rows[1].kept) == long.encode()
     assert S.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_or_none_are_spread(spark, monkeypatch):
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghij ") for _ in range(rng.randint(60, 200)))
+    shared = word()
+    docs = [(1, word() + shared)] + [(7, word() + (shared if k % 3 else "")) for k in range(150)]
+    docs += [(None, word() + shared) for _ in range(150)] + [(8, docs[5][1]), (8, docs[5][1]), (8, None)]
+    held = []
+    refine = S.refine
+    monkeypatch.setattr(S, "GROUP_BYTES", 1 << 10)
+    monkeypatch.setattr(S, "refine", lambda df, *a: held.append(df) or refine(df, *a))
+    got = S.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), keep_bytes=True)
+    rows = got.collect()
+    assert sorted((tuple(r)[:5] for r in rows), key=str) == brute([(d, (t or "").encode()) for d, t in docs])
+    assert all(r.n_removed == 0 for r in rows if r.doc_id is None)
+    assert sum(r.n_removed >= len(shared) for r in rows) >= 100
+    homes = held[0].groupBy("doc_id", "home").count().collect()
+    assert all(r.doc_id is not None for r in homes)
+    assert sum(r.doc_id == 7 for r in homes) > 20 and max(r["count"] for r in homes) < 30
