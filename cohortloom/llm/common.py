@@ -18,6 +18,8 @@ from cohortloom.session import discard, shared_folder, stage, stage_measured
 
 BATCH_CHARS = 1 << 19
 ARROW_BYTES = 4 << 20
+#: Words of 64 bits in a sieve, at most.
+SIEVE_WORDS = 1 << 19
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -91,6 +93,20 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def sieved(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with a boolean ``_sieved``: true where the ``keys`` are among those of ``wanted``, and in few other rows.
+
+    Keys set bits in at most ``SIEVE_WORDS`` words, which are broadcast. A join decides on
+    the marked rows; the others need not be shuffled for it. The keys are columns of the
+    same types in both; the more there are in ``wanted``, the more other rows are marked.
+    """
+    word, bit = F.pmod(F.xxhash64(*keys), F.lit(SIEVE_WORDS)), F.pmod(F.xxhash64(F.lit(1), *keys), F.lit(64)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    words = wanted.select(word.alias("_word"), one.alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    marked = rows.withColumn("_at", word).join(F.broadcast(words), F.col("_at") == F.col("_word"), "left")
+    return marked.withColumn("_sieved", F.coalesce(F.col("_bits").bitwiseAND(one) != 0, F.lit(False))).drop("_at", "_word", "_bits")
+
+
 def write_file(folder: str, name: str, parts: list[bytes]) -> None:
     """Write a whole file under its final name in one step, so that a repeated task replaces it."""
     system, path = fs.FileSystem.from_uri(folder)

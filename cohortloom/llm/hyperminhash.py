@@ -27,9 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import Workbench, bounded_batches, by_size, giving_back, partitions, smallest_reachable, sorted_groups
+from cohortloom.llm.common import (
+    Workbench, bounded_batches, by_size, giving_back, partitions, restored, shielded, shuffles_dropped, sieved, smallest_reachable,
+    sorted_groups,
+)
 from cohortloom.llm.tokens import FACTOR, piece_hashes
-from cohortloom.session import stage
+from cohortloom.session import discard, stage
 
 BUCKET_BITS = 7
 REGISTERS = 1 << BUCKET_BITS
@@ -350,12 +353,10 @@ class Texts:
             missing = self.bench.stage(missing.join(self.held, "node", "left_anti"), "missing")
             if missing.isEmpty():
                 return self.held
-        more = self.bench.stage(
-            self.names.join(missing, "node").join(text_keys(self.docs), ["doc_id", "text_key"])
-            # Equal rows of one id are one text.
-            .select("node", "text").dropDuplicates(["node"]),
-            "texts",
-        )
+        names = self.bench.stage(self.names.join(missing, "node"), "names")
+        # Only texts that may be asked for are shuffled; equal rows of one id are one text.
+        likely = sieved(text_keys(self.docs), names, "doc_id", "text_key").where("_sieved").dropDuplicates(["doc_id", "text_key"])
+        more = self.bench.stage(names.join(likely, ["doc_id", "text_key"]).select("node", "text"), "texts")
         self.held = more if self.held is None else self.held.unionByName(more)
         return self.held
 
@@ -520,9 +521,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     own text; rows without an id link with nothing, have no component and are kept.
     """
     bounded_batches(docs.sparkSession)
-    with Workbench() as bench:
-        known = bench.stage(sketches(docs, size, percent), "sketches")
-        linked = known.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
+    with Workbench() as bench, shuffles_dropped(docs.sparkSession):
+        drawn = bench.stage(sketches(docs, size, percent), "sketches")
+        linked = drawn.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
         nodes = bench.stage(
             linked.groupBy("node").agg(
                 F.min(F.struct("doc_id", "text_key")).alias("first"),
@@ -530,6 +531,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             ).select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("text_key"), "n_shingles", "registers", "keys"),
             "sketch-nodes",
         )
+        known = bench.stage(drawn.select("doc_id", "n_shingles", "node"), "members")
+        discard(drawn)
         rows = bench.stage(bands(nodes), "bands")
         texts = Texts(bench, nodes, docs)
         labels = nodes.select("node", F.col("node").alias("component"))
@@ -566,7 +569,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         final = spread.join(smallest, "component").select("node", "component_id")
         own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
         return stage(
-            known.select("doc_id", "n_shingles", "node").join(final, "node", "left")
+            known.join(final, "node", "left")
             .select("doc_id", "n_shingles", own.alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))),
             "near-duplicates",
@@ -577,8 +580,12 @@ def remove(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents whose group has one with a smaller id."""
     found = near_duplicates(docs, size, percent)
     # An id goes only if none of its rows is kept; rows without an id stay.
-    gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("doc_id")
+    held, names = shielded(docs, "doc_id")
+    marked = sieved(held.withColumn("_id", F.col("doc_id").cast("long")), gone.withColumnRenamed("doc_id", "_id"), "_id")
+    # Documents that the sieve doesn't mark stay without being shuffled.
+    stays = marked.where("_sieved").join(gone.withColumnRenamed("doc_id", "_id"), "_id", "left_anti")
+    return restored(marked.where("NOT _sieved").unionByName(stays), names)
 
 
 OP1_SQL = r"""

@@ -3,13 +3,15 @@
 import hashlib
 import math
 import random
+import threading
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.llm import hyperminhash as H, rotation_codes as R, suffix_buckets as S
-from cohortloom.llm.common import smallest_reachable
+from cohortloom.llm.common import sieved, smallest_reachable
 
 WORDS = [f"w{i}" for i in range(3000)]
 
@@ -129,6 +131,56 @@ def test_different_texts_of_one_id_link_by_their_own_text(spark):
     assert {r.doc_id for r in H.remove(df).collect()} == set(range(10))
 
 
+def shuffle_bytes(spark):
+    total = 0
+    for folder in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs():
+        for path in Path(folder.getPath()).rglob("shuffle_*"):
+            try:
+                total += path.stat().st_size
+            except FileNotFoundError:  # deleted meanwhile
+                pass
+    return total
+
+
+def test_texts_without_near_copies_are_not_shuffled(spark):
+    rng = random.Random(14)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(1500)) for _ in range(300)]
+    rows = list(enumerate(texts)) + [(1000 + k, texts[k] + " end") for k in range(6)] + [(None, texts[0])]
+    df = H.stage(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    floor, seen, over = shuffle_bytes(spark), [], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            seen.append(shuffle_bytes(spark))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = H.stage(H.remove(df))
+    finally:
+        over.set()
+        watcher.join()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert {tuple(r) for r in got.collect()} == {*enumerate(texts), (None, texts[0])}
+    assert got.count() == len(texts) + 1
+    # Sketches are some hundred bytes a text; the texts are far larger.
+    assert max(seen) - floor < sum(map(len, texts)) / 4
+
+
+def test_a_sieve_marks_wanted_rows_and_few_others(spark, monkeypatch):
+    rows = spark.createDataFrame([(k if k else None, k % 7, f"t{k}") for k in range(2000)], "a bigint, b bigint, text string")
+    wanted = rows.where("a % 20 = 0").select("a", "b")
+    for words, most in ((1 << 19, 150), (1, 2000)):
+        monkeypatch.setattr("cohortloom.llm.common.SIEVE_WORDS", words)
+        got = sieved(rows, wanted.union(wanted), "a", "b")
+        assert got.columns == [*rows.columns, "_sieved"] and got.count() == 2000
+        marked = {r.a for r in got.where("_sieved").collect()}
+        assert set(range(20, 2000, 20)) <= marked and len(marked) <= most
+    assert sieved(rows, wanted.limit(0), "a", "b").where("_sieved").isEmpty()
+
+
 def test_estimates_follow_the_index():
     rng = np.random.default_rng(6)
     for share in (0.2, 0.5, 0.8, 0.95):
