@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortloom.llm.common import by_size, restored, shielded
+from cohortloom.llm.common import by_size, giving_back, restored, shielded
 from cohortloom.llm.tokens import FACTOR, powers
 from cohortloom.operators.numbering import running_total
 from cohortloom.session import stage
@@ -157,7 +157,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice
     out = docs.select(*[f"`{f.name}`" for f in docs.schema.fields if f.name != "hits"], F.lit(None).cast(HITS).alias("hits"))
     for k, part in enumerate(parts):
         known = spark.sparkContext.broadcast(window_set([tuple(r) for r in part.collect()], window))
-        out = out.mapInArrow(_scanner(known), schema)
+        out = out.mapInArrow(giving_back(_scanner(known)), schema)
         if (k + 1) % SLICES_PER_JOB == 0 and k + 1 < len(parts):
             out = stage(out, "decontaminate")
     return out
@@ -247,7 +247,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, spans: bool = True, window: in
             new = pa.array([without_runs(t, r) for t, r in zip(texts, runs)], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), new)
 
-    done = kept.mapInArrow(cut, kept.schema)
+    done = kept.mapInArrow(giving_back(cut), kept.schema)
     if "n_chars" in names:
         size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
         old = names["n_chars"]
