@@ -14,6 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortloom.llm.tokens import powers
 from cohortloom.session import discard, shared_folder, stage, stage_measured
 
 BATCH_CHARS = 1 << 19
@@ -48,14 +49,20 @@ def bounded_batches(spark: SparkSession) -> None:
 Batches = Iterator[pa.RecordBatch]
 
 
+def give_back() -> None:
+    """Give the free memory of this process, and what can soon be made anew, back to the system."""
+    powers.cache_clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def giving_back(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """``run``, after which the worker, which later tasks use too, gives its free memory back to the system."""
 
     def whole(batches: Batches) -> Batches:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(AttributeError, OSError):
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return whole
 

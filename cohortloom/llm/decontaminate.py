@@ -9,16 +9,17 @@ words there. A larger benchmark is broadcast in several slices, one after anothe
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortloom.llm.common import by_size, giving_back, restored, shielded
+from cohortloom.llm.common import Batches, by_size, giving_back, restored, shielded
 from cohortloom.llm.tokens import FACTOR, powers
 from cohortloom.operators.numbering import running_total
 from cohortloom.session import stage
@@ -151,15 +152,30 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice
     items count once and items without an id are searched but not listed. An empty
     benchmark hits nothing.
     """
+    return _searched(docs, benchmark, window, slice_bytes)
+
+
+def _searched(
+    docs: DataFrame, benchmark: DataFrame, window: int, slice_bytes: int, then: Callable[[Batches], Batches] | None = None
+) -> DataFrame:
+    """``find_hits``; ``then`` goes over its batches and keeps their columns.
+
+    All slices of a job, and ``then`` after the last of all, are steps of one worker: each
+    step in Python by itself would take one more worker for every task at a time.
+    """
     spark = docs.sparkSession
     parts = benchmark_slices(benchmark, slice_bytes)
     schema = T.StructType([f for f in docs.schema.fields if f.name != "hits"] + [T.StructField("hits", HITS)])
     out = docs.select(*[f"`{f.name}`" for f in docs.schema.fields if f.name != "hits"], F.lit(None).cast(HITS).alias("hits"))
-    for k, part in enumerate(parts):
-        known = spark.sparkContext.broadcast(window_set([tuple(r) for r in part.collect()], window))
-        out = out.mapInArrow(giving_back(_scanner(known)), schema)
-        if (k + 1) % SLICES_PER_JOB == 0 and k + 1 < len(parts):
+    for low in range(0, len(parts), SLICES_PER_JOB):
+        if low:
             out = stage(out, "decontaminate")
+        known = [
+            spark.sparkContext.broadcast(window_set([tuple(r) for r in part.collect()], window))
+            for part in parts[low : low + SLICES_PER_JOB]
+        ]
+        last = low + SLICES_PER_JOB >= len(parts)
+        out = out.mapInArrow(giving_back(_scanner(known, then if last else None)), schema)
     return out
 
 
@@ -182,22 +198,26 @@ def benchmark_slices(benchmark: DataFrame, slice_bytes: int) -> list[DataFrame]:
     return [held.where(F.col("slice") == k).select("item_id", "text") for k in found]
 
 
-def _scanner(known):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scanner(slices: list[Broadcast], then: Callable[[Batches], Batches] | None = None) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         for batch in by_size(batches):
-            held = batch.column("hits").to_pylist()
-            rows = []
-            for old, (n, first, last, items) in zip(held, scan(batch.column("text").to_pylist(), known.value)):
-                runs = list(zip(first.tolist(), last.tolist()))
-                if old:
-                    first, last = merged(runs + [tuple(r) for r in old["hit_runs"]])
-                    runs, items = list(zip(first.tolist(), last.tolist())), items | set(old["items"])
-                rows.append({"n_words": n, "hit_runs": [list(r) for r in runs], "items": sorted(items)})
+            texts, held = batch.column("text").to_pylist(), batch.column("hits").to_pylist()
+            for known in slices:
+                held = [joined_hits(old, *new) for old, new in zip(held, scan(texts, known.value))]
             at = batch.schema.get_field_index("hits")
             kind = pa.struct([("n_words", pa.int64()), ("hit_runs", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.int64()))])
-            yield batch.set_column(at, pa.field("hits", kind), pa.array(rows, kind))
+            yield batch.set_column(at, pa.field("hits", kind), pa.array(held, kind))
 
-    return run
+    return run if then is None else lambda batches: then(run(batches))
+
+
+def joined_hits(old: dict | None, n_words: int, first: np.ndarray, last: np.ndarray, items: set[int]) -> dict:
+    """Hits of one more slice in a text, with those of the slices before."""
+    runs = list(zip(first.tolist(), last.tolist()))
+    if old:
+        first, last = merged(runs + [tuple(r) for r in old["hit_runs"]])
+        runs, items = list(zip(first.tolist(), last.tolist())), items | set(old["items"])
+    return {"n_words": n_words, "hit_runs": [list(r) for r in runs], "items": sorted(items)}
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -233,13 +253,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, spans: bool = True, window: in
     they are; ``n_chars``, if there, follows the text.
     """
     held, names = shielded(docs, "text")
-    found = find_hits(held, benchmark, window)
-    n_hit = F.aggregate("hits.hit_runs", F.lit(0).cast("long"), lambda a, r: a + r[1] - r[0])
-    kept = found.where((n_hit == 0) | (HIT_PER_WORDS * n_hit < F.col("hits.n_words")))
-    if not spans:
-        return restored(kept, names)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Batches) -> Batches:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             runs = [h["hit_runs"] for h in batch.column("hits").to_pylist()]
@@ -247,8 +262,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, spans: bool = True, window: in
             new = pa.array([without_runs(t, r) for t, r in zip(texts, runs)], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), new)
 
-    done = kept.mapInArrow(giving_back(cut), kept.schema)
-    if "n_chars" in names:
+    found = _searched(held, benchmark, window, SLICE_BYTES, cut if spans else None)
+    n_hit = F.aggregate("hits.hit_runs", F.lit(0).cast("long"), lambda a, r: a + r[1] - r[0])
+    done = found.where((n_hit == 0) | (HIT_PER_WORDS * n_hit < F.col("hits.n_words")))
+    if spans and "n_chars" in names:
         size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
         old = names["n_chars"]
         done = done.withColumn(old, F.when(F.size("hits.hit_runs") > 0, size).otherwise(F.col(old)))

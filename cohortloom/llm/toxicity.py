@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import bounded_batches, by_size, giving_back, restored, shielded
+from cohortloom.llm.common import bounded_batches, by_size, give_back, giving_back, restored, shielded
 from cohortloom.llm.decontaminate import WORD_BYTES
 from cohortloom.llm.tokens import piece_hashes
 
@@ -348,6 +348,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     if not len(y) or y.min() == y.max():
         return model
     del hashes, counts
+    give_back()
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

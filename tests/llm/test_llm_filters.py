@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.llm import decontaminate as D, pii as P, toxicity as X, trigram_secrets as T
+from cohortloom.llm.common import giving_back
+from cohortloom.llm.tokens import powers
 
 
 def luhn(digits):
@@ -203,6 +205,27 @@ def test_hit_words_are_cut_out(spark):
     assert D.remove(df.limit(0), bench).count() == 0
 
 
+def test_hits_of_all_slices_and_the_cut_take_one_worker(spark, monkeypatch):
+    docs, items = passages(random.Random(5))
+    df = spark.createDataFrame([(d, t, None if t is None else len(t)) for d, t in docs], "doc_id long, text string, n_chars long")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = D.remove(df, bench)
+    monkeypatch.setattr(D, "SLICE_BYTES", 300)
+    assert len(D.benchmark_slices(bench, 300)) > 1
+    sliced = D.remove(df, bench)
+    for out in (whole, sliced, D.find_hits(df, bench, slice_bytes=300)):
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = [sorted(map(tuple, out.collect()), key=str) for out in (whole, sliced)]
+    assert got[0] == got[1]
+    assert all(n == (None if t is None else len(t)) for _, t, n in got[0])
+
+
+def test_a_worker_keeps_no_powers_after_a_task():
+    powers(1 << 16, 3)
+    assert list(giving_back(lambda batches: batches)(iter([1, 2]))) == [1, 2]
+    assert powers.cache_info().currsize == 0
+
+
 def insults(rng, n):
     plain, bad = [f"word{k}" for k in range(400)], ["idiot", "scum", "Trottel", "imbécile"]
     rows = []
