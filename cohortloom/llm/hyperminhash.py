@@ -204,14 +204,14 @@ def smallest_linked(percent: int) -> int:
 
 
 def collision_rate(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Chance that registers of two disjoint sets of ``n`` and ``m`` hashes agree."""
+    """Chance that registers of two disjoint sets of ``n`` and ``m`` hashes agree, worked out once for each pair of sizes."""
+    sizes, at = np.unique(np.concatenate([n, m]), return_inverse=True)
+    pairs, each = np.unique(at[: len(n)] * len(sizes) + at[len(n) :], return_inverse=True)
+    own = np.maximum(sizes, 1)[:, None] / REGISTERS
+    # The least of ``own`` uniform numbers has k leading zeros.
     k = np.arange(54)
-    chances = []
-    for size in (n, m):
-        own = np.maximum(size, 1)[:, None] / REGISTERS
-        # The least of ``own`` uniform numbers has k leading zeros.
-        chances.append((1 - 2.0 ** -(k + 1)) ** own - (1 - 2.0**-k) ** own)
-    return (chances[0] * chances[1]).sum(axis=1) / (1 << MANTISSA_BITS)
+    chances = (1 - 2.0 ** -(k + 1)) ** own - (1 - 2.0**-k) ** own
+    return ((chances[pairs // len(sizes)] * chances[pairs % len(sizes)]).sum(axis=1) / (1 << MANTISSA_BITS))[each]
 
 
 def estimates(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,16 +241,16 @@ def pairs_in_large(regs: np.ndarray, n: np.ndarray, apart: np.ndarray, percent:
     short = short_sketches(regs)
     found = [np.empty((0, 2), np.int64)]
     for at in range(0, len(n), 256):
-        mine = slice(at, at + 256)
-        differ = short[mine, None, :] ^ short[None, :, :]
+        mine, others = slice(at, at + 256), slice(at + 256)
+        differ = short[mine, None, :] ^ short[None, others, :]
         other = np.bitwise_count((differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=2)
         guess = ((1 - other / FIELDS) - chance) / (1 - chance)
-        small = np.minimum(n[mine, None], n[None, :])
+        small = np.minimum(n[mine, None], n[None, others])
         good = guess >= level - SLACK * np.sqrt(level * (1 - level) / np.minimum(small, FIELDS)) / (1 - chance)
-        good &= 100 * small >= percent * np.maximum(n[mine, None], n[None, :])
+        good &= 100 * small >= percent * np.maximum(n[mine, None], n[None, others])
         for kind in apart:
-            good &= kind[mine, None] != kind[None, :]
-        good &= np.arange(len(n))[None, :] < np.arange(len(n))[mine, None]
+            good &= kind[mine, None] != kind[None, others]
+        good &= np.arange(good.shape[1])[None, :] < np.arange(at, at + len(good))[:, None]
         found.append(np.argwhere(good)[:, ::-1] + [0, at])
     both = np.concatenate(found)
     return both[:, 0], both[:, 1]
@@ -312,8 +312,21 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high", "place", "node")
 
 
+def first_and_likeliest(a: np.ndarray, b: np.ndarray, guess: np.ndarray, size: int) -> np.ndarray:
+    """Places of the pairs with the least ``a``, or the least of those with the highest guess, for each ``b``; below ``size``."""
+    first, likeliest, best = np.full(size, size), np.full(size, size), np.full(size, -np.inf)
+    np.minimum.at(first, b, a)
+    np.maximum.at(best, b, guess)
+    high = np.flatnonzero(guess == best[b])
+    np.minimum.at(likeliest, b[high], a[high])
+    return np.union1d(np.flatnonzero(a == first[b]), high[a[high] == likeliest[b[high]]])
+
+
 def partners(rows: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: for each node the first and the likeliest of the nodes before it, chosen over all of its bands."""
+    """``a, b``: for each node the first and the likeliest of the nodes before it, chosen over all of its bands.
+
+    All bands have one order of nodes, so a pair is named by its later node only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ("key", "low", "high")):
@@ -322,10 +335,7 @@ def partners(rows: DataFrame, percent: int) -> DataFrame:
                 continue
             node = group.column("node").to_numpy()
             place = group.column("place").to_numpy()
-            chosen = []
-            for order in (np.lexsort((a, b)), np.lexsort((a, -guess, b))):
-                chosen.append(order[np.flatnonzero(np.diff(b[order], prepend=-1))])
-            at = np.unique(np.concatenate(chosen))
+            at = first_and_likeliest(a, b, guess, len(node))
             yield pa.RecordBatch.from_pydict({
                 "node": pa.array(node[b[at]]), "other": pa.array(node[a[at]]), "place": pa.array(place[a[at]]), "guess": pa.array(guess[at]),
             })
@@ -335,7 +345,7 @@ def partners(rows: DataFrame, percent: int) -> DataFrame:
         F.min(F.struct("place", "other")).alias("first"), F.max(F.struct("guess", "other")).alias("likeliest")
     )
     pairs = best.select("node", F.explode(F.array_distinct(F.array("first.other", "likeliest.other"))).alias("other"))
-    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
 class Texts:
@@ -467,10 +477,10 @@ def links_of(rows: DataFrame, texts: Texts, size: int, percent: int) -> DataFram
 
 
 def bands(nodes: DataFrame) -> DataFrame:
-    """``key, node`` of the bands that several nodes share, and how large the group of the key is."""
+    """``key, node, n_shingles`` of the bands that several nodes share, and how large the group of the key is."""
     keyed = nodes.select("node", "n_shingles", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("hashes")).where("n > 1")
-    return keyed.drop("n_shingles").join(sizes, "key")
+    return keyed.join(sizes, "key")
 
 
 def blocks_for(n: Column, hashes: Column) -> Column:
@@ -481,17 +491,17 @@ def in_blocks(held: DataFrame, turn: int) -> DataFrame:
     """``key, low, high, block, place`` for rows of ``bands`` with ``component``: each in one block, which the turn chooses."""
     block = F.pmod(F.xxhash64("node", F.lit(turn)), blocks_for(F.col("n"), F.col("hashes"))).cast("int")
     return held.withColumn("block", block).select(
-        "key", F.col("block").alias("low"), F.col("block").alias("high"), "block", F.xxhash64("node", F.lit(-turn)).alias("place"), "node", "component"
+        "key", F.col("block").alias("low"), F.col("block").alias("high"), "block", F.xxhash64("node", F.lit(-turn)).alias("place"),
+        "node", "component", "n_shingles",
     )
 
 
-def between_components(held: DataFrame, nodes: DataFrame) -> DataFrame:
+def between_components(held: DataFrame) -> DataFrame:
     """Rows in all pairs of blocks that may hold nodes of different components.
 
     The largest component of a group has blocks of its own, which meet the other blocks only.
     """
-    sized = held.join(nodes.select("node", "n_shingles"), "node")
-    parts = sized.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("hashes"))
+    parts = held.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("hashes"))
     whole = parts.groupBy("key").agg(
         F.max(F.struct("n", "hashes", "component")).alias("main"), F.sum("n").alias("all_n"), F.sum("hashes").alias("all_hashes")
     )
@@ -507,7 +517,8 @@ def between_components(held: DataFrame, nodes: DataFrame) -> DataFrame:
     last = F.when(is_main, F.col("strays")).otherwise(F.col("strays") + F.col("mains"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), (last - 1).cast("int"))))
     return met.select(
-        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", F.col("node").alias("place"), "node", "component"
+        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", F.col("node").alias("place"),
+        "node", "component", "n_shingles",
     )
 
 
@@ -538,13 +549,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         labels = nodes.select("node", F.col("node").alias("component"))
         tested = None
         for turn in (1, 2, 3):
-            held = rows.join(labels, "node")
-            if turn > 1:
+            if turn == 1:
+                held = rows.withColumn("component", F.col("node"))
+            else:
                 # Groups within one component are settled.
+                held = rows.join(labels, "node")
                 open_keys = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
                 held = held.join(open_keys.select("key"), "key")
-            placed = in_blocks(held, turn) if turn < 3 else between_components(held, nodes)
-            sketched = placed.join(nodes.select("node", "n_shingles", "registers"), "node")
+            placed = in_blocks(held, turn) if turn < 3 else between_components(held)
+            sketched = placed.join(nodes.select("node", "registers"), "node")
             if turn < 3:
                 pairs = partners(sketched, percent)
                 if tested is not None:
@@ -554,10 +567,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             else:
                 found = links_of(bench.stage(listed(sketched, percent), "listed"), texts, size, percent)
             # The new links join components, so only these are walked again.
-            ends = bench.stage(found, "found")
-            for end in ("a", "b"):
-                ends = ends.join(labels.toDF(end, f"c_{end}"), end)
-            joined = bench.stage(ends.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct(), "links")
+            joined = bench.stage(found, "found")
+            if turn > 1:
+                for end in ("a", "b"):
+                    joined = joined.join(labels.toDF(end, f"c_{end}"), end)
+                joined = bench.stage(joined.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct(), "links")
             moved = smallest_reachable(
                 joined.select(F.col("a").alias("id")).union(joined.select("b")), joined, "labels"
             ).toDF("component", "new")

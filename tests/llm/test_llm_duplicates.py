@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import threading
+import time
 from pathlib import Path
 
 import numpy as np
@@ -196,6 +197,39 @@ def test_estimates_follow_the_index():
         assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.06
 
 
+def collisions_pair_by_pair(n, m):
+    k = np.arange(54)
+    one, two = ((1 - 2.0 ** -(k + 1)) ** own - (1 - 2.0**-k) ** own for own in (np.maximum(s, 1)[:, None] / H.REGISTERS for s in (n, m)))
+    return (one * two).sum(axis=1) / (1 << H.MANTISSA_BITS)
+
+
+def test_collisions_of_many_near_copies_are_worked_out_once_for_each_pair_of_sizes():
+    rng = np.random.default_rng(8)
+    n, m = (rng.integers(146, 151, 1 << 16).astype(np.float64) for _ in range(2))
+    taken = {}
+    for run in (collisions_pair_by_pair, H.collision_rate):
+        before = time.process_time()
+        found = run(n, m)
+        taken[run] = time.process_time() - before
+        assert np.array_equal(found, collisions_pair_by_pair(n, m))
+    assert taken[H.collision_rate] < taken[collisions_pair_by_pair] / 3
+    odd = np.array([0.0, 1, 64, 5e6])
+    assert np.array_equal(H.collision_rate(odd, odd[::-1]), collisions_pair_by_pair(odd, odd[::-1]))
+    assert not len(H.collision_rate(odd[:0], odd[:0]))
+
+
+def test_first_and_likeliest_of_each_later_row():
+    rng = random.Random(15)
+    for size in (2, 9, 40):
+        pairs = [(a, b, rng.choice([0.7, 0.8, 0.9])) for b in range(size) for a in range(b) if rng.random() < 0.4]
+        rng.shuffle(pairs)
+        want = {min(p for p in pairs if p[1] == b) for _, b, _ in pairs} | {min((-g, a, b) for a, c, g in pairs if c == b) for _, b, _ in pairs}
+        want = {p if p[0] >= 0 and p[2] < 1 else (p[1], p[2], -p[0]) for p in want}
+        a, b, guess = (np.array([p[k] for p in pairs], t) for k, t in ((0, np.int64), (1, np.int64), (2, np.float64)))
+        at = H.first_and_likeliest(a, b, guess, size).tolist()
+        assert len(at) == len(set(at)) and {pairs[k] for k in at} == want
+
+
 def vectors(rng, n, size=16):
     base = rng.normal(size=(n // 4, size))
     out = [base[rng.integers(len(base))] + rng.normal(size=size) * rng.choice([0.02, 0.08, 0.4]) for _ in range(n)]
